@@ -1,6 +1,6 @@
 """All registered queries, one module per group of operators."""
 
-from offergrid.plans import expressions  # noqa: F401
+from offergrid.plans import expressions, search_filters, searching  # noqa: F401
 from offergrid.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -69,6 +69,41 @@ SELECT listing_id, own_tag AS tag FROM lst UNION ALL SELECT listing_id, lab_tag
     "progtag": f"""
 SELECT listing_id, p_type AS program, '2026-2027' AS year, {_CLASSES}[p_size % 3 + 1] AS classification FROM lst
 UNION ALL SELECT listing_id, subject, '2025-2026', 'elective' FROM lst WHERE l_linenumber % 2 = 0""",
+    "bridge": """
+SELECT listing_id, term, course_code, component, section_number, schedule_number, option_number, units, kind, idx, prim,
+  component IN ('Activity', 'Laboratory') AS sec,
+  CASE component WHEN 'Lecture' THEN 0 WHEN 'Activity' THEN 3 ELSE 4 END AS crank,
+  CASE kind WHEN 'signature' THEN 'signature|' || lower(term) || '|' || upper(course_code) || '|' || sig
+    WHEN 'row' THEN 'row|' || lower(term) || '|' || l_orderkey || '|' || idx
+    WHEN 'single' THEN 'single|' || listing_id
+    ELSE 'legacy|' || term_key || '|' || subject || '|' || coalesce(crse_id, course_code) || '|' || offer || '|' || career
+         || '|' || option_number END AS key
+FROM (
+ SELECT *, 'signature' AS kind, NULL::INT AS idx, is_primary AS prim, 'S1' AS sig FROM lst WHERE o_orderpriority = '1-URGENT'
+ UNION ALL SELECT *, 'signature', NULL, is_primary, 'S2' FROM lst WHERE o_orderpriority = '1-URGENT' AND l_linenumber % 2 = 1
+ UNION ALL SELECT *, 'row', 1, is_primary, NULL FROM lst WHERE o_orderpriority IN ('2-HIGH', '3-MEDIUM') AND l_linenumber < 5
+ UNION ALL SELECT *, 'row', 2, is_primary, NULL FROM lst WHERE o_orderpriority IN ('2-HIGH', '3-MEDIUM') AND (l_linenumber >= 5 OR l_linenumber = 1)
+ UNION ALL SELECT *, 'single', NULL, l_returnflag = 'N', NULL FROM lst WHERE o_orderpriority = '5-LOW'
+ UNION ALL SELECT *, 'legacy', NULL, l_returnflag = 'N', NULL FROM lst WHERE o_orderpriority = '4-NOT SPECIFIED')""",
+    "rowgrp": """
+SELECT key, idx, bool_or(prim) AS has_primary, arg_min(lower(term), listing_id) AS t, arg_min(upper(course_code), listing_id) AS cc
+FROM bridge WHERE kind = 'row' GROUP BY key, idx""",
+    "moved": """
+SELECT g.key, x.target FROM rowgrp g JOIN (SELECT idx, t, cc, min(key) AS target FROM rowgrp WHERE has_primary
+  GROUP BY idx, t, cc HAVING count(*) = 1) x ON g.idx = x.idx AND g.t = x.t AND g.cc = x.cc WHERE NOT g.has_primary""",
+    "bridged": """
+SELECT b.* REPLACE (coalesce(m.target, b.key) AS key) FROM bridge b LEFT JOIN moved m ON b.key = m.key""",
+    "ranked_members": """
+SELECT *, row_number() OVER (PARTITION BY key ORDER BY NOT prim, crank, section_number, schedule_number, listing_id) AS rn,
+  count(*) OVER (PARTITION BY key) AS n_members, bool_or(prim) OVER (PARTITION BY key) AS has_primary,
+  bool_and(sec) OVER (PARTITION BY key) AS all_sec FROM bridged""",
+    "opt": """
+SELECT key AS option_id, kind, listing_id AS primary_id, CASE WHEN kind = 'row' THEN idx ELSE option_number END AS option_number,
+  n_members FROM ranked_members WHERE rn = 1 AND (has_primary OR NOT all_sec)
+  AND NOT (kind = 'single' AND sec AND units <= 0)""",
+    "memb": """
+SELECT r.key AS option_id, r.listing_id, r.prim AS is_primary, r.n_members FROM ranked_members r
+WHERE r.key IN (SELECT option_id FROM opt)""",
     "upd": """
 SELECT event_id, ts, user_id, event_type, CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'waitlist'
   WHEN 'purchase' THEN 'closed' WHEN 'signup' THEN 'unknown' WHEN 'error' THEN 'failure' END AS kind,
@@ -112,6 +147,14 @@ def with_views(body: str) -> str:
     return f"WITH {head}\n{text}" if head else text
 
 
+# Natural sort key as a list of structs.
+def natural(col: str) -> str:
+    return (f"list_transform(regexp_extract_all(lower({col}), '(\\d+|\\D+)'), lambda x: {{"
+            "'kind': CASE WHEN regexp_matches(x, '^\\d') THEN 0 ELSE 1 END, "
+            "'num': coalesce(TRY_CAST(x AS BIGINT), 0), "
+            "'txt': CASE WHEN regexp_matches(x, '^\\d') THEN '' ELSE x END})")
+
+
 def _names(sql: str, name: str) -> bool:
     import re
     return re.search(rf"\b{name}\b", sql) is not None
