@@ -170,6 +170,24 @@ class Views:
             c("value").alias("seconds"), F.floor("value").cast("int").alias("seats"),
             F.get_json_object("props", "$.k").cast("int").alias("k"))
 
+    def observations(self, updates: DataFrame | None = None) -> DataFrame:
+        """Seat observations per physical class, from ``updates()`` without failures."""
+        c = F.col
+        return (updates if updates is not None else self.updates()).filter("kind <> 'failure'").select(
+            "event_id", "ts", "user_id", "k", c("kind").alias("said"),
+            F.concat((1996 + c("event_id") % 4).cast("string"), F.lit("4|"), c("user_id").cast("string"), F.lit("-"),
+                     (c("k") % 50 + 1).cast("string")).alias("physical"),
+            F.when(c("kind") == "open", c("seats")).when(c("kind") == "closed", 0).alias("open_seats"),
+            F.when(c("kind").isin("open", "closed"), c("k")).alias("capacity"))
+
+    def names(self, updates: DataFrame | None = None) -> DataFrame:
+        """Names seen per physical class; some are placeholders."""
+        c = F.col
+        return self.observations(updates).select(
+            "physical", "event_id", "ts",
+            F.when(c("k") % 5 == 0, "Staff").otherwise(F.concat(F.lit("Person "), c("user_id").cast("string")))
+             .alias("person"))
+
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """SNAP_A and SNAP_B: the part table as two inventories.  Size 50 is not
         listed in A, size 47 no longer in B; in B size 11 has new ids, size 23 a

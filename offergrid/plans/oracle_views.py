@@ -30,6 +30,7 @@ SELECT l.*, o.o_orderdate, o.o_custkey, o.o_orderpriority, o.o_orderstatus, p.p_
   'https://classes.example.edu/s/' || l_suppkey AS source_url,
   {_term('o_orderdate')} AS term, {_code('o_orderdate')} AS term_code,
   coalesce(nullif({_code('o_orderdate')}, ''), {_term('o_orderdate')}) AS term_key,
+  coalesce(nullif({_code('o_orderdate')}, ''), {_term('o_orderdate')}) || '|' || l_suppkey || '-' || l_quantity::INT AS physical,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'in_person' WHEN '2-HIGH' THEN 'online_synchronous'
     WHEN '3-MEDIUM' THEN 'hybrid' WHEN '4-NOT SPECIFIED' THEN 'online_asynchronous' ELSE 'other' END AS instruction_mode,
   CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'waitlist' WHEN 'F' THEN 'closed' END AS seat_status,
@@ -108,6 +109,21 @@ WHERE r.key IN (SELECT option_id FROM opt)""",
 SELECT event_id, ts, user_id, event_type, CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'waitlist'
   WHEN 'purchase' THEN 'closed' WHEN 'signup' THEN 'unknown' WHEN 'error' THEN 'failure' END AS kind,
   value AS seconds, floor(value)::INT AS seats, (props->>'$.k')::INT AS k FROM events""",
+    # seat observations, the rules applied to them, and the newest per class
+    "obs": """
+SELECT event_id, ts, user_id, k, kind AS said, (1996 + event_id % 4) || '4|' || user_id || '-' || (k % 50 + 1) AS physical,
+  CASE kind WHEN 'open' THEN seats WHEN 'closed' THEN 0 END AS open_seats,
+  CASE WHEN kind IN ('open', 'closed') THEN k END AS capacity FROM upd WHERE kind <> 'failure'""",
+    "seat": """
+SELECT event_id, ts, physical, CASE WHEN open_seats > 0 THEN 'open' ELSE said END AS status, open_seats, capacity,
+  greatest(capacity - open_seats, 0) AS enrolled FROM obs
+WHERE NOT (said = 'unknown' AND open_seats IS NULL AND capacity IS NULL)""",
+    "newest": """
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY physical ORDER BY ts DESC, event_id DESC) AS rn FROM seat)
+WHERE rn = 1""",
+    "names": """
+SELECT physical, event_id, ts, CASE WHEN k % 5 = 0 THEN 'Staff' ELSE 'Person ' || user_id END AS person FROM obs
+QUALIFY row_number() OVER (PARTITION BY physical ORDER BY ts DESC, event_id DESC) = 1""",
     "snap_base": """
 SELECT p_brand AS subject, p_size || '-' || p_partkey AS number, p_name AS title,
   CASE WHEN p_size <> 13 THEN p_partkey::VARCHAR END AS crse_id, '1' AS offer,
