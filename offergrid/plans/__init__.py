@@ -1,6 +1,6 @@
 """All registered queries, one module per group of operators."""
 
-from offergrid.plans import expressions, overlaying, rolling, search_filters, searching, sequencing, snapshotting  # noqa: F401
+from offergrid.plans import expressions, matching, overlaying, rolling, search_filters, searching, sequencing, snapshotting  # noqa: F401
 from offergrid.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
