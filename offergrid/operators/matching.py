@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offergrid.functions.text import has_degree, person_key, program_signature, program_words
+from offergrid.session import settled
 
 c = F.col
 
@@ -85,6 +86,7 @@ def match_people(targets: DataFrame, candidates: DataFrame, aliases: DataFrame |
 
 def pick_match(targets: DataFrame, scored: DataFrame, target_courses: DataFrame, cand_courses: DataFrame) -> DataFrame:
     """(target_id, cand_id, score, outcome): one best, one by shared course, ambiguous or none."""
+    scored = settled(scored)  # read three times; the name tiers run once
     best = scored.groupBy("target_id").agg(F.max("score").alias("best"))
     tied = scored.join(best, "target_id").filter(F.abs(c("score") - c("best")) < 1e-9)
     size = tied.groupBy("target_id").agg(F.count(F.lit(1)).alias("ties"), F.min("cand_id").alias("only"),
