@@ -116,7 +116,7 @@ SELECT event_id, ts, user_id, k, kind AS said, (1996 + event_id % 4) || '4|' ||
   CASE WHEN kind IN ('open', 'closed') THEN k END AS capacity FROM upd WHERE kind <> 'failure'""",
     "seat": """
 SELECT event_id, ts, physical, CASE WHEN open_seats > 0 THEN 'open' ELSE said END AS status, open_seats, capacity,
-  greatest(capacity - open_seats, 0) AS enrolled FROM obs
+  CASE WHEN capacity IS NOT NULL AND open_seats IS NOT NULL THEN greatest(capacity - open_seats, 0) END AS enrolled FROM obs
 WHERE NOT (said = 'unknown' AND open_seats IS NULL AND capacity IS NULL)""",
     "newest": """
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY physical ORDER BY ts DESC, event_id DESC) AS rn FROM seat)
