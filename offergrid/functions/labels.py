@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offergrid.functions.text import squeeze
+from offergrid.functions.text import bind, squeeze
 
 # Labels.
 MODE_LABELS = (("in_person", "In person"), ("online_synchronous", "Online synchronous"),
@@ -80,31 +80,36 @@ def label_of(c: Column, pairs) -> Column:
 
 def requirement_label(code: Column, name: Column) -> Column:
     """Catalog requirement code and name to one label; unknown codes give null."""
-    k, n = F.upper(squeeze(code)), F.lower(squeeze(F.coalesce(name, F.lit(""))))
-    out = None
-    for want, word, label in REQUIREMENT_RULES:
-        hit = (k == want) & F.contains(n, F.lit(word)) if word else k == want
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out
+    def label(x: Column) -> Column:
+        out = None
+        for want, word, text in REQUIREMENT_RULES:
+            hit = (x["k"] == want) & F.contains(x["n"], F.lit(word)) if word else x["k"] == want
+            out = F.when(hit, text) if out is None else out.when(hit, text)
+        return out
+
+    return bind(F.struct(F.upper(squeeze(code)).alias("k"), F.lower(squeeze(F.coalesce(name, F.lit("")))).alias("n")), label)
 
 
 def requirement_tag(c: Column) -> Column:
     """Older tags and display labels to the label in use; unknown tags give null."""
-    t = F.lower(squeeze(c))
     rule = r"^ge\s+([^:]+):\s*(.*)$"
-    coded = requirement_label(F.concat(F.lit("GE "), F.regexp_extract(t, rule, 1)), F.regexp_extract(t, rule, 2))
-    wide = (F.when(F.contains(t, F.lit("arts and humanities")), "EXPLORATIONS - ARTS & HUMANITIES")
-            .when(F.contains(t, F.lit("social and behavioral")), "EXPLORATIONS - SOCIAL & BEHAVIORAL SCIENCES")
-            .when(t.rlike("physical|biological|mathemat|quantitative"), "EXPLORATIONS - PHYS, BIO, MATH/QUANT"))
-    named = (F.when(F.contains(t, F.lit("ethnic studies")), "Ethnic Studies")
-             .when(F.contains(t, F.lit("american institutions")), "American Institutions"))
-    exact = lookup(OLD_LABELS)[t]
-    return (F.when(exact.isNotNull(), exact)
-            .when(t.rlike(rule), coded)
-            .when(F.startswith(t, F.lit("ai:")), "American Institutions")
-            .when(F.startswith(t, F.lit("gwar:")), "GWAR")
-            .when(F.contains(t, F.lit("explorations")), F.coalesce(wide, named))
-            .otherwise(named))
+
+    def label(t: Column) -> Column:
+        coded = requirement_label(F.concat(F.lit("GE "), F.regexp_extract(t, rule, 1)), F.regexp_extract(t, rule, 2))
+        wide = (F.when(F.contains(t, F.lit("arts and humanities")), "EXPLORATIONS - ARTS & HUMANITIES")
+                .when(F.contains(t, F.lit("social and behavioral")), "EXPLORATIONS - SOCIAL & BEHAVIORAL SCIENCES")
+                .when(t.rlike("physical|biological|mathemat|quantitative"), "EXPLORATIONS - PHYS, BIO, MATH/QUANT"))
+        named = (F.when(F.contains(t, F.lit("ethnic studies")), "Ethnic Studies")
+                 .when(F.contains(t, F.lit("american institutions")), "American Institutions"))
+        exact = lookup(OLD_LABELS)[t]
+        return (F.when(exact.isNotNull(), exact)
+                .when(t.rlike(rule), coded)
+                .when(F.startswith(t, F.lit("ai:")), "American Institutions")
+                .when(F.startswith(t, F.lit("gwar:")), "GWAR")
+                .when(F.contains(t, F.lit("explorations")), F.coalesce(wide, named))
+                .otherwise(named))
+
+    return bind(F.lower(squeeze(c)), label)
 
 
 def requirement_rank(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,27 +34,39 @@ def _with_dates(df: DataFrame, key: str) -> DataFrame:
                            & c("start_min").isNotNull())
 
 
+def _day_runs(days: Column) -> Column:
+    """array<struct<day, first, n>>: first date of every week day in the range, and how often it comes."""
+    number = F.create_map(*[F.lit(x) for i, (d, _) in enumerate(DAY_CODES) for x in (d, i)])
+
+    def run(day: Column) -> Column:
+        ahead = (number[day] - (F.dayofweek("date_from") - 1) + 7) % 7
+        first = F.date_add("date_from", ahead)
+        return F.struct(day.alias("day"), first.alias("first"),
+                        F.greatest(F.floor(F.date_diff("date_to", first) / 7) + 1, F.lit(0)).cast("int").alias("n"))
+
+    return F.filter(F.transform(F.array_distinct(days), run), lambda r: r["n"] > 0)
+
+
 def meeting_occurrences(df: DataFrame, key: str = "listing_id") -> DataFrame:
-    """Every date of every meeting, by exploding the range once per meeting."""
-    rows = _with_dates(df, key).filter("ok AND date_from <= date_to")
-    dates = rows.select(key, "place", "days", F.explode(F.sequence("date_from", "date_to")).alias("date"))
-    return dates.filter(F.array_contains("days", F.lower(F.date_format("date", "EEE")))).select(key, "place", "date")
+    """Every date of every meeting: one weekly sequence per meeting day."""
+    rows = _with_dates(df, key).filter("ok AND date_from <= date_to").withColumn("_r", F.explode(_day_runs(c("days"))))
+    week = F.expr("INTERVAL 7 DAYS")
+    return rows.select(key, "place", F.explode(F.sequence("_r.first", "date_to", week)).alias("date"))
 
 
 def meeting_recurrence(df: DataFrame, key: str = "listing_id") -> DataFrame:
     """First date, day codes and count per meeting; ``skipped`` where range or time is missing.
 
-    No row is exploded: the dates of one range stay in one array.
+    Worked out from week days alone; no date is listed.
     """
     codes = F.create_map(*[F.lit(x) for kv in DAY_CODES for x in kv])
-    hit = F.when(c("ok") & (c("date_from") <= c("date_to")), F.filter(
-        F.sequence("date_from", "date_to"), lambda d: F.array_contains("days", F.lower(F.date_format(d, "EEE")))))
-    rows = _with_dates(df, key).withColumn("_d", hit)
-    some = F.coalesce(F.size("_d") > 0, F.lit(False))
-    return rows.select(key, "place", F.when(some, F.get("_d", F.lit(0))).alias("first_date"),
+    rows = _with_dates(df, key).withColumn("_r", F.when(c("ok") & (c("date_from") <= c("date_to")), _day_runs(c("days"))))
+    some = F.coalesce(F.size("_r") > 0, F.lit(False))
+    total = F.aggregate("_r", F.lit(0), lambda a, r: a + r["n"])
+    return rows.select(key, "place", F.when(some, F.array_min(F.transform("_r", lambda r: r["first"]))).alias("first_date"),
                        F.when(some, F.array_join(F.transform(F.array_distinct("days"), lambda d: codes[d]), ","))
                         .alias("by_days"),
-                       F.when(some, F.size("_d")).otherwise(0).alias("n"), (~some).alias("skipped"))
+                       F.when(some, total).otherwise(0).alias("n"), (~some).alias("skipped"))
 
 
 SLOT = ("grp", "day", "start_min", "end_min", "date_from", "date_to")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from offergrid.functions import keys as K
 from offergrid.functions.text import norm_code
+from offergrid.session import settled
 
 c = F.col
 # Words of secondary components, and the order of components.
@@ -92,10 +93,15 @@ def alias_groups(bridge: DataFrame) -> DataFrame:
     return (groups.filter("NOT has_primary").join(targets, ["idx", "who"]).select("key", "target"))
 
 
-def group_options(listings: DataFrame) -> Options:
+def group_options(listings: DataFrame, settle: bool = False) -> Options:
+    """Options and membership; ``settle`` writes the bridge out once when both are
+    read, or one of them several times."""
     bridge = option_bridge(listings)
     moved = alias_groups(bridge)
     joined = (bridge.join(moved, "key", "left").withColumn("key", F.coalesce("target", "key")).drop("target"))
+    if settle:
+        joined = settled(joined.select("key", "kind", "idx", "is_primary", "listing_id", "component", "section_number",
+                                       "schedule_number", "option_number", "units"))
     member = F.struct((~c("is_primary")).alias("late"), component_rank(c("component")).alias("rank"),
                       c("section_number"), c("schedule_number"), c("listing_id"), c("option_number"), c("units"),
                       c("component"))

@@ -25,14 +25,19 @@ SORT_MODES = {
 SHALLOW_ROWS = 10_000
 
 
-def alphabetical() -> list[Column]:
-    return [natural_key(c("subject")), natural_key(c("catalog_number")), natural_key(c("section_number")),
-            F.coalesce("option_number", F.lit(0)), natural_key(c("schedule_number"))]
+AZ_COLUMNS = ("_az_subject", "_az_number", "_az_section", "_az_option", "_az_schedule")
+
+
+def with_az(df: DataFrame) -> DataFrame:
+    """The A to Z key as columns, so that partitioning and sorting do not work it out again."""
+    return df.withColumns(dict(zip(AZ_COLUMNS, (
+        natural_key(c("subject")), natural_key(c("catalog_number")), natural_key(c("section_number")),
+        F.coalesce("option_number", F.lit(0)), natural_key(c("schedule_number"))))))
 
 
 def sort_order(mode: str, last: str = "option_id") -> list[Column]:
-    """Missing metrics come last both ways; ties are A to Z, then ``last``."""
-    keys = [*alphabetical(), c(last)]
+    """Order over ``with_az`` columns: missing metrics last both ways, ties A to Z, then ``last``."""
+    keys = [*[c(n) for n in AZ_COLUMNS], c(last)]
     if mode == "alphabetical_desc":
         return [k.desc() for k in keys]
     metric = SORT_MODES[mode]
@@ -45,7 +50,7 @@ def sort_order(mode: str, last: str = "option_id") -> list[Column]:
 
 def sort_options(df: DataFrame, mode: str, last: str = "option_id") -> DataFrame:
     """Rows with their position under ``mode``."""
-    return ranked(df, sort_order(mode, last))
+    return ranked(with_az(df), sort_order(mode, last)).drop(*AZ_COLUMNS)
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, largest: int = 50) -> DataFrame:
@@ -82,7 +87,7 @@ def search(listings: DataFrame, opts: Options, spec: FilterSpec) -> DataFrame:
     hits = match_options(matched, opts.membership, opts.options)
     metrics = [c("metrics")[n].alias(n) for n in ("rating", "difficulty", "reviews", "again")]
     slim = listings.select("listing_id", *SHOWN, *metrics)
-    shown = page(option_rows(slim, hits), sort_order(spec.sort_by), spec.page, spec.page_size)
+    shown = page(with_az(option_rows(slim, hits)), sort_order(spec.sort_by), spec.page, spec.page_size)
     unfiltered = opts.options.agg(F.count(F.lit(1))).scalar()
     heads = shown.select("pos", "option_id", "primary_id", "option_number", "n_members", "total", "pages",
                          unfiltered.alias("unfiltered"))
@@ -92,12 +97,16 @@ def search(listings: DataFrame, opts: Options, spec: FilterSpec) -> DataFrame:
     return members.withColumn("component_rank", component_rank(c("component")))
 
 
+def with_term_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("_term", term_key(c("term")))
+
+
 def canonical_keys() -> list[Column]:
-    return [term_key(c("term")).asc(), F.lower("subject").asc(), F.lower("catalog_number").asc(),
+    return [c("_term").asc(), F.lower("subject").asc(), F.lower("catalog_number").asc(),
             F.lower("section_number").asc(), F.lower("schedule_number").asc(), c("listing_id").asc()]
 
 
 def canonical_order(df: DataFrame) -> DataFrame:
     """Publish order: ranges over the table, sorted inside each file."""
     keys = canonical_keys()
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return with_term_key(df).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_term")

@@ -45,13 +45,29 @@ def day_of(ts: Column) -> Column:
     return F.lower(F.date_format(ts, "EEE"))
 
 
+SMALL_BYTES = 1 << 20
+TASK_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores when it is too small to fill them by itself.
+
+    A file of a few row groups is read by as many tasks, however many cores
+    there are.  From 64 MB per core on, the files give enough tasks and nothing
+    is shuffled; below 1 MB one task is enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SMALL_BYTES <= size < TASK_BYTES * cores else df
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
         # event time is an instant; the files store it without a zone (UTC)
         return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 

@@ -42,7 +42,7 @@ SELECT option_id, n_members FROM opt WHERE option_id IN (SELECT option_id FROM m
 def d6(v):
     """Options of which any member meets on Saturday."""
     lst = v.listings("order", "part")
-    opts = O.group_options(lst)
+    opts = O.group_options(lst, settle=True)
     hit = lst.filter(F.exists("meetings", lambda m: F.array_contains(m["days"], F.lit("sat"))))
     return O.match_options(hit, opts.membership, opts.options).select("option_id", "n_members")
 
@@ -62,7 +62,7 @@ SELECT (SELECT count(*) FROM phys) AS listings, (SELECT count(DISTINCT physical)
  (SELECT count(DISTINCT listing_id) FROM memb) AS represented, 'failed' AS status""")
 def e6(v):
     lst = v.listings("order", "part")
-    return O.coverage_audit(lst, O.group_options(lst))[0]
+    return O.coverage_audit(lst, O.group_options(lst, settle=True))[0]
 
 
 @query("e6_unaccounted_examples", _AUDIT + """
@@ -71,7 +71,7 @@ SELECT physical, arg_min(course_code || ' schedule #' || schedule_number || ' ('
 GROUP BY physical ORDER BY first_id LIMIT 20""")
 def e6_examples(v):
     lst = v.listings("order", "part")
-    return O.coverage_audit(lst, O.group_options(lst))[1]
+    return O.coverage_audit(lst, O.group_options(lst, settle=True))[1]
 
 
 def option_table(v):
@@ -100,7 +100,7 @@ SELECT option_id, row_number() OVER (ORDER BY {AZ}) AS pos, total, ceil(total /
 QUALIFY pos > 150 AND pos <= 200""")
 def g2(v):
     """Page 4; a size above 50 is taken as 50."""
-    return S.page(option_table(v), S.sort_order("alphabetical"), 4, 80).select("option_id", "pos", "total", "pages")
+    return S.page(S.with_az(option_table(v)), S.sort_order("alphabetical"), 4, 80).select("option_id", "pos", "total", "pages")
 
 
 @query("g2_last_page", f"""
@@ -109,7 +109,7 @@ SELECT option_id, row_number() OVER (ORDER BY {AZ}) AS pos, total, ceil(total /
 QUALIFY pos > (ceil(total / 50) - 1) * 50""")
 def g2_last(v):
     """A page number past the end gives the last page."""
-    return S.page(option_table(v), S.sort_order("alphabetical"), 10 ** 7, 50).select(
+    return S.page(S.with_az(option_table(v)), S.sort_order("alphabetical"), 10 ** 7, 50).select(
         "option_id", "pos", "total", "pages")
 
 
@@ -130,13 +130,12 @@ SELECT pos, pg.option_id, primary_id, pg.option_number, pg.n_members, total, cei
 FROM pg JOIN memb m ON pg.option_id = m.option_id JOIN lst l ON m.listing_id = l.listing_id""")
 def g3(v):
     lst = v.listings()
-    return S.search(lst, O.group_options(lst), FLAGSHIP)
+    return S.search(lst, O.group_options(lst, settle=True), FLAGSHIP)
 
 
 @query("g4_canonical_order", """
 SELECT listing_id, row_number() OVER (ORDER BY year(o_orderdate), quarter(o_orderdate), lower(subject), lower(catalog_number),
  section_number, schedule_number, listing_id) AS pos FROM lst""")
 def g4(v):
-    return ranked(v.listings("order", "part").select("listing_id", "term", "subject", "catalog_number",
-                                                     "section_number", "schedule_number"),
-                  S.canonical_keys()).select("listing_id", "pos")
+    return ranked(S.with_term_key(v.listings("order", "part").select(
+        "listing_id", "term", "subject", "catalog_number", "section_number", "schedule_number")), S.canonical_keys()).select("listing_id", "pos")
