@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offergrid.functions import keys as K
 from offergrid.functions.text import is_placeholder, squeeze
-from offergrid.operators.options import coverage_audit, group_options, physical
+from offergrid.operators.options import coverage_audit, group_options, materialized, physical
 from offergrid.operators.rollups import duplicate_keys, set_changes
 
 c = F.col
@@ -91,7 +91,7 @@ def rotate(active: DataFrame, incoming: DataFrame, retire: str) -> Rotation:
     same = matches_term(term, code)
     kept = active.filter(~old & ~same)
     table = kept.unionByName(incoming)
-    audit = coverage_audit(table, group_options(table, settle=True))[0]
+    audit = coverage_audit(table, materialized(group_options(table)))[0]
     n = F.count(F.lit(1))
     counts = active.agg(n.alias("before"), F.count_if(old).alias("retired"), F.count_if(same & ~old).alias("replaced")) \
         .select(F.lit(term).alias("incoming_term"), "before", "retired", "replaced",
@@ -141,7 +141,7 @@ def replace_keys(active: DataFrame, incoming: DataFrame, keys: DataFrame, term:
             .agg(F.count(F.lit(1))).scalar()
 
     def lost(df: DataFrame) -> Column:
-        return coverage_audit(df, group_options(df, settle=True))[0].select("unaccounted").scalar()
+        return coverage_audit(df, materialized(group_options(df)))[0].select("unaccounted").scalar()
 
     n = F.count(F.lit(1))
     report = here.agg(n.alias("current")).select(

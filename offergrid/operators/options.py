@@ -93,15 +93,17 @@ def alias_groups(bridge: DataFrame) -> DataFrame:
     return (groups.filter("NOT has_primary").join(targets, ["idx", "who"]).select("key", "target"))
 
 
-def group_options(listings: DataFrame, settle: bool = False) -> Options:
-    """Options and membership; ``settle`` writes the bridge out once when both are
-    read, or one of them several times."""
+def group_options(listings: DataFrame, settle: bool = True) -> Options:
+    """Options and membership.
+
+    The bridge is read four times (alias groups, alias targets, options,
+    membership), so it is written out once unless ``settle`` is off.
+    """
     bridge = option_bridge(listings)
+    if settle:
+        bridge = settled(bridge)
     moved = alias_groups(bridge)
     joined = (bridge.join(moved, "key", "left").withColumn("key", F.coalesce("target", "key")).drop("target"))
-    if settle:
-        joined = settled(joined.select("key", "kind", "idx", "is_primary", "listing_id", "component", "section_number",
-                                       "schedule_number", "option_number", "units"))
     member = F.struct((~c("is_primary")).alias("late"), component_rank(c("component")).alias("rank"),
                       c("section_number"), c("schedule_number"), c("listing_id"), c("option_number"), c("units"),
                       c("component"))
@@ -119,6 +121,11 @@ def group_options(listings: DataFrame, settle: bool = False) -> Options:
     return Options(options, membership)
 
 
+def materialized(opts: Options) -> Options:
+    """Both tables written out, for callers that read them more than once."""
+    return Options(settled(opts.options), settled(opts.membership))
+
+
 def match_options(matched: DataFrame, membership: DataFrame, options: DataFrame) -> DataFrame:
     """Options with a hit on ANY member."""
     hit = membership.join(matched.select("listing_id"), "listing_id", "left_semi").select("option_id")

@@ -11,6 +11,7 @@ from offergrid.functions.text import natural_key, term_key
 from offergrid.operators.filters import FilterSpec
 from offergrid.operators.options import Options, component_rank, match_options
 from offergrid.operators.ordering import ranked
+from offergrid.session import settled
 
 c = F.col
 # Sort modes as (metric column, descending); none means A to Z.
@@ -53,14 +54,17 @@ def sort_options(df: DataFrame, mode: str, last: str = "option_id") -> DataFrame
     return ranked(with_az(df), sort_order(mode, last)).drop(*AZ_COLUMNS)
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int, size: int, largest: int = 50) -> DataFrame:
+def page(df: DataFrame, order: Sequence[Column], number: int, size: int, largest: int = 50,
+         total: Column | None = None) -> DataFrame:
     """Rows of one page with ``pos``, ``total`` and ``pages``; numbers clamp.
 
     A shallow page is a top-k (no full sort); a deep one uses whole-table ranks.
+    ``total`` is the row count where the caller has a cheaper way to it.
     """
     size = min(max(size, 1), largest)
     number = max(number, 1)
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    if total is None:
+        total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     if number * size <= SHALLOW_ROWS:
         top = df.orderBy(*order).limit(number * size)
         placed = top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
@@ -84,10 +88,11 @@ SHOWN = ("subject", "catalog_number", "section_number", "schedule_number", "cour
 def search(listings: DataFrame, opts: Options, spec: FilterSpec) -> DataFrame:
     """One row per member of each option on the page, with live member values."""
     matched = listings.filter(spec.predicate())
-    hits = match_options(matched, opts.membership, opts.options)
+    hits = settled(match_options(matched, opts.membership, opts.options))
     metrics = [c("metrics")[n].alias(n) for n in ("rating", "difficulty", "reviews", "again")]
     slim = listings.select("listing_id", *SHOWN, *metrics)
-    shown = page(with_az(option_rows(slim, hits)), sort_order(spec.sort_by), spec.page, spec.page_size)
+    total = hits.agg(F.count(F.lit(1)).alias("total")).scalar()
+    shown = page(with_az(option_rows(slim, hits)), sort_order(spec.sort_by), spec.page, spec.page_size, total=total)
     unfiltered = opts.options.agg(F.count(F.lit(1))).scalar()
     heads = shown.select("pos", "option_id", "primary_id", "option_number", "n_members", "total", "pages",
                          unfiltered.alias("unfiltered"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 EVENT_KINDS = (("click", "open"), ("view", "waitlist"), ("purchase", "closed"),
                ("signup", "unknown"), ("error", "failure"))
@@ -45,6 +46,7 @@ def day_of(ts: Column) -> Column:
     return F.lower(F.date_format(ts, "EEE"))
 
 
+SCHEMAS: dict[str, StructType] = {}
 SMALL_BYTES = 1 << 20
 TASK_BYTES = 64 << 20
 
@@ -67,7 +69,11 @@ class Views:
         self.dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        df = spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
+        path = f"{self.dir}/{name}.parquet"
+        reader = self.spark.read.schema(SCHEMAS[path]) if path in SCHEMAS else self.spark.read
+        df = reader.parquet(path)
+        SCHEMAS.setdefault(path, df.schema)  # footers are read once per path
+        df = spread(df)
         # event time is an instant; the files store it without a zone (UTC)
         return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 

@@ -42,7 +42,7 @@ SELECT option_id, n_members FROM opt WHERE option_id IN (SELECT option_id FROM m
 def d6(v):
     """Options of which any member meets on Saturday."""
     lst = v.listings("order", "part")
-    opts = O.group_options(lst, settle=True)
+    opts = O.materialized(O.group_options(lst))
     hit = lst.filter(F.exists("meetings", lambda m: F.array_contains(m["days"], F.lit("sat"))))
     return O.match_options(hit, opts.membership, opts.options).select("option_id", "n_members")
 
@@ -62,7 +62,7 @@ SELECT (SELECT count(*) FROM phys) AS listings, (SELECT count(DISTINCT physical)
  (SELECT count(DISTINCT listing_id) FROM memb) AS represented, 'failed' AS status""")
 def e6(v):
     lst = v.listings("order", "part")
-    return O.coverage_audit(lst, O.group_options(lst, settle=True))[0]
+    return O.coverage_audit(lst, O.materialized(O.group_options(lst)))[0]
 
 
 @query("e6_unaccounted_examples", _AUDIT + """
@@ -71,7 +71,7 @@ SELECT physical, arg_min(course_code || ' schedule #' || schedule_number || ' ('
 GROUP BY physical ORDER BY first_id LIMIT 20""")
 def e6_examples(v):
     lst = v.listings("order", "part")
-    return O.coverage_audit(lst, O.group_options(lst, settle=True))[1]
+    return O.coverage_audit(lst, O.materialized(O.group_options(lst)))[1]
 
 
 def option_table(v):
@@ -130,7 +130,7 @@ SELECT pos, pg.option_id, primary_id, pg.option_number, pg.n_members, total, cei
 FROM pg JOIN memb m ON pg.option_id = m.option_id JOIN lst l ON m.listing_id = l.listing_id""")
 def g3(v):
     lst = v.listings()
-    return S.search(lst, O.group_options(lst, settle=True), FLAGSHIP)
+    return S.search(lst, O.materialized(O.group_options(lst)), FLAGSHIP)
 
 
 @query("g4_canonical_order", """
