@@ -39,6 +39,7 @@ def component_rank(component: Column) -> Column:
 class Options(NamedTuple):
     options: DataFrame      # one row per option
     membership: DataFrame   # option_id, listing_id, is_primary, n_members
+    bridge: DataFrame       # key, listing_id, is_primary of every listing, also of dropped groups
 
 
 def option_keys() -> Column:
@@ -116,14 +117,18 @@ def group_options(listings: DataFrame, settle: bool = True) -> Options:
     options = kept.select(
         c("key").alias("option_id"), "kind", c("first.listing_id").alias("primary_id"),
         F.when(c("kind") == "row", c("idx")).otherwise(c("first.option_number")).alias("option_number"), "n_members")
-    membership = (joined.join(kept.select("key", "n_members"), "key")
-                  .select(c("key").alias("option_id"), "listing_id", "is_primary", "n_members"))
-    return Options(options, membership)
+    return Options(options, members(joined, options), joined)
+
+
+def members(bridge: DataFrame, options: DataFrame) -> DataFrame:
+    return (bridge.join(options.select(c("option_id").alias("key"), "n_members"), "key")
+            .select(c("key").alias("option_id"), "listing_id", "is_primary", "n_members"))
 
 
 def materialized(opts: Options) -> Options:
     """Both tables written out, for callers that read them more than once."""
-    return Options(settled(opts.options), settled(opts.membership))
+    options = settled(opts.options)
+    return Options(options, settled(members(opts.bridge, options)), opts.bridge)
 
 
 def match_options(matched: DataFrame, membership: DataFrame, options: DataFrame) -> DataFrame:

@@ -51,9 +51,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor can
-    not make Spark recompute rows whose placement was already used."""
-    spark = df.sparkSession
-    if spark._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared folder and read back.
+
+    It cuts the lineage, so a lost executor can not make Spark work out again
+    rows whose placement was already used, and several readers share one pass;
+    unlike a checkpoint it prunes columns and has a known size.
+    """
+    path = new_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
