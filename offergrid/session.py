@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,13 +34,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made, once
-    per session.
+    Where that is unset, a session that runs in one process (tests, a laptop)
+    gets a temporary folder once; on a cluster it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("offergrid.shared.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("offergrid.shared.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("offergrid.shared.dir", named)
     return named.rstrip("/")
