@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offergrid.llm import exact_dedup, mixing
+from offergrid.llm import exact_dedup, mixing, sharding
 from offergrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_exact_dedup", exact_dedup.SQL)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_shard_by_links")
+def op10_shard_by_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
