@@ -218,6 +218,23 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.mapInArrow(_ids(path, pattern), schema)
 
 
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, source, n_tokens, token_ids, round_trip (whether the decoded bytes are the text's) of every row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = load(path, pattern)
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(2)]
+            ids = [codec.encode(t) for t in texts]
+            same = [codec.decode(i) == t.encode("utf-8", "replace") for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                 pa.array(same, pa.bool_())], names=["doc_id", "source", "n_tokens", "token_ids", "round_trip"])
+
+    return docs.select("doc_id", "source", "text").mapInArrow(
+        run, "doc_id long, source string, n_tokens long, token_ids array<int>, round_trip boolean")
+
+
 def _texts(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path, pattern)
