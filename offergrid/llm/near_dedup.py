@@ -25,6 +25,8 @@ from offergrid.llm.words import mix, shingles, slices, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
+#: Ids sent to every executor at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -129,6 +131,20 @@ def _verified(k: int, least: float):
     return run
 
 
+def _spread(k: int):
+    """Every shingle of every text with its weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, _, data, offsets in slices(batch.column(1)):
+                owner, value, times = bags(data, offsets, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + owner]), pa.array(value.view(np.int64)),
+                                                  pa.array(times.astype(np.int64))], names=["node", "shingle", "times"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it is linked to) of every node of ``edges`` (a, b).
 
@@ -162,9 +178,12 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     ignored; an empty table gives no rows.
 
     Texts with equal bags are one node.  In every bucket of a band, each node
-    meets the bucket's smallest node; nodes that this leaves outside the
-    bucket's main component meet the rest of the bucket, so no pair of a bucket
-    that could still join two components goes unverified.
+    meets the bucket's smallest node.  In buckets that this leaves in several
+    components, the shingles that one node alone has bound what it can share:
+    nodes that can reach ``least`` with some node meet the most central one of
+    the bucket, and those still outside its main component meet all the others
+    they can reach ``least`` with.  So no pair of a bucket that could still join
+    two components goes unverified.
     """
     body = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     signed = settle(body.mapInArrow(_signed(bands, rows, k), "doc_id long, size long, d1 long, d2 long, bands array<long>"),
@@ -177,8 +196,10 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     buckets = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
                .select(F.col("key").alias("bucket"), "pivot"))
     held = settle(keys.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "pivot", "node", "size"), "held")
-    ids = held.select(F.col("node").alias("id")).distinct()
-    texts = settle(body.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    ids = settle(held.select(F.col("node").alias("id")).distinct(), "ids")
+    # the ids of copies, if they are few enough for every executor to hold; else both sides are shuffled
+    few_ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = settle(body.join(few_ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("doc_id").alias("ia"), F.col("text").alias("ta"))
@@ -192,21 +213,46 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     first = linked(stars)
     same = signed.filter(F.col("doc_id").isNotNull()).join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select(
         F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(first)
-    inside = held.join(labels.withColumnRenamed("node", "ln"), F.col("node") == F.col("ln"), "left").select(
-        "bucket", "node", "size", F.coalesce("label", "node").alias("label"))
-    split = settle(inside.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "split")
-    mains = split.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("top"),
-                                        F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(
-        F.col("bucket").alias("mb"), (-F.col("top.l")).alias("main"))
-    inside = settle(inside.join(mains, F.col("bucket") == F.col("mb")).drop("mb"), "inside")
-    few = inside.filter(F.col("label") != F.col("main")).select(
-        F.col("bucket").alias("fb"), F.col("node").alias("fn"), F.col("size").alias("fs"), F.col("label").alias("fl"))
-    close = F.least("size", "fs") >= F.lit(least) * F.greatest("size", "fs")
-    rest = (inside.join(few, (F.col("bucket") == F.col("fb")) & (F.col("label") != F.col("fl")) & close)
+
+    def unresolved(members: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component, with ``label`` and the bucket's largest, ``main``."""
+        labels = components(links).select(F.col("node").alias("ln"), "label")
+        named = settle(members.join(labels, F.col("node") == F.col("ln"), "left").drop("ln")
+                       .withColumn("label", F.coalesce("label", "node")), "named")
+        parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        mains = parts.groupBy(F.col("bucket").alias("mb")).agg(
+            F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        return named.join(mains.select("mb", (-F.col("top.l")).alias("main")), F.col("bucket") == F.col("mb")).drop("mb")
+
+    def could_link(size_a, alone_a, size_b, alone_b):
+        """Whether two bags can reach ``least``: no more than what is not theirs alone can be common."""
+        common = F.least(F.col(size_a) - F.col(alone_a), F.col(size_b) - F.col(alone_b))
+        return common >= F.lit(least) * (F.col(size_a) + F.col(size_b) - common)
+
+    open_now = settle(unresolved(held.select("bucket", "node", "size"), first.select("a", "b")), "open")
+    wanted = open_now.select(F.col("node").alias("id")).distinct()
+    spread = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(
+        _spread(k), "node long, shingle long, times long")
+    own = (spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("an"), F.min("times").alias("times"))
+           .filter("nodes = 1").groupBy("an").agg(F.sum("times").alias("alone")))
+    able = settle(open_now.join(own, F.col("node") == F.col("an"), "left").drop("an").withColumn("alone", F.coalesce("alone", F.lit(0)))
+                  .filter(F.col("size") - F.col("alone") >= F.lit(least) * F.col("size")), "able")
+    centres = able.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "node", "size", "alone", "label"))
+                                         .alias("c")).select(
+        F.col("bucket").alias("cb"), F.col("c.node").alias("cn"), F.col("c.size").alias("cs"), F.col("c.alone").alias("ca"),
+        F.col("c.label").alias("cl"))
+    spokes = settle(able.join(centres, (F.col("bucket") == F.col("cb")) & (F.col("label") != F.col("cl")) & could_link("size", "alone", "cs", "ca"))
+                    .select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct()
+                    .join(stars, ["a", "b"], "left_anti"), "spokes")
+    second = linked(spokes)
+    still = settle(unresolved(able.select("bucket", "node", "size", "alone"), first.select("a", "b").union(second.select("a", "b"))), "still")
+    few = still.filter(F.col("label") != F.col("main")).select(
+        F.col("bucket").alias("fb"), F.col("node").alias("fn"), F.col("size").alias("fs"), F.col("alone").alias("fa"), F.col("label").alias("fl"))
+    rest = (still.join(few, (F.col("bucket") == F.col("fb")) & (F.col("label") != F.col("fl")) & could_link("size", "alone", "fs", "fa"))
             .select(F.least("node", "fn").alias("a"), F.greatest("node", "fn").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    second = linked(settle(rest, "rest"))
+            .join(stars.unionByName(spokes), ["a", "b"], "left_anti"))
+    third = linked(settle(rest, "rest"))
+    second = second.unionByName(third)
     links = settle(first.select("a", "b").union(second.select("a", "b")).union(same.filter(F.col("a") != F.col("b"))), "all")
     classes = components(links)
     sizes = classes.join(signed.select("doc_id"), F.col("node") == F.col("doc_id")).groupBy("label").agg(
