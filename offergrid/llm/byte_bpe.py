@@ -27,6 +27,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 24
@@ -214,7 +215,7 @@ def _ids(path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with a column ``token_ids``; a column of that name is replaced."""
     docs = docs.drop("token_ids")
-    schema = docs.schema.add("token_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(_ids(path, pattern), schema)
 
 
@@ -252,5 +253,5 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``coded`` with ``token_ids`` turned back into a column ``text``."""
     coded = coded.drop("text")
     rest = [f for f in coded.schema.fields if f.name != "token_ids"]
-    schema = type(coded.schema)(rest).add("text", "string")
+    schema = T.StructType([*rest, T.StructField("text", T.StringType())])
     return coded.mapInArrow(_texts(path, pattern), schema)

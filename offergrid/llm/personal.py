@@ -25,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters on both sides of a digit or @ that are read; window length and step; windows the model is fitted on.
 AROUND, WINDOW, STEP = 20, 96, 56
 FIT_SPANS, FIT_OTHER = 1_000, 500
-HIDDEN, EPOCHS, BATCH = 16, 14, 48
+HIDDEN, STEPS, BATCH = 16, 450, 48
 SYMBOLS, TAGS = 131, 1 + 2 * len(KINDS)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -224,11 +224,12 @@ class Tagger:
             tag = came[i][np.arange(b), tag]
         return [out[i, :len(x)] for i, x in enumerate(texts)]
 
-    def train(self, texts: list[str], tags: list[np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> float:
+    def train(self, texts: list[str], tags: list[np.ndarray], steps: int = STEPS, seed: int = 5) -> float:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         coded, step, loss = [symbols(t) for t in texts], 0, 0.0
+        epochs = -(-steps // -(-len(texts) // BATCH))
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):

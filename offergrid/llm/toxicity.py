@@ -126,8 +126,8 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 0))
     parts = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "_id")  # at most 2 x bound ids: broadcast
-    return settle(docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id"))
-                  .select(F.col("text").alias("text"), "toxic", (remainder(F.col("_id")) == FOLDS - 1).alias("late")), "sample")
+    return settle(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+                  .select("text", "toxic", (remainder(F.col("_id")) == FOLDS - 1).alias("late")), "sample")
 
 
 def _counts(frames: Iterator[pd.DataFrame], of: Callable[[list[str]], Iterable[str]]) -> Iterator[pd.DataFrame]:

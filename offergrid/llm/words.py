@@ -64,8 +64,7 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     ends = np.repeat(np.cumsum(counts), counts)
     whole = ends >= np.arange(n) + k
     out = np.zeros(n, _U)
-    for j in range(k):
-        out[:n - j] = out[:n - j] * _U(0xD6E8FEB86659FD93) + words[j:]
-        if j:
-            out[n - j:] *= _U(0xD6E8FEB86659FD93)
+    for j in range(min(k, n)):
+        out *= _U(0xD6E8FEB86659FD93)
+        out[:n - j] += words[j:]
     return mix(out), whole
