@@ -22,15 +22,19 @@ def _plain(name: str) -> Column:
     return F.col(name).asc_nulls_first()
 
 
-def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "pos") -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "pos",
+           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``out`` = 1, 2, 3 … within ``by`` (or over the whole table).
 
-    ``order`` must end in a unique column.  The chunk number is checkpointed:
-    range bounds come from a sample and must not move under a later read.
+    ``order`` must end in a unique column.  The number of chunks follows from the
+    number of rows alone, so no task sees more than about ``chunk_rows`` rows
+    whatever the shuffle settings; range bounds come from a sample, hence the
+    margin.  The chunk number is stored: bounds must not move under a later read.
     """
     keys = list(by)
     full = [_plain(k) for k in keys] + list(order)
-    chunks = settled(df.repartitionByRange(*full).withColumn("_chunk", F.spark_partition_id()))
+    parts = max(1, -(-2 * df.count() // chunk_rows))
+    chunks = settled(df.repartitionByRange(parts, *full).withColumn("_chunk", F.spark_partition_id()))
     sizes = chunks.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"),

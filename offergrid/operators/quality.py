@@ -79,12 +79,18 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def identity_conflicts(df: DataFrame, key: str, body: str, order: str) -> DataFrame:
-    """Rows that differ from the first row of their key: ``conflict``; equal ones: ``duplicate``."""
-    first = df.groupBy(key).agg(F.min_by(F.struct(c(body).alias("b"), c(order).alias("o")), order).alias("_f"),
-                                F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    later = df.join(first, key).filter(c(order) > c("_f.o"))
-    return later.withColumn("kind", F.when(c(body).eqNullSafe(c("_f.b")), "duplicate").otherwise("conflict")) \
-        .drop("_f", "_n")
+    """Rows that differ from the first row of their key: ``conflict``; equal ones: ``duplicate``.
+
+    Bodies are compared by a 256-bit digest and their length, so no long text is
+    aggregated or carried to another row.
+    """
+    text = c(body).cast("string")
+    marked = df.withColumn("_d", F.struct(F.length(text).alias("n"), F.unhex(F.sha2(text, 256)).alias("h")))
+    first = marked.groupBy(key).agg(F.min_by(F.struct(c("_d").alias("d"), c(order).alias("o")), order).alias("_f"),
+                                    F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    later = marked.join(first, key).filter(c(order) > c("_f.o"))
+    return later.withColumn("kind", F.when(c("_d").eqNullSafe(c("_f.d")), "duplicate").otherwise("conflict")) \
+        .drop("_f", "_n", "_d")
 
 
 def run_consistency(i: BuildInputs) -> DataFrame:

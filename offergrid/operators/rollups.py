@@ -301,11 +301,11 @@ def subject_inventory(seed: DataFrame, seen: DataFrame) -> DataFrame:
         "subject", (c("seen") & ~c("in_seed")).alias("is_new"), (c("in_seed") & ~c("seen")).alias("not_seen"), "pos")
 
 
-def error_rollup(events: DataFrame, key: Sequence[str], limit: int = 50) -> DataFrame:
-    """Occurrences, first and last time per error key; newest first."""
+def error_rollup(events: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Occurrences, first and last time per error key; newest first, all of them."""
     return (events.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"), F.min("ts").alias("first_at"),
                                      F.max("ts").alias("last_at"))
-            .orderBy(c("last_at").desc(), *[c(k).asc() for k in key]).limit(limit))
+            .orderBy(c("last_at").desc(), *[c(k).asc() for k in key]))
 
 
 def latency_stats(df: DataFrame, column: str, key: str, slow: float) -> DataFrame:
@@ -346,10 +346,10 @@ def rescrape_targets(listings: DataFrame, class_signals: DataFrame, source_signa
 
 
 def removal_candidates(listings: DataFrame, seats: DataFrame, failed_pages: DataFrame, missing: DataFrame, now: Column,
-                       stale_hours: int = 48, limit: int = 250) -> DataFrame:
+                       stale_hours: int = 48) -> DataFrame:
     """Physical classes that are stale or carry a signal, most urgent first.
 
-    Ages are seconds since the newest seat time.  ``limit`` is the report size.
+    Ages are hours since the newest seat time.  A cut for a report belongs to ``page``.
     """
     bad = failed_pages.select("source_url", F.lit(True).alias("_f")).distinct()
     per = (listings.join(bad, "source_url", "left").groupBy("physical").agg(
@@ -364,7 +364,7 @@ def removal_candidates(listings: DataFrame, seats: DataFrame, failed_pages: Data
     signal = c("failed") | c("missing")
     return (kept.withColumn("status", F.when(signal, "suspected").otherwise("stale"))
             .orderBy(c("missing").desc(), signal.desc(), F.coalesce("age_hours", F.lit(0.0)).desc(), "course_code",
-                     "physical").limit(limit)
+                     "physical")
             .select("physical", "course_code", "age_hours", "failed", "missing", "crosslisted", "status"))
 
 

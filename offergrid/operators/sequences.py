@@ -107,20 +107,15 @@ def first_per_key(df: DataFrame, by: Sequence[str], order: Sequence[Column]) ->
         *by, *[c("_r")[n].alias(n) for n in rest])
 
 
-def option_signature(rows: DataFrame, row: Sequence[str], member: str, place: str, text_limit: int = 1000) -> DataFrame:
+def option_signature(rows: DataFrame, row: Sequence[str], member: str, place: str) -> DataFrame:
     """Signature per row (its sorted class numbers joined with “+”), back on each class.
 
-    Rows of more than ``text_limit`` classes get a digest of the set instead of
-    a text of that length: count and two order-free sums of hashes.
+    The text has this one form for rows of any size; distinct classes are taken
+    out first with partial aggregates, so a row's list holds each class once.
     """
     members = rows.groupBy(*row, member).agg(F.min(place).alias("_p"))
-    sizes = members.groupBy(*row).agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(member, F.struct("_p", member)).alias("_first"),
-        F.bit_xor(F.xxhash64(member)).alias("_x"), F.sum(F.xxhash64(F.lit("s"), member) % 1_000_000_007).alias("_y"))
-    small = members.join(sizes.filter(c("_n") <= text_limit).select(*row), list(row), "left_semi")
-    texts = small.groupBy(*row).agg(F.array_join(F.array_sort(F.collect_list(member)), "+").alias("_t"))
-    digest = F.concat_ws(":", F.lit("set"), c("_n").cast("string"), F.hex("_x"), c("_y").cast("string"))
-    heads = sizes.join(texts, list(row), "left").select(*row, "_first", F.coalesce("_t", digest).alias("signature"))
+    heads = members.groupBy(*row).agg(F.min_by(member, F.struct("_p", member)).alias("_first"),
+                                      F.array_join(F.array_sort(F.collect_list(member)), "+").alias("signature"))
     return members.join(heads, list(row)).select(*row, member, "signature", (c(member) == c("_first")).alias("is_primary"))
 
 

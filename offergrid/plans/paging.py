@@ -133,17 +133,19 @@ def k7(v):
 
 @query("k8_resolve_pages", _SCORED + """,
 ov AS (SELECT page_id, 'https://override.example.edu/' || page_id AS link FROM pages WHERE url LIKE '%.html'),
+main AS (SELECT page_id, arg_min(link, struct_pack(a := -score, b := lower(title), c := link)) AS link FROM sc WHERE score > 0 AND contains(title, 'q') GROUP BY 1),
 pos AS (SELECT page_id, arg_min(link, struct_pack(a := -score, b := lower(title), c := link)) AS link FROM sc WHERE score > 0 GROUP BY 1),
 one AS (SELECT page_id, min(link) AS link FROM sc WHERE contains(title, 'th') GROUP BY 1 HAVING count(DISTINCT link) = 1)
-SELECT p.page_id, CASE WHEN ov.link IS NOT NULL THEN 'override' WHEN pos.link IS NOT NULL THEN 'page_link' WHEN one.link IS NOT NULL THEN 'only_link'
- WHEN p.page_id % 3 = 0 THEN 'itself' ELSE 'unresolved' END AS method FROM pages p LEFT JOIN ov USING (page_id) LEFT JOIN pos USING (page_id) LEFT JOIN one USING (page_id)""")
+SELECT p.page_id, CASE WHEN ov.link IS NOT NULL THEN 'override' WHEN main.link IS NOT NULL THEN 'main_link' WHEN pos.link IS NOT NULL THEN 'page_link' WHEN one.link IS NOT NULL THEN 'only_link'
+ WHEN p.page_id % 3 = 0 THEN 'itself' ELSE 'unresolved' END AS method,
+ coalesce(ov.link, main.link, pos.link, one.link, CASE WHEN p.page_id % 3 = 0 THEN regexp_replace(p.url, '[?#].*$', '') END) AS target FROM pages p LEFT JOIN ov USING (page_id) LEFT JOIN main USING (page_id) LEFT JOIN pos USING (page_id) LEFT JOIN one USING (page_id)""")
 def k8(v):
     pages = titled(v)
-    links = K.page_links(v.table("pages")).select("page_id", "title", "link", "identity", F.lit(False).alias("in_main"),
+    links = K.page_links(v.table("pages")).select("page_id", "title", "link", "identity", F.contains("title", F.lit("q")).alias("in_main"),
                                                   F.contains("title", F.lit("th")).alias("is_program"))
     fixed = v.table("pages").filter(F.endswith("url", F.lit(".html"))).select(
         "page_id", F.concat(F.lit("https://override.example.edu/"), c("page_id").cast("string")).alias("link"))
-    return K.resolve_pages(pages, links, fixed).select("page_id", "method")
+    return K.resolve_pages(pages, links, fixed)
 
 
 @query("k9_facet_values", """

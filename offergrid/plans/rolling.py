@@ -318,7 +318,7 @@ def e25_subjects(v):
 
 @query("e27_error_rollup", """
 SELECT user_id, k, count(*) AS occurrences, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at
-FROM upd WHERE kind = 'failure' GROUP BY ALL ORDER BY max(ts) DESC, user_id, k LIMIT 50""")
+FROM upd WHERE kind = 'failure' GROUP BY ALL""")
 def e27(v):
     rows = R.error_rollup(v.updates().filter("kind = 'failure'"), ["user_id", "k"])
     return rows.select("user_id", "k", "occurrences", *[F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n)
@@ -370,8 +370,7 @@ p AS (SELECT physical, min(course_code) AS course_code, bool_or(l_suppkey IN (SE
 j AS (SELECT p.*, greatest(round((epoch(TIMESTAMP '2024-01-25 00:00:00') - epoch(n.ts)) / 3600, 1), 0) AS age,
  p.physical IN (SELECT physical FROM cs WHERE signal = 'missing_grid') AS missing FROM p LEFT JOIN newest n ON p.physical = n.physical)
 SELECT physical, course_code, CASE WHEN age IS NOT NULL THEN age END AS age_hours, failed, missing, crosslisted,
- CASE WHEN failed OR missing THEN 'suspected' ELSE 'stale' END AS status FROM j WHERE age >= 48 OR failed OR missing
-ORDER BY missing DESC, (failed OR missing) DESC, coalesce(age, 0) DESC, course_code, physical LIMIT 250""")
+ CASE WHEN failed OR missing THEN 'suspected' ELSE 'stale' END AS status FROM j WHERE age >= 48 OR failed OR missing""")
 def e30(v):
     seats = O.newest(seat_rules(v.observations()), "physical", ["ts", "event_id"])
     missing = signals(v).filter("signal = 'missing_grid'").select("physical")

@@ -18,11 +18,11 @@ def f1(v):
 
 
 @query("f2_carry_forward", """
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 30) END IGNORE NULLS) OVER w AS label,
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS label,
  last_value(CASE WHEN length(text) > 400 THEN turn END IGNORE NULLS) OVER w AS long_turn FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
 def f2(v):
-    rows = v.table("conversations").select("conv_id", "turn", F.when(c("role") == "user", F.substring("text", 1, 30)).alias("label"),
+    rows = v.table("conversations").select("conv_id", "turn", F.when(c("role") == "user", c("text")).alias("label"),
                                            F.when(F.length("text") > 400, c("turn")).alias("long_turn"))
     return Q.carry_forward(rows, ["conv_id"], [c("turn").asc()], ["label", "long_turn"], block=3).drop("pos")
 

@@ -17,18 +17,20 @@ c = F.col
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
-def replay(v, updates=None, slices: int = 3, by_hash: bool = False, only=None) -> str:
-    """The events as files that arrive one after the other, in time order or shuffled."""
+def replay(v, root: str, updates=None, slices: int = 3, by_hash: bool = False):
+    """Let the events arrive in slices, in time order or shuffled; a turn of the loop a slice.
+
+    A slice is written by as many tasks as there are, and is one micro-batch of
+    the run that follows it.
+    """
     ev = updates if updates is not None else v.updates()
-    root = new_folder(v.spark, "replay")
     lo, hi = v.table("events").agg(F.min(c("ts").cast("double")), F.max(c("ts").cast("double"))).first()
     spot = F.floor((c("ts").cast("double") - lo) / ((hi - lo) / slices + 1))
     if by_hash:
         spot = c("event_id") % slices
     for i in range(slices):
-        if only is None or i in only:
-            ev.filter(spot == i).coalesce(1).write.parquet(f"{root}/slice={i}")
-    return root
+        ev.filter(spot == i).write.parquet(f"{root}/slice={i}")
+        yield i
 
 
 def stream_of(v, root: str):
@@ -36,8 +38,9 @@ def stream_of(v, root: str):
 
 
 def run(v, build, mode: str = "update", **kw):
-    root, out = replay(v, **kw), new_folder(v.spark, "stream")
-    R.run_available(build(stream_of(v, root)), R.batch_writer(f"{out}/rows"), f"{out}/checkpoint", mode)
+    root, out = new_folder(v.spark, "replay"), new_folder(v.spark, "stream")
+    for _ in replay(v, root, **kw):
+        R.run_available(build(stream_of(v, root)), R.batch_writer(f"{out}/rows"), f"{out}/checkpoint", mode)
     return R.read_batches(v.spark, f"{out}/rows")
 
 
@@ -204,8 +207,9 @@ WITH b AS (SELECT event_id % 3 AS slice, max(ts) AS m FROM events GROUP BY 1)
 SELECT event_id, coalesce(ts < (SELECT max(m) FROM b WHERE b.slice < event_id % 3) - INTERVAL 30 MINUTE, false) AS late FROM events""")
 def i9(v):
     """Shuffled arrival: late rows go to a side table, none is lost."""
-    root, out = replay(v, by_hash=True), new_folder(v.spark, "late")
-    R.run_available(stream_of(v, root), T.late_splitter(out, 1800), f"{out}/checkpoint")
+    root, out = new_folder(v.spark, "replay"), new_folder(v.spark, "late")
+    for _ in replay(v, root, by_hash=True):
+        R.run_available(stream_of(v, root), T.late_splitter(out, 1800), f"{out}/checkpoint")
     return R.read_batches(v.spark, f"{out}/rows").select("event_id", c("late").cast("boolean").alias("late"))
 
 
@@ -233,24 +237,18 @@ cyc AS (SELECT 0 AS no, 0.0::DOUBLE AS ended UNION ALL SELECT no + 1, (SELECT ma
  WHERE (SELECT count(DISTINCT user_id) FROM s WHERE t0 > ended) = (SELECT n FROM n))
 SELECT round(ended, 3) AS ended FROM cyc WHERE no > 0""")
 def i11(v):
-    root, out = replay(v), new_folder(v.spark, "cycles")
+    root, out = new_folder(v.spark, "replay"), new_folder(v.spark, "cycles")
     good = v.updates().filter("kind <> 'failure'")
     each = T.cycle_counter(out, good.select("user_id").distinct(), "user_id")
-    R.run_available(stream_of(v, root).filter("kind <> 'failure'"), each, f"{out}/checkpoint")
+    for _ in replay(v, root):
+        R.run_available(stream_of(v, root).filter("kind <> 'failure'"), each, f"{out}/checkpoint")
     return R.read_batches(v.spark, f"{out}/ends").select(F.round("ended", 3).alias("ended"))
 
 
 @query("i12_checkpointed_sink", "SELECT physical, status, open_seats, 1 AS schema_version FROM newest")
 def i12(v):
-    """Two slices, a stop, a third slice, a restart from the checkpoint."""
-    root, out = replay(v, only=(0, 1)), new_folder(v.spark, "overlay")
-
-    def go():
+    """A stop and a restart from the checkpoint after every slice."""
+    root, out = new_folder(v.spark, "replay"), new_folder(v.spark, "overlay")
+    for _ in replay(v, root):
         R.run_available(seat_rules(v.observations(stream_of(v, root))), T.overlay_writer(f"{out}/rows"), f"{out}/checkpoint")
-
-    go()
-    later = replay(v, only=(2,))
-    v.spark.read.parquet(f"{later}/slice=2").coalesce(1).write.parquet(f"{root}/slice=2")
-    go()
-    rows = R.read_batches(v.spark, f"{out}/rows")
-    return rows.filter(c("batch") == rows.agg(F.max("batch")).scalar()).select("physical", "status", "open_seats", "schema_version")
+    return T.read_overlay_batches(v.spark, f"{out}/rows").select("physical", "status", "open_seats", "schema_version")

@@ -5,41 +5,51 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 c = F.col
 
 
+def _hash_columns(df: DataFrame) -> list:
+    h = F.xxhash64(*[c(f"`{n}`") for n in sorted(df.columns)])
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"),
+            F.coalesce(F.sum(h % 1_000_000_007), F.lit(0)).alias("total")]
+
+
 def logical_hash(df: DataFrame) -> DataFrame:
     """(rows, xor, sum): equal for equal row sets whatever their order or files."""
-    h = F.xxhash64(*[c(f"`{n}`") for n in sorted(df.columns)])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"),
-                  F.coalesce(F.sum(h % 1_000_000_007), F.lit(0)).alias("total"))
+    return df.agg(*_hash_columns(df))
 
 
 class Version(NamedTuple):
+    """One row of the pointer: its number, the table it shows, and the number of the row it stands on (0: none)."""
+
     number: int
     path: str
+    parent: int = 0
 
 
 def _pointer(target: str) -> str:
     return f"{target.rstrip('/')}/pointer"
 
 
-def versions(spark: SparkSession, target: str) -> list[Version]:
-    """Pointer rows of a table, newest first; one row per publish."""
+def _pointer_row(spark: SparkSession, target: str, number: int | None = None) -> Version | None:
+    """The newest row of the pointer, or the one with ``number``; None if there is none."""
     try:
-        rows = spark.read.parquet(_pointer(target)).orderBy(c("seq").desc()).limit(1000).collect()
+        rows = spark.read.schema("seq long, path string, parent long").parquet(_pointer(target))
+        row = (rows if number is None else rows.filter(c("seq") == number)).orderBy(c("seq").desc()).first()
     except Exception as exc:  # noqa: BLE001 - only a table that does not exist yet is fine
         if "PATH_NOT_FOUND" in str(exc):
-            return []
+            return None
         raise
-    return [Version(r["seq"], r["path"]) for r in rows]
+    return Version(row["seq"], row["path"], row["parent"]) if row else None
 
 
-def _point(spark: SparkSession, target: str, seq: int, path: str) -> None:
-    spark.createDataFrame([(seq, path)], "seq long, path string").coalesce(1).write.mode("append").parquet(_pointer(target))
+def _point(spark: SparkSession, target: str, seq: int, path: str, parent: int) -> Version:
+    row = spark.createDataFrame([(seq, path, parent)], "seq long, path string, parent long")
+    row.coalesce(1).write.mode("append").parquet(_pointer(target))  # one row
+    return Version(seq, path, parent)
 
 
 def publish(df: DataFrame, target: str, partition_by: Sequence[str] = ("term",)) -> Version:
@@ -47,37 +57,35 @@ def publish(df: DataFrame, target: str, partition_by: Sequence[str] = ("term",))
 
     Readers follow the pointer, so they see the old or the new table, never
     half of one.  A failed write or check leaves the pointer alone; the version
-    before is the backup.
+    before is the backup.  The hash of what is written is taken by the write.
     """
     spark = df.sparkSession
-    old = versions(spark, target)
-    seq = (old[0].number if old else 0) + 1
-    path = f"{target.rstrip('/')}/version={seq}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    want = logical_hash(df).first()
+    old = _pointer_row(spark, target)
+    seq = (old.number if old else 0) + 1
+    path, seen = f"{target.rstrip('/')}/version={seq}", Observation()
+    df.observe(seen, *_hash_columns(df)).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    want = tuple(seen.get[n] for n in ("rows", "xor", "total"))
     back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     got = logical_hash(back).first()
-    if tuple(want) != tuple(got):
-        raise ValueError(f"read-back of {path} differs: wrote {tuple(want)}, read {tuple(got)}")
-    _point(spark, target, seq, path)
-    return Version(seq, path)
+    if want != tuple(got):
+        raise ValueError(f"read-back of {path} differs: wrote {want}, read {tuple(got)}")
+    return _point(spark, target, seq, path, old.number if old else 0)
 
 
 def read_published(spark: SparkSession, target: str) -> DataFrame:
-    known = versions(spark, target)
-    if not known:
+    known = _pointer_row(spark, target)
+    if known is None:
         raise ValueError(f"nothing published at {target}")
-    return spark.read.parquet(known[0].path)
+    return spark.read.parquet(known.path)
 
 
 def rollback(spark: SparkSession, target: str) -> Version:
-    """Point back to the version before the current one."""
-    known = versions(spark, target)
-    earlier = [v for v in known if v.path != known[0].path] if known else []
-    if not earlier:
+    """Point back to what the current version was published upon; a second call goes back one more."""
+    known = _pointer_row(spark, target)
+    earlier = _pointer_row(spark, target, known.parent) if known else None
+    if earlier is None:
         raise ValueError(f"no earlier version at {target}")
-    _point(spark, target, known[0].number + 1, earlier[0].path)
-    return Version(known[0].number + 1, earlier[0].path)
+    return _point(spark, target, known.number + 1, earlier.path, earlier.parent)
 
 
 def table_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -88,11 +96,8 @@ def table_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def append_by_id(existing: DataFrame, incoming: DataFrame, key: str = "listing_id") -> DataFrame:
-    """Merge keyed by id: the incoming row wins."""
-    rest = [n for n in existing.columns if n != key]
-    both = existing.withColumn("_rank", F.lit(0)).unionByName(incoming.withColumn("_rank", F.lit(1)))
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), "_rank").alias("r")).select(
-        key, *[c("r")[n].alias(n) for n in rest])
+    """Merge keyed by id: the incoming row wins; rows of other ids pass as they are, ids being unique on each side."""
+    return existing.join(incoming.select(key), key, "left_anti").select(*existing.columns).unionByName(incoming)
 
 
 def report_tables(parts: dict[str, DataFrame]) -> DataFrame:

@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("recursiveFileLookup", True).parquet(path))
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
+
+
+def follow(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
+           every: str = "30 seconds") -> StreamingQuery:
+    """Keep processing what arrives, with a flush at most ``every`` interval; the caller stops the query."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+            .trigger(processingTime=every).start())
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
