@@ -24,7 +24,9 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -34,7 +36,9 @@ LEAF_BYTES = 24
 LEAF_TOKENS = 4096
 NEVER = 1 << 60
 #: Entries kept in each memo of a worker; a full memo is emptied.
-MEMO = 800_000
+MEMO = 250_000
+#: Bytes of text whose ids are held at a time.
+PORTION = 2_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -201,13 +205,36 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digests(path, pattern), SCHEMA)
 
 
+def _portions(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``PORTION`` bytes of text in column ``texts``, so ids of few texts are held at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_pylist()
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > PORTION:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+def _id_lists(codec: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    """Token ids of every text as one Arrow list column; a text's Python ids are gone before the next one's come."""
+    parts, ends = [], [0]
+    for text in texts:
+        parts.append(np.array(codec.encode(text.as_py() or ""), np.int32))
+        ends.append(ends[-1] + len(parts[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+
+
 def _ids(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path, pattern)
         for batch in batches:
-            ids = [codec.encode(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))],
-                                             names=[*batch.schema.names, "token_ids"])
+            at = batch.schema.get_field_index("text")
+            for part in _portions(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, _id_lists(codec, part.column(at))],
+                                                 names=[*batch.schema.names, "token_ids"])
 
     return run
 
@@ -225,12 +252,13 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path, pattern)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(2)]
-            ids = [codec.encode(t) for t in texts]
-            same = [codec.decode(i) == t.encode("utf-8", "replace") for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                 pa.array(same, pa.bool_())], names=["doc_id", "source", "n_tokens", "token_ids", "round_trip"])
+            for part in _portions(batch, 2):
+                ids = _id_lists(codec, part.column(2))
+                same = [codec.decode(i.values.to_numpy().tolist()) == (t.as_py() or "").encode("utf-8", "replace")
+                        for i, t in zip(ids, part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.cast(pc.list_value_length(ids), pa.int64()), ids,
+                                                  pa.array(same, pa.bool_())],
+                                                 names=["doc_id", "source", "n_tokens", "token_ids", "round_trip"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(
         run, "doc_id long, source string, n_tokens long, token_ids array<int>, round_trip boolean")

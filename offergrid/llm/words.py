@@ -9,7 +9,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes worked on at a time; a longer text is worked on alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
