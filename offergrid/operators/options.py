@@ -74,8 +74,9 @@ MEMBER_COLUMNS = ("listing_id", "course_code", "term", "component", "section_num
 
 
 def option_bridge(listings: DataFrame) -> DataFrame:
-    return (listings.withColumn("_k", F.explode(option_keys()))
-            .select(*MEMBER_COLUMNS, c("_k.kind").alias("kind"), c("_k.key").alias("key"), c("_k.idx").alias("idx"),
+    """One row per listing and option key, with the physical class, so that audits need no join back."""
+    return (physical(listings).withColumn("_k", F.explode(option_keys()))
+            .select(*MEMBER_COLUMNS, "physical", c("_k.kind").alias("kind"), c("_k.key").alias("key"), c("_k.idx").alias("idx"),
                     c("_k.is_primary").alias("is_primary")))
 
 
@@ -94,15 +95,12 @@ def alias_groups(bridge: DataFrame) -> DataFrame:
     return (groups.filter("NOT has_primary").join(targets, ["idx", "who"]).select("key", "target"))
 
 
-def group_options(listings: DataFrame, settle: bool = True) -> Options:
-    """Options and membership.
+def group_options(listings: DataFrame) -> Options:
+    """Options and membership, as plans: nothing runs or is written here.
 
-    The bridge is read four times (alias groups, alias targets, options,
-    membership), so it is written out once unless ``settle`` is off.
+    ``published`` stores both for callers that read them again and again.
     """
     bridge = option_bridge(listings)
-    if settle:
-        bridge = settled(bridge)
     moved = alias_groups(bridge)
     joined = (bridge.join(moved, "key", "left").withColumn("key", F.coalesce("target", "key")).drop("target"))
     member = F.struct((~c("is_primary")).alias("late"), component_rank(c("component")).alias("rank"),
@@ -122,11 +120,11 @@ def group_options(listings: DataFrame, settle: bool = True) -> Options:
 
 def members(bridge: DataFrame, options: DataFrame) -> DataFrame:
     return (bridge.join(options.select(c("option_id").alias("key"), "n_members"), "key")
-            .select(c("key").alias("option_id"), "listing_id", "is_primary", "n_members"))
+            .select(c("key").alias("option_id"), "listing_id", "is_primary", "n_members", "physical"))
 
 
-def materialized(opts: Options) -> Options:
-    """Both tables written out, for callers that read them more than once."""
+def published(opts: Options) -> Options:
+    """Options and membership stored once in the shared folder, for many searches and seat updates over them."""
     options = settled(opts.options)
     return Options(options, settled(members(opts.bridge, options)), opts.bridge)
 
@@ -144,8 +142,7 @@ def physical(df: DataFrame) -> DataFrame:
 def coverage_audit(listings: DataFrame, opts: Options, examples: int = 20) -> tuple[DataFrame, DataFrame]:
     """(totals, unaccounted examples).  Fails only when a physical class is lost."""
     lst = physical(listings).select("listing_id", "physical", "course_code", "schedule_number", "component")
-    seen = opts.membership.join(lst.select("listing_id", "physical"), "listing_id")
-    per_option = seen.select("option_id", "physical", "n_members").distinct()
+    per_option = opts.membership.select("option_id", "physical", "n_members").distinct()
     classes = (per_option.groupBy("physical").agg(
         F.count(F.lit(1)).alias("memberships"), F.bool_or(c("n_members") == 1).alias("standalone"),
         F.bool_or(c("n_members") > 1).alias("grouped")))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from offergrid.functions.text import natural_key, term_key
 from offergrid.operators.filters import FilterSpec
-from offergrid.operators.options import Options, component_rank, match_options
+from offergrid.operators.options import Options, component_rank, match_options, published
 from offergrid.operators.ordering import ranked
-from offergrid.session import settled
 
 c = F.col
 # Sort modes as (metric column, descending); none means A to Z.
@@ -85,14 +84,30 @@ SHOWN = ("subject", "catalog_number", "section_number", "schedule_number", "cour
          "seat_status", "instructor", "class_difficulty")
 
 
+METRICS = ("rating", "difficulty", "reviews", "again")
+
+
+def publish_options(listings: DataFrame, opts: Options) -> Options:
+    """The option table a search reads, stored: every option with its A to Z key and metrics; and the membership.
+
+    Built once per catalog version; searches and seat updates then never group again.
+    """
+    slim = listings.select("listing_id", *SHOWN, *[c("metrics")[n].alias(n) for n in METRICS])
+    rows = with_az(option_rows(slim, opts.options)).select(
+        "option_id", "kind", "primary_id", "option_number", "n_members", "class_difficulty", *METRICS, *AZ_COLUMNS)
+    return published(opts._replace(options=rows))
+
+
 def search(listings: DataFrame, opts: Options, spec: FilterSpec) -> DataFrame:
-    """One row per member of each option on the page, with live member values."""
-    matched = listings.filter(spec.predicate())
-    hits = settled(match_options(matched, opts.membership, opts.options))
-    metrics = [c("metrics")[n].alias(n) for n in ("rating", "difficulty", "reviews", "again")]
-    slim = listings.select("listing_id", *SHOWN, *metrics)
+    """One row per member of each option on the page, with live member values.
+
+    ``opts`` is what ``publish_options`` stored.  The predicate goes to the scan
+    of the listings, the hits are option ids, the page is a top-k over the
+    narrow option table, and only the options on it meet their members.
+    """
+    hits = match_options(listings.filter(spec.predicate()), opts.membership, opts.options)
     total = hits.agg(F.count(F.lit(1)).alias("total")).scalar()
-    shown = page(with_az(option_rows(slim, hits)), sort_order(spec.sort_by), spec.page, spec.page_size, total=total)
+    shown = page(hits, sort_order(spec.sort_by), spec.page, spec.page_size, total=total)
     unfiltered = opts.options.agg(F.count(F.lit(1))).scalar()
     heads = shown.select("pos", "option_id", "primary_id", "option_number", "n_members", "total", "pages",
                          unfiltered.alias("unfiltered"))

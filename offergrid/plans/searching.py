@@ -29,7 +29,7 @@ def e7(v):
 
 @query("e7_membership", "SELECT * FROM memb")
 def e7_members(v):
-    return O.group_options(v.listings("order", "part")).membership
+    return O.group_options(v.listings("order", "part")).membership.drop("physical")
 
 
 @query("d15_alias_groups", "SELECT * FROM moved")
@@ -42,7 +42,7 @@ SELECT option_id, n_members FROM opt WHERE option_id IN (SELECT option_id FROM m
 def d6(v):
     """Options of which any member meets on Saturday."""
     lst = v.listings("order", "part")
-    opts = O.materialized(O.group_options(lst))
+    opts = O.group_options(lst)
     hit = lst.filter(F.exists("meetings", lambda m: F.array_contains(m["days"], F.lit("sat"))))
     return O.match_options(hit, opts.membership, opts.options).select("option_id", "n_members")
 
@@ -59,10 +59,24 @@ SELECT (SELECT count(*) FROM phys) AS listings, (SELECT count(DISTINCT physical)
  (SELECT count(*) FROM po) AS memberships, (SELECT count(*) FROM cls) AS accounted,
  (SELECT count(DISTINCT physical) FROM phys WHERE physical NOT IN (SELECT physical FROM cls)) AS unaccounted,
  (SELECT count(*) FROM po) - (SELECT count(*) FROM cls) AS duplicates, (SELECT count(*) FROM opt) AS options,
- (SELECT count(DISTINCT listing_id) FROM memb) AS represented, 'failed' AS status""")
+ (SELECT count(DISTINCT listing_id) FROM memb) AS represented,
+ CASE WHEN EXISTS (SELECT 1 FROM phys WHERE physical NOT IN (SELECT physical FROM cls)) THEN 'failed' ELSE 'passed' END AS status""")
 def e6(v):
     lst = v.listings("order", "part")
-    return O.coverage_audit(lst, O.materialized(O.group_options(lst)))[0]
+    return O.coverage_audit(lst, O.group_options(lst))[0]
+
+
+@query("e6_audit_of_kept_classes", _AUDIT + """,
+kept AS (SELECT * FROM phys WHERE physical IN (SELECT physical FROM cls))
+SELECT (SELECT count(*) FROM kept) AS listings, (SELECT count(DISTINCT physical) FROM kept) AS physical,
+ (SELECT count(*) FROM cls) AS accounted, (SELECT count(DISTINCT physical) FROM kept WHERE physical NOT IN (SELECT physical FROM cls)) AS unaccounted,
+ CASE WHEN EXISTS (SELECT 1 FROM kept WHERE physical NOT IN (SELECT physical FROM cls)) THEN 'failed' ELSE 'passed' END AS status""")
+def e6_kept(v):
+    """The audit over the listings whose class is in some option: it passes."""
+    lst = v.listings("order", "part")
+    opts = O.group_options(lst)
+    kept = O.physical(lst).join(opts.membership.select("physical").distinct(), "physical", "left_semi").drop("physical")
+    return O.coverage_audit(kept, opts)[0].select("listings", "physical", "accounted", "unaccounted", "status")
 
 
 @query("e6_unaccounted_examples", _AUDIT + """
@@ -71,7 +85,7 @@ SELECT physical, arg_min(course_code || ' schedule #' || schedule_number || ' ('
 GROUP BY physical ORDER BY first_id LIMIT 20""")
 def e6_examples(v):
     lst = v.listings("order", "part")
-    return O.coverage_audit(lst, O.materialized(O.group_options(lst)))[1]
+    return O.coverage_audit(lst, O.group_options(lst))[1]
 
 
 def option_table(v):
@@ -130,7 +144,7 @@ SELECT pos, pg.option_id, primary_id, pg.option_number, pg.n_members, total, cei
 FROM pg JOIN memb m ON pg.option_id = m.option_id JOIN lst l ON m.listing_id = l.listing_id""")
 def g3(v):
     lst = v.listings()
-    return S.search(lst, O.materialized(O.group_options(lst)), FLAGSHIP)
+    return S.search(lst, S.publish_options(lst, O.group_options(lst)), FLAGSHIP)
 
 
 @query("g4_canonical_order", """
