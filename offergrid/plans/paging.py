@@ -41,12 +41,13 @@ def k2_flags(v):
 
 @query("k3_page_records", """
 WITH h AS (SELECT page_id, html, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS title,
- replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS h1 FROM pages),
+ replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS h1,
+ CASE WHEN regexp_matches(html, '[0-9]+\\s*-\\s*[0-9]+\\s+of\\s+[0-9]+') THEN regexp_matches(html, '(^|[^0-9])1\\s*-\\s*([0-9]+)\\s+of\\s+[0-9]+') END AS complete FROM pages),
 x AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), 1) - 1 AS i FROM pages)
-SELECT page_id, 'record' AS kind, NULL::INT AS line_no, NULL::VARCHAR AS text, title, h1 FROM h
-UNION ALL SELECT page_id, CASE WHEN regexp_matches(t, '^[\\p{L}]+$') THEN 'line' ELSE 'error' END, i::INT, t, NULL, NULL FROM x""")
+SELECT page_id, 'record' AS kind, NULL::INT AS line_no, NULL::VARCHAR AS text, complete, title, h1 FROM h
+UNION ALL SELECT page_id, CASE WHEN regexp_matches(t, '^[\\p{L}]+$') THEN 'line' ELSE 'error' END, i::INT, t, complete, NULL, NULL FROM x JOIN h USING (page_id)""")
 def k3(v):
-    return K.page_records(v.table("pages"), {"title": "title", "h1": "h1"}, "li", r"^[^\W\d_]+$").drop("complete")
+    return K.page_records(v.table("pages"), {"title": "title", "h1": "h1"}, "li", r"^\p{L}+$")
 
 
 EDGE = r"(?i)(?:^|[^\p{L}])(?:%s)(?:[^\p{L}]|$)"
