@@ -14,7 +14,10 @@ import statistics
 import sys
 import time
 
+from offergrid.operators import options, search
 from offergrid.plans import QUERIES
+from offergrid.plans.bindings import Views
+from offergrid.plans.searching import FLAGSHIP
 from offergrid.session import build_session
 
 HEADLINE = (
@@ -34,9 +37,18 @@ def main() -> None:
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
 
+    def stored_search():
+        """The flagship search over options stored beforehand; ``g3_search`` also builds and stores them."""
+        listings = Views(spark, sf_dir).listings()
+        stored = search.publish_options(listings, options.group_options(listings))
+        return lambda *_: search.search(listings, stored, FLAGSHIP)
+
+    made = {"g3_search_stored": stored_search()} if not sys.argv[1:] else {}
+    names = [*made, *names]
+
     def once(name: str) -> float:
         begin = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        (made.get(name) or QUERIES[name])(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - begin
 
     times, high = {}, {}

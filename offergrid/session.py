@@ -51,6 +51,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/offergrid/{label}-{uuid.uuid4().hex}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted when the session's process ends; until then results may read it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read back.
 
@@ -60,4 +66,5 @@ def settled(df: DataFrame) -> DataFrame:
     """
     path = new_folder(df.sparkSession, "settled")
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
