@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offergrid.session import new_folder
+from offergrid.session import drop_at_exit, new_folder
 
 #: The white space of all operators: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -35,6 +35,7 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
