@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offergrid.functions.text import norm_code
+from offergrid.operators.search import page
 
 c = F.col
 KEY = ("program", "year")
@@ -20,6 +21,19 @@ def _codes(prog: DataFrame, scheduled: DataFrame) -> DataFrame:
     return rows.join(here, "code", "left").withColumn("scheduled", c("_s").isNotNull()).drop("_s")
 
 
+def list_programs(programs: DataFrame, year: str | None = None, name_part: str | None = None, degree: str | None = None,
+                  number: int = 1, size: int = 20) -> DataFrame:
+    """One page of programs (name, year, degree) that meet the given parts, by name and year."""
+    wanted = programs
+    if year is not None:
+        wanted = wanted.filter(F.col("year") == year)
+    if name_part:
+        wanted = wanted.filter(F.contains(F.lower("name"), F.lit(name_part.strip().lower())))
+    if degree is not None:
+        wanted = wanted.filter(F.lower("degree") == degree.strip().lower())
+    return page(wanted, [F.lower("name").asc(), F.col("year").asc(), F.col("degree").asc()], number, size, largest=100)
+
+
 def program_summary(prog: DataFrame, scheduled: DataFrame) -> DataFrame:
     """Distinct mapped codes, all and per class, and how many are scheduled."""
     per_code = _codes(prog, scheduled).groupBy(*KEY, "code").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offergrid.operators import filters as X
 from offergrid.operators.filters import FilterSpec
-from offergrid.operators.search import page
+from offergrid.operators.programs import list_programs
 from offergrid.plans.registry import query
 
 c = F.col
@@ -151,10 +151,7 @@ def c13(v):
     progs = v.table("part").select(
         F.concat(c("p_type"), F.lit(" "), c("p_brand"), F.lit(", "), degree).alias("name"),
         F.lit("2026-2027").alias("year"), degree.alias("degree")).distinct()
-    wanted = progs.filter((c("year") == "2026-2027") & F.contains(F.lower("name"), F.lit("o brand#1"))
-                          & (F.lower("degree") == "b.a."))
-    return page(wanted, [F.lower("name").asc(), c("year").asc()], 2, 4, largest=100).select(
-        "name", "year", "degree", "pos", "total", "pages")
+    return list_programs(progs, "2026-2027", "o brand#1", "B.A.", 2, 4).select("name", "year", "degree", "pos", "total", "pages")
 
 
 @query("c14_title_filters", """

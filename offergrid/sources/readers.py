@@ -43,8 +43,9 @@ def read_listings(spark: SparkSession, path: str, form: str = "json", whole_file
     """Nested listings with a fixed schema; rows that do not fit are set apart.
 
     ``form`` is ``json`` (one record per line, so files split; ``whole_file``
-    for one JSON array) or ``parquet``.  An overlay that can not be read leaves
-    its error text and the listings still load.
+    for one JSON array) or ``parquet``.  An overlay that can not be read, or
+    holds documents that do not parse, leaves its error text and the listings
+    still load.
     """
     if form == "parquet":
         raw = spark.read.schema(listing_schema()).parquet(path).withColumn("_bad", F.lit(None).cast("string"))
@@ -60,6 +61,8 @@ def read_listings(spark: SparkSession, path: str, form: str = "json", whole_file
     for kind, where in (overlays or {}).items():
         try:
             read_overlay(spark, kind, where)
+            if lost := unread_documents(spark, kind, where):
+                errors.append((kind, "Unreadable", f"{lost} documents do not parse"))
         except Exception as exc:  # noqa: BLE001 - overlays are optional, their errors are reported
             errors.append((kind, type(exc).__name__, str(exc).splitlines()[0]))
     return Loaded(marked.filter("_reason IS NULL").drop("_bad", "_reason"),
@@ -184,6 +187,17 @@ def read_overlay(spark: SparkSession, kind: str, path: str) -> DataFrame:
     return docs.select(F.explode(c(f"d.{field}")).alias("physical", "r")).select("physical", "r.*")
 
 
+def unread_documents(spark: SparkSession, kind: str, path: str) -> int:
+    """Documents of an overlay that are no JSON, or whose ``kind`` field has another shape."""
+    field, inner, _ = OVERLAY_TYPES[kind]
+    text = spark.read.text(path).filter(F.trim("value") != "")
+    shaped = F.from_json("value", f"STRUCT<{field}: {inner}>")[field]
+    if kind == "ratings":
+        shaped = F.coalesce(shaped, F.when(F.startswith(F.trim("value"), F.lit("[")), F.from_json("value", inner)))
+    misshapen = shaped.isNull() & (F.contains("value", F.lit(f'"{field}"')) | F.startswith(F.trim("value"), F.lit("[")))
+    return text.filter(F.try_parse_json("value").isNull() | misshapen).count()
+
+
 def reject_duplicates(rows: DataFrame) -> DataFrame:
     """Duplicate ids and listings of a loaded table."""
     return duplicate_keys(rows)

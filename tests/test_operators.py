@@ -17,7 +17,7 @@ from offergrid.operators.matching import match_people
 from offergrid.operators.ordering import ranked, top_per_key
 from offergrid.session import new_folder
 from offergrid.sources import sinks as W
-from offergrid.sources.readers import resolve_headers
+from offergrid.sources.readers import read_listings, resolve_headers
 
 c = F.col
 
@@ -184,10 +184,49 @@ def test_publish_and_rollback(spark):
     assert W.read_published(spark, target).count() == 1
     W.rollback(spark, target)
     assert W.read_published(spark, target).count() == 2
+    with pytest.raises(ValueError):
+        W.rollback(spark, target)  # the first version stands on nothing
+    for n in (3, 4):
+        W.publish(one.union(one.withColumn("listing_id", F.concat("listing_id", F.lit(str(n))))).limit(n), target)
+    W.rollback(spark, target)
+    assert W.read_published(spark, target).count() == 3
+    W.rollback(spark, target)  # goes on backwards
+    assert W.read_published(spark, target).count() == 2
     with pytest.raises(ValueError):
         W.rollback(spark, new_folder(spark, "empty"))
 
 
+def test_append_by_id(spark):
+    old = spark.createDataFrame([("a", "x"), ("b", "y")], "listing_id string, term string")
+    new = spark.createDataFrame([("b", "z"), ("c", "w")], "listing_id string, term string")
+    assert sorted(map(tuple, W.append_by_id(old, new).collect())) == [("a", "x"), ("b", "z"), ("c", "w")]
+
+
+@pytest.mark.parametrize("shuffles", ["2", "200"])
+def test_ranked_chunks_follow_the_rows(spark, shuffles):
+    """A hot key spans several chunks, and no chunk holds many more rows than asked for."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    try:
+        rows = spark.range(4000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), F.col("id"))
+        out = ranked(rows, [F.col("id").desc()], by=["k"], chunk_rows=500)
+        got = {(r["k"], r["id"]): r["pos"] for r in out.collect()}
+        assert all(got[0, i] == 3000 - i for i in range(3000)) and all(got[i, i] == 1 for i in range(3000, 4000))
+        sizes = [r["count"] for r in spark.read.parquet(*out.inputFiles()).groupBy("_chunk").count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) <= 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_overlay_that_does_not_parse(spark, tmp_path):
+    (tmp_path / "listings").mkdir()
+    (tmp_path / "listings" / "a.json").write_text("")
+    for name, text in (("good", '{"records": [{"name": "A", "metrics": {}}]}'), ("bad", '{"records": [{"name": '), ("odd", '{"records": 3}')):
+        (tmp_path / f"{name}.json").write_text(text)
+        got = read_listings(spark, str(tmp_path / "listings"), overlays={"ratings": str(tmp_path / f"{name}.json")})
+        assert [r["overlay"] for r in got.load_errors.collect()] == ([] if name == "good" else ["ratings"])
+
+
 def test_headers():
     found = resolve_headers(["﻿Class #", "Subject-Code", "Course Number", "Title", "Section", "UNIT"])
     assert found["class_number"] == "﻿Class #" and found["units"] == "UNIT"
