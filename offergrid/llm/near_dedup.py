@@ -145,6 +145,11 @@ def _spread(k: int):
     return run
 
 
+def _held(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is counted small enough for every executor; else joins shuffle it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it is linked to) of every node of ``edges`` (a, b).
 
@@ -154,10 +159,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     state = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = (both.join(state.select(F.col("a").alias("b"), F.col("label").alias("theirs")), "b")
-                .groupBy("a").agg(F.min("theirs").alias("theirs")))
-        low = state.join(near, "a").select("a", "label", F.least("label", "theirs").alias("low"))
-        jump = state.select(F.col("a").alias("low"), F.col("label").alias("next"))
+        known = _held(state.select(F.col("a").alias("k"), "label"))
+        near = both.join(known.select(F.col("k").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(
+            F.min("theirs").alias("theirs"))
+        low = near.join(known, F.col("a") == F.col("k")).select("a", "label", F.least("label", "theirs").alias("low"))
+        jump = known.select(F.col("k").alias("low"), F.col("label").alias("next"))
         after = settle(low.join(jump, "low", "left")
                        .select("a", "label", F.least("low", F.coalesce("next", "low")).alias("new")), "labels")
         moved = after.filter(F.col("new") < F.col("label")).limit(1).count()
@@ -182,7 +188,8 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     components, the shingles that one node alone has bound what it can share:
     nodes that can reach ``least`` with some node meet the most central one of
     the bucket, and those still outside its main component meet all the others
-    they can reach ``least`` with.  So no pair of a bucket that could still join
+    they can reach ``least`` with, by what they share at most and by their
+    distances to the centre.  So no pair of a bucket that could still join
     two components goes unverified.
     """
     body = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
@@ -193,36 +200,36 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
                                                  F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", "size", F.posexplode("bands").alias("band", "key")).select(
         "node", "size", F.xxhash64("band", "key").alias("key"))
-    buckets = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-               .select(F.col("key").alias("bucket"), "pivot"))
-    held = settle(keys.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "pivot", "node", "size"), "held")
+    buckets = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+                     .select(F.col("key").alias("bucket"), "pivot"), "buckets")
+    held = settle(keys.join(_held(buckets), F.col("key") == F.col("bucket")).select("bucket", "pivot", "node", "size"), "held")
     ids = settle(held.select(F.col("node").alias("id")).distinct(), "ids")
-    # the ids of copies, if they are few enough for every executor to hold; else both sides are shuffled
-    few_ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = settle(body.join(few_ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    texts = settle(body.join(_held(ids), F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, least: float) -> DataFrame:
+        """Pairs of ``least`` similarity or more."""
         one = texts.select(F.col("doc_id").alias("ia"), F.col("text").alias("ta"))
         two = texts.select(F.col("doc_id").alias("ib"), F.col("text").alias("tb"))
-        met = pairs.join(two, F.col("b") == F.col("ib")).join(one, F.col("a") == F.col("ia"))
+        met = two.join(_held(pairs), F.col("b") == F.col("ib")).join(one, F.col("a") == F.col("ia"))
         return settle(met.select("a", "b", "ta", "tb").mapInArrow(_verified(k, least), "a long, b long, similarity double"),
                       "links")
 
     stars = settle(held.filter(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
                    .distinct(), "stars")
-    first = linked(stars)
+    first = compared(stars, least)
     same = signed.filter(F.col("doc_id").isNotNull()).join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select(
         F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
     def unresolved(members: DataFrame, links: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with ``label`` and the bucket's largest, ``main``."""
-        labels = components(links).select(F.col("node").alias("ln"), "label")
+        labels = _held(settle(components(links).select(F.col("node").alias("ln"), "label"), "found"))
         named = settle(members.join(labels, F.col("node") == F.col("ln"), "left").drop("ln")
                        .withColumn("label", F.coalesce("label", "node")), "named")
         parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         mains = parts.groupBy(F.col("bucket").alias("mb")).agg(
             F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        return named.join(mains.select("mb", (-F.col("top.l")).alias("main")), F.col("bucket") == F.col("mb")).drop("mb")
+        mains = _held(settle(mains.select("mb", (-F.col("top.l")).alias("main")), "mains"))
+        return named.join(mains, F.col("bucket") == F.col("mb")).drop("mb")
 
     def could_link(size_a, alone_a, size_b, alone_b):
         """Whether two bags can reach ``least``: no more than what is not theirs alone can be common."""
@@ -233,25 +240,29 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     wanted = open_now.select(F.col("node").alias("id")).distinct()
     spread = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(
         _spread(k), "node long, shingle long, times long")
-    own = (spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("an"), F.min("times").alias("times"))
-           .filter("nodes = 1").groupBy("an").agg(F.sum("times").alias("alone")))
-    able = settle(open_now.join(own, F.col("node") == F.col("an"), "left").drop("an").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    own = settle(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("an"), F.min("times").alias("times"))
+                 .filter("nodes = 1").groupBy("an").agg(F.sum("times").alias("alone")), "own")
+    able = settle(open_now.join(_held(own), F.col("node") == F.col("an"), "left").drop("an").withColumn("alone", F.coalesce("alone", F.lit(0)))
                   .filter(F.col("size") - F.col("alone") >= F.lit(least) * F.col("size")), "able")
-    centres = able.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "node", "size", "alone", "label"))
-                                         .alias("c")).select(
-        F.col("bucket").alias("cb"), F.col("c.node").alias("cn"), F.col("c.size").alias("cs"), F.col("c.alone").alias("ca"),
-        F.col("c.label").alias("cl"))
-    spokes = settle(able.join(centres, (F.col("bucket") == F.col("cb")) & (F.col("label") != F.col("cl")) & could_link("size", "alone", "cs", "ca"))
-                    .select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct()
-                    .join(stars, ["a", "b"], "left_anti"), "spokes")
-    second = linked(spokes)
-    still = settle(unresolved(able.select("bucket", "node", "size", "alone"), first.select("a", "b").union(second.select("a", "b"))), "still")
+    centres = settle(able.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "node")).alias("c"))
+                     .select(F.col("bucket").alias("cb"), F.col("c.node").alias("cn")), "centres")
+    centred = able.join(_held(centres), F.col("bucket") == F.col("cb")).drop("cb")
+    spokes = settle(centred.filter(F.col("node") != F.col("cn"))
+                    .select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct(), "spokes")
+    measured = compared(spokes, 0.0)
+    second = measured.filter(F.col("similarity") >= least)
+    away = _held(measured.select(F.col("a").alias("ma"), F.col("b").alias("mb"), "similarity"))
+    placed = centred.join(away, (F.least("node", "cn") == F.col("ma")) & (F.greatest("node", "cn") == F.col("mb")), "left").select(
+        "bucket", "node", "size", "alone", F.when(F.col("node") == F.col("cn"), 1.0).otherwise(F.col("similarity")).alias("near"))
+    still = settle(unresolved(placed, first.select("a", "b").union(second.select("a", "b"))), "still")
     few = still.filter(F.col("label") != F.col("main")).select(
-        F.col("bucket").alias("fb"), F.col("node").alias("fn"), F.col("size").alias("fs"), F.col("alone").alias("fa"), F.col("label").alias("fl"))
-    rest = (still.join(few, (F.col("bucket") == F.col("fb")) & (F.col("label") != F.col("fl")) & could_link("size", "alone", "fs", "fa"))
+        F.col("bucket").alias("fb"), F.col("node").alias("fn"), F.col("size").alias("fs"), F.col("alone").alias("fa"), F.col("label").alias("fl"), F.col("near").alias("fc"))
+    # one minus the similarity is a metric: two nodes are at least as far apart as their distances to the centre differ
+    within = F.coalesce(F.abs(F.col("near") - F.col("fc")) <= 1 - least + 1e-9, F.lit(True))
+    rest = (still.join(few, (F.col("bucket") == F.col("fb")) & (F.col("label") != F.col("fl")) & could_link("size", "alone", "fs", "fa") & within)
             .select(F.least("node", "fn").alias("a"), F.greatest("node", "fn").alias("b")).distinct()
             .join(stars.unionByName(spokes), ["a", "b"], "left_anti"))
-    third = linked(settle(rest, "rest"))
+    third = compared(settle(rest, "rest"), least)
     second = second.unionByName(third)
     links = settle(first.select("a", "b").union(second.select("a", "b")).union(same.filter(F.col("a") != F.col("b"))), "all")
     classes = components(links)
