@@ -53,6 +53,22 @@ def sort_options(df: DataFrame, mode: str, last: str = "option_id") -> DataFrame
     return ranked(with_az(df), sort_order(mode, last)).drop(*AZ_COLUMNS)
 
 
+def order_key(mode: str, last: str = "option_id") -> Column:
+    """The order of ``sort_order`` as one value: it grows from row to row, or falls for ``alphabetical_desc``."""
+    keys = [*[c(n) for n in AZ_COLUMNS], c(last)]
+    metric = SORT_MODES[mode]
+    if metric is None:
+        return F.struct(*keys)
+    name, descending = metric
+    return F.struct(c(name).isNull().alias("_none"), (-c(name) if descending else c(name)).alias("_metric"), *keys)
+
+
+def page_place(total: Column, number: int, size: int) -> tuple[Column, Column]:
+    """(pages of ``total`` rows, page that ``number`` clamps to); no rows are one page."""
+    pages = F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
+    return pages, F.least(F.lit(max(number, 1)), pages)
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, largest: int = 50,
          total: Column | None = None) -> DataFrame:
     """Rows of one page with ``pos``, ``total`` and ``pages``; numbers clamp.
@@ -69,9 +85,8 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int, largest
         placed = top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
     else:
         placed = ranked(df, order)
-    sized = placed.withColumn("total", total).withColumn(
-        "pages", F.greatest(F.lit(1), F.ceil(c("total") / size)).cast("long"))
-    at = F.least(F.lit(number), c("pages"))
+    pages, at = page_place(c("total"), number, size)
+    sized = placed.withColumn("total", total).withColumn("pages", pages)
     return sized.filter((c("pos") > (at - 1) * size) & (c("pos") <= at * size))
 
 

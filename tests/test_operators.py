@@ -13,6 +13,7 @@ from offergrid.operators import options as O
 from offergrid.operators import search as S
 from offergrid.operators import sequences as Q
 from offergrid.operators.calendar import accept_schedule
+from offergrid.operators.invariants import invariants
 from offergrid.operators.matching import match_people
 from offergrid.operators.ordering import ranked, top_per_key
 from offergrid.session import new_folder
@@ -232,3 +233,32 @@ def test_headers():
     assert found["class_number"] == "﻿Class #" and found["units"] == "UNIT"
     with pytest.raises(ValueError):
         resolve_headers(["Title"])
+
+
+def test_invariants_see_faults_between_first_and_last_page(spark, monkeypatch):
+    rated = [listing(f"o{i}", section_number=str(i), metrics=(float(i), None, None, 0, None, None)) for i in range(10)]
+    lst = table(spark, *rated)
+    opts = S.publish_options(lst, O.group_options(lst))
+    requests = {"all": X.FilterSpec(sort_by="professor_rating"), "down": X.FilterSpec(sort_by="alphabetical_desc"),
+                "none": X.FilterSpec(statuses=["no such state"])}
+
+    def failed(o):
+        got = invariants(lst, o, requests, F.lit(10), size=3).collect()
+        assert len(got) == 6 + 4 * len(requests)
+        return {r.name for r in got if r.status == "fail"}
+
+    assert failed(opts) == set()
+    real = S.ranked
+
+    def repeats(df, order, *a, **kw):   # the option of place 5 takes that of place 6, too
+        rows = real(df, order, *a, **kw)
+        five = rows.filter("pos = 5").withColumn("pos", F.lit(6).cast("long"))
+        return rows.filter("pos <> 6").unionByName(five)
+
+    monkeypatch.setattr(S, "ranked", repeats)
+    assert failed(opts) >= {"pages_add_up_all", "pages_add_up_down"}
+    monkeypatch.setattr(S, "ranked", real)
+    stale = opts.options.withColumn("rating", F.when(c("option_id").endswith("o5"), 0.5).otherwise(c("rating")))
+    assert failed(opts._replace(options=stale)) == {"sort_order_all"}
+    other = opts.options.withColumn("primary_id", F.when(c("option_id").endswith("o5"), "o6").otherwise(c("primary_id")))
+    assert failed(opts._replace(options=other)) == {"options_recomputed"}
