@@ -10,6 +10,7 @@ from offergrid.functions import parsing as P
 from offergrid.functions import text as T
 from offergrid.operators import filters as X
 from offergrid.operators import options as O
+from offergrid.operators import pages as K
 from offergrid.operators import search as S
 from offergrid.operators import sequences as Q
 from offergrid.operators.calendar import accept_schedule
@@ -262,3 +263,22 @@ def test_invariants_see_faults_between_first_and_last_page(spark, monkeypatch):
     assert failed(opts._replace(options=stale)) == {"sort_order_all"}
     other = opts.options.withColumn("primary_id", F.when(c("option_id").endswith("o5"), "o6").otherwise(c("primary_id")))
     assert failed(opts._replace(options=other)) == {"options_recomputed"}
+
+
+def test_page_records_of_nested_and_open_elements(spark):
+    pages = {
+        1: "<ul><li>x<ul><li>y</li></ul></li><li>z</li></ul>",
+        2: "<div><ul><li>a<li>b &amp; <br>c</ul>tail</div><p>end",
+        3: "<div id='box' class=k>one <div>two</div> three</div><div>four</div>",
+        4: "<ol><li>p<li>q<ul><li>r</ul><li>s</ol></b> 1-3 of 3",
+        5: "<div data-id=box>no</div><DIV ID=box><p>open<div>in</div>",
+        6: "<h1>only</h1>",
+        7: "<section><li>m</section>after <link>x<table><tr><td><li>n<td>o</table>",
+    }
+    df = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    got = K.page_records(df, {"box": "#box", "h1": "h1"}, "li", r"^\w").collect()
+    lines = {i: [r.text for r in sorted((r for r in got if r.page_id == i and r.kind != "record"), key=lambda r: r.line_no)] for i in pages}
+    assert lines == {1: ["x y", "y", "z"], 2: ["a", "b & c"], 3: [], 4: ["p", "q r", "r", "s"], 5: [], 6: [], 7: ["m", "n"]}
+    records = {r.page_id: (r.box, r.h1, r.complete) for r in got if r.kind == "record"}
+    assert records[3] == ("one two three", None, None) and records[5] == ("open in", None, None)
+    assert records[4] == (None, None, True) and records[6] == (None, "only", None)
