@@ -110,30 +110,46 @@ def schedule_conflicts(picked: DataFrame, candidates: DataFrame) -> DataFrame:
 def accept_schedule(adds: DataFrame) -> DataFrame:
     """Each add is accepted, a duplicate, or refused for a conflict; removes free the slot.
 
-    ``adds``: grp, day, ord (unique, in time order), action, item, start_min,
-    end_min; an item meets on one day, so days are independent.  The order is
-    sequential by nature.  Rows stream through sorted partitions: a task holds
-    the accepted items of one (grp, day), never its rows.
+    ``adds``: grp, day, ord (in time order), action, item, start_min, end_min; one
+    row per meeting, and rows with one (grp, ord) are the meetings of one add,
+    taken or refused together.  The order is sequential by nature.  Rows stream
+    through sorted partitions: a task holds the accepted items of one grp and the
+    meetings of one add, never the rows of the grp.
     """
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Adds and removes in time order; the state is the accepted items of one (grp, day)."""
-        now, held = None, {}
+        """Adds and removes in time order; the state is the accepted items of one grp, and the add being read."""
+        now, held, add = None, {}, []
+
+        def decide() -> list[tuple]:
+            nonlocal now, held
+            if not add:
+                return []
+            first = add[0]
+            if first.grp != now:
+                now, held = first.grp, {}
+            slots = [(r.day, r.start_min, r.end_min) for r in add]
+            if first.action == "remove":
+                said = "removed" if held.pop(first.item, None) else "not_held"
+            elif first.item in held:
+                said = "duplicate"
+            elif any(d == day and start < e and s < end for day, start, end in slots for kept in held.values() for d, s, e in kept):
+                said = "conflict"
+            else:
+                held[first.item] = slots
+                said = "accepted"
+            return [(r.grp, r.day, r.ord, r.item, said) for r in add]
+
         for batch in batches:
-            said = []
+            out = []
             for row in batch.itertuples(index=False):
-                if (row.grp, row.day) != now:
-                    now, held = (row.grp, row.day), {}
-                if row.action == "remove":
-                    said.append("removed" if held.pop(row.item, None) else "not_held")
-                elif row.item in held:
-                    said.append("duplicate")
-                elif any(row.start_min < e and s < row.end_min for s, e in held.values()):
-                    said.append("conflict")
-                else:
-                    held[row.item] = (row.start_min, row.end_min)
-                    said.append("accepted")
-            yield batch[["grp", "day", "ord", "item"]].assign(result=said)
-
+                if add and (row.grp, row.ord) != (add[0].grp, add[0].ord):
+                    out += decide()
+                    add = []
+                add.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(decide(), columns=names)
+
+    names = ["grp", "day", "ord", "item", "result"]
     cols = "grp long, day string, ord long, item long, result string"
-    return (adds.select("grp", "day", "ord", "action", "item", "start_min", "end_min").repartition("grp", "day")
-            .sortWithinPartitions("grp", "day", "ord").mapInPandas(fold, cols))
+    return (adds.select("grp", "day", "ord", "action", "item", "start_min", "end_min").repartition("grp")
+            .sortWithinPartitions("grp", "ord").mapInPandas(fold, cols))

@@ -153,10 +153,16 @@ def course_rollup(rows: DataFrame) -> DataFrame:
     """Per course code: representative texts, label sets, option count, units.
 
     The representative of each text comes from one count per (code, field,
-    value), so the rows are shuffled once for all fields.
+    value), so the rows are shuffled once for all fields.  ``prerequisite_text``
+    and ``enrollment_requirements`` (an array) may be missing from ``rows``.
     """
+    if "prerequisite_text" not in rows.columns:
+        rows = rows.withColumn("prerequisite_text", F.lit(None).cast("string"))
+    if "enrollment_requirements" not in rows.columns:
+        rows = rows.withColumn("enrollment_requirements", F.array().cast("array<string>"))
     code = T.norm_code(c("course_code"))
-    fields = {"subject": T.norm_code(c("subject")), "title": F.trim("title"), "description": F.trim("description")}
+    fields = {"subject": T.norm_code(c("subject")), "title": F.trim("title"), "description": F.trim("description"),
+              "prerequisite_text": F.trim("prerequisite_text")}
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("f"), e.alias("v")) for n, e in fields.items()]),
                      lambda x: F.coalesce(x["v"], F.lit("")) != "")
     counts = rows.select(code.alias("code"), F.inline(pairs)).groupBy("code", "f", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -170,7 +176,11 @@ def course_rollup(rows: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(T.canonical_label(c("campus")))), ", ").alias("campuses"),
         F.array_join(F.array_sort(F.collect_set(L.label_of(c("instruction_mode"), L.MODE_LABELS))), ", ").alias("modes"),
         F.coalesce(one_text, L.units_label(F.min(low), F.max(high))).alias("units_text"))
-    return facts.join(texts, "code").withColumn("slug", T.slug(c("code")))
+    needed = rows.select(code.alias("code"), F.explode("enrollment_requirements").alias("r")).select("code", F.trim("r").alias("r"))
+    needed = needed.filter(c("r") != "").distinct().groupBy("code").agg(F.array_sort(F.collect_list("r")).alias("_r"))
+    none = F.array().cast("array<string>")
+    return facts.join(texts, "code").join(needed, "code", "left").withColumn("enrollment_requirements", F.coalesce("_r", none)) \
+        .drop("_r").withColumn("slug", T.slug(c("code")))
 
 
 def subject_rollup(courses: DataFrame) -> DataFrame:
@@ -301,8 +311,27 @@ def subject_inventory(seed: DataFrame, seen: DataFrame) -> DataFrame:
         "subject", (c("seen") & ~c("in_seed")).alias("is_new"), (c("in_seed") & ~c("seen")).alias("not_seen"), "pos")
 
 
+def public_code(path: Column) -> Column:
+    """Stable code of a failed resource; the first rule that its path meets decides."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    return (F.when(low.rlike("^/api/(admin/)?seats"), "seat_data_unavailable")
+            .when(low.rlike("ratings|professor"), "professor_ratings_unavailable")
+            .when(low.rlike("^/api/(catalog|profile)"), "catalog_data_unavailable")
+            .when(low.rlike("^/api/classes"), "class_results_unavailable")
+            .when(low.rlike("^/api/options"), "filter_options_unavailable")
+            .when(low.rlike("^/api/admin"), "admin_data_unavailable").otherwise("service_unavailable"))
+
+
 def error_rollup(events: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Occurrences, first and last time per error key; newest first, all of them."""
+    """Occurrences, first and last time per error key; newest first, all of them.
+
+    A key with ``path`` gets its ``public_code``.
+    """
+    rows = _error_rollup(events, key)
+    return rows.withColumn("public_code", public_code(c("path"))) if "path" in key else rows
+
+
+def _error_rollup(events: DataFrame, key: Sequence[str]) -> DataFrame:
     return (events.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"), F.min("ts").alias("first_at"),
                                      F.max("ts").alias("last_at"))
             .orderBy(c("last_at").desc(), *[c(k).asc() for k in key]))

@@ -15,6 +15,19 @@ def key_of(*cols: Column) -> Column:
     return F.md5(F.concat_ws("|", *cols))
 
 
+def sync_tables(runs: DataFrame, errors: DataFrame) -> dict[str, DataFrame]:
+    """Runs and their errors under one hashed run key.
+
+    ``runs``: source_name, started_at and any columns of a run; ``errors``:
+    source_name, started_at (of the run), term_name, subject, error_type, message,
+    occurred_at.  Errors of a run that is not given are left out, as the key demands.
+    """
+    run = key_of(c("source_name"), c("started_at").cast("string")).alias("run_key")
+    known = runs.select(run, "*").dropDuplicates(["run_key"])
+    rows = errors.select(run, "term_name", "subject", "error_type", "message", "occurred_at")
+    return {"sync_runs": known, "sync_errors": rows.join(known.select("run_key"), "run_key", "left_semi")}
+
+
 def normalise_to_star(listings: DataFrame) -> dict[str, DataFrame]:
     term = key_of(F.coalesce(F.when(c("term_code") != "", c("term_code")), c("term")))
     course = key_of(c("subject"), c("catalog_number"))
@@ -41,4 +54,8 @@ def normalise_to_star(listings: DataFrame) -> dict[str, DataFrame]:
         "section_requirements": listings.select(c("listing_id").alias("section_key"),
                                                 F.explode("requirement_tags").alias("label")).distinct(),
         "course_programs": listings.select(course.alias("course_key"), F.inline("program_tags")).distinct(),
+        "course_metrics": listings.filter(c("class_difficulty").isNotNull()).groupBy(course.alias("course_key")).agg(
+            F.min_by("class_difficulty", "listing_id").cast("decimal(3,2)").alias("class_difficulty")),
+        "requirement_definitions": listings.select(F.explode("requirement_tags").alias("name")).distinct().select(
+            key_of(c("name")).alias("requirement_key"), "name"),
     }

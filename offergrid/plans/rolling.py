@@ -126,7 +126,7 @@ courses AS (SELECT code, option_count, subject, campuses, modes, units_text, tit
 
 def courses(v):
     lst = v.listings("order", "part")
-    return R.course_rollup(option_rows(lst, G.group_options(lst).options))
+    return R.course_rollup(option_rows(lst, G.group_options(lst).options)).drop("prerequisite_text", "enrollment_requirements")
 
 
 @query("e9_course_rollup", _COURSES + " SELECT * FROM courses")

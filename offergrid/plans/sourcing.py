@@ -189,12 +189,23 @@ def h7(v):
     """Rows and distinct keys per table of the star."""
     out = None
     for name, df in normalise_to_star(v.listings()).items():
+        if name in ("course_metrics", "requirement_definitions"):  # h7_course_tables
+            continue
         row = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(df.columns[0]).alias("keys")).select(
             F.lit(name).alias("name"), "n", "keys")
         out = row if out is None else out.union(row)
     return out
 
 
+@query("h7_course_tables", """
+SELECT 'course_metrics' AS name, count(DISTINCT course_code) AS n FROM lst WHERE class_difficulty IS NOT NULL
+UNION ALL SELECT 'requirement_definitions', count(DISTINCT tag) FROM reqtag""")
+def h7_course(v):
+    star = normalise_to_star(v.listings())
+    count = [star[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("course_metrics", "requirement_definitions")]
+    return count[0].union(count[1])
+
+
 @query("h7_star_sections", """
 SELECT listing_id AS section_key, md5(term_key) AS term_key, md5(subject || '|' || catalog_number) AS course_key, seat_status,
  units::DOUBLE AS units, class_difficulty FROM lst""")

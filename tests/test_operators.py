@@ -11,12 +11,14 @@ from offergrid.functions import text as T
 from offergrid.operators import filters as X
 from offergrid.operators import options as O
 from offergrid.operators import pages as K
+from offergrid.operators import rollups as R
 from offergrid.operators import search as S
 from offergrid.operators import sequences as Q
 from offergrid.operators.calendar import accept_schedule
 from offergrid.operators.invariants import invariants
 from offergrid.operators.matching import match_people
 from offergrid.operators.ordering import ranked, top_per_key
+from offergrid.operators.star import normalise_to_star, sync_tables
 from offergrid.session import new_folder
 from offergrid.sources import sinks as W
 from offergrid.sources.readers import read_listings, resolve_headers
@@ -170,6 +172,24 @@ def test_accept_schedule_in_order(spark):
     assert got == ["accepted", "conflict", "duplicate", "removed", "accepted", "not_held"]
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 10_000])
+def test_accept_schedule_takes_an_item_on_all_its_days_or_on_none(spark, rows_a_batch):
+    adds = [(1, "mon", 1, "add", 7, 600, 660), (1, "mon", 2, "add", 8, 630, 700), (1, "wed", 2, "add", 8, 630, 700),
+            (1, "wed", 3, "add", 9, 630, 700), (1, "fri", 4, "add", 9, 0, 60), (1, "wed", 5, "remove", 9, 630, 700),
+            (1, "mon", 6, "remove", 7, 600, 660), (1, "mon", 7, "add", 8, 630, 700), (1, "wed", 7, "add", 8, 630, 700),
+            (2, "mon", 1, "add", 8, 630, 700)]
+    df = spark.createDataFrame(adds, "grp long, day string, ord long, action string, item long, start_min int, end_min int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = [(r.ord, r.day, r.result) for r in accept_schedule(df).orderBy("grp", "ord", "day").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [(1, "mon", "accepted"), (2, "mon", "conflict"), (2, "wed", "conflict"), (3, "wed", "accepted"),
+                   (4, "fri", "duplicate"), (5, "wed", "removed"), (6, "mon", "removed"), (7, "mon", "accepted"),
+                   (7, "wed", "accepted"), (1, "mon", "accepted")]
+
+
 def test_match_people_tiers(spark):
     t = spark.createDataFrame([("t1", "Mark Dunster"), ("t2", "Satchithanandam Rao"), ("t3", "Jon Smith")], "target_id string, name string")
     k = spark.createDataFrame([("c1", "Timothy (Mark) Dunster"), ("c2", "Satchi Rao"), ("c3", "Smith, Jon"), ("c4", "Jan Smith"),
@@ -282,3 +302,36 @@ def test_page_records_of_nested_and_open_elements(spark):
     records = {r.page_id: (r.box, r.h1, r.complete) for r in got if r.kind == "record"}
     assert records[3] == ("one two three", None, None) and records[5] == ("open in", None, None)
     assert records[4] == (None, None, True) and records[6] == (None, "only", None)
+
+
+def test_course_rollup_keeps_prerequisites_and_requirements(spark):
+    rows = table(spark, *[listing(x) for x in "abc"], listing("d", course_code="CS 160")).withColumns({
+        "description": F.lit(""), "units_text": F.lit(None).cast("string"),
+        "prerequisite_text": F.when(c("listing_id") == "c", "Math 1").when(c("listing_id") != "d", " CS 1 "),
+        "enrollment_requirements": F.when(c("listing_id") == "a", F.array(F.lit("Major"), F.lit(" Junior ")))
+        .when(c("listing_id") == "b", F.array(F.lit("Junior"), F.lit(" ")))})
+    got = {r.code: (r.prerequisite_text, r.enrollment_requirements) for r in R.course_rollup(rows).collect()}
+    assert got == {"CS 150": ("CS 1", ["Junior", "Major"]), "CS 160": (None, [])}
+
+
+def test_error_rollup_gives_the_public_code(spark):
+    paths = {"/api/Seats/1": "seat_data", "/api/admin/seats": "seat_data", "/x/professors": "professor_ratings", "/api/profile": "catalog_data",
+             "/api/classes": "class_results", "/api/options": "filter_options", "/api/admin/x": "admin_data", "/other": "service"}
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ts int")
+    got = {r.path: r.public_code for r in R.error_rollup(df, ["path"]).collect()}
+    assert got == {p: f"{code}_unavailable" for p, code in paths.items()}
+
+
+def test_star_has_course_metrics_requirements_and_runs(spark):
+    rows = table(spark, listing("a", class_difficulty=2.5, requirement_tags=["GE", "US"]),
+                 listing("b", class_difficulty=3.0, requirement_tags=["GE"]), listing("d", catalog_number="160"))
+    star = normalise_to_star(rows.withColumns({"seat_capacity": F.lit(1), "seats_available": F.lit(1)}))
+    assert [float(r.class_difficulty) for r in star["course_metrics"].collect()] == [2.5]
+    assert {r.name for r in star["requirement_definitions"].collect()} == {"GE", "US"}
+    runs = spark.createDataFrame([("web", "t1", "done"), ("web", "t2", "failed")], "source_name string, started_at string, status string")
+    errors = spark.createDataFrame([("web", s, "Fall", "CS", "timeout", "slow", "t3") for s in ("t2", "t9")],
+                                   "source_name string, started_at string, term_name string, subject string, error_type string, "
+                                   "message string, occurred_at string")
+    got = sync_tables(runs, errors)
+    keys = {r.started_at: r.run_key for r in got["sync_runs"].collect()}
+    assert [r.run_key for r in got["sync_errors"].collect()] == [keys["t2"]]
