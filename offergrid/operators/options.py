@@ -139,8 +139,8 @@ def physical(df: DataFrame) -> DataFrame:
     return df.withColumn("physical", K.physical_key(c("term"), c("term_code"), c("schedule_number")))
 
 
-def coverage_audit(listings: DataFrame, opts: Options, examples: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(totals, unaccounted examples).  Fails only when a physical class is lost."""
+def coverage_audit(listings: DataFrame, opts: Options) -> tuple[DataFrame, DataFrame]:
+    """(totals, every unaccounted class with an example).  Fails only when a physical class is lost."""
     lst = physical(listings).select("listing_id", "physical", "course_code", "schedule_number", "component")
     per_option = opts.membership.select("option_id", "physical", "n_members").distinct()
     classes = (per_option.groupBy("physical").agg(
@@ -160,8 +160,7 @@ def coverage_audit(listings: DataFrame, opts: Options, examples: int = 20) -> tu
     lost = (lst.join(classes.select("physical"), "physical", "left_anti").groupBy("physical")
             .agg(F.min_by(F.concat(c("course_code"), F.lit(" schedule #"), c("schedule_number"), F.lit(" ("),
                                    F.coalesce(F.when(F.trim("component") != "", F.trim("component")), F.lit("unknown")),
-                                   F.lit(")")), "listing_id").alias("example"), F.min("listing_id").alias("first_id"))
-            .orderBy("first_id").limit(examples))
+                                   F.lit(")")), "listing_id").alias("example"), F.min("listing_id").alias("first_id")))
     return totals, lost
 
 

@@ -85,7 +85,7 @@ SELECT physical, arg_min(course_code || ' schedule #' || schedule_number || ' ('
 GROUP BY physical ORDER BY first_id LIMIT 20""")
 def e6_examples(v):
     lst = v.listings("order", "part")
-    return O.coverage_audit(lst, O.group_options(lst))[1]
+    return O.coverage_audit(lst, O.group_options(lst))[1].orderBy("first_id").limit(20)
 
 
 def option_table(v):

@@ -335,3 +335,8 @@ def test_star_has_course_metrics_requirements_and_runs(spark):
     got = sync_tables(runs, errors)
     keys = {r.started_at: r.run_key for r in got["sync_runs"].collect()}
     assert [r.run_key for r in got["sync_errors"].collect()] == [keys["t2"]]
+
+
+def test_audit_gives_every_unaccounted_class(spark):
+    lst = table(spark, *[listing(f"x{i:02}", component="Laboratory", units=0.0) for i in range(25)])
+    assert O.coverage_audit(lst, O.group_options(lst))[1].count() == 25
