@@ -41,14 +41,43 @@ _BETWEEN = re.compile(r"(?<=[^\W\d_])[!|](?=[^\W\d_])")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+# Seed words by the form in which 1 for i and 1 for l are the same.
+_SEEDS = {w.replace("l", "i"): w for w in SEED_WORDS}
+_LONGEST_SEED = max(map(len, SEED_WORDS))
+
+
+def _in_word(ch: str) -> bool:
+    return ch.isalnum() or ch in "@$"
+
+
+def _seed(s: str, a: int, b: int) -> str:
+    """The letters of ``s[a:b]`` if its token is a seed word, else nothing."""
+    left, right = a, b
+    while left and right - left <= _LONGEST_SEED and _in_word(s[left - 1]):
+        left -= 1
+    while right < len(s) and right - left <= _LONGEST_SEED and _in_word(s[right]):
+        right += 1
+    return _SEEDS.get(s[left:right].translate(_PLAIN).replace("l", "i"), "")[a - left:b - left]
+
+
 def _letters(m: re.Match) -> str:
     s, a, b = m.string, m.start(), m.end()
-    near = (a and s[a - 1].isalpha()) or (b < len(s) and s[b].isalpha())
-    return m.group().translate(_PLAIN) if near and b - a <= 2 else m.group()
+    before, after = a > 0 and s[a - 1].isalpha(), b < len(s) and s[b].isalpha()
+    if not (before or after):
+        return m.group()
+    plain = m.group().translate(_PLAIN)
+    if b - a <= 2:
+        return plain
+    signs = after and not (a and _in_word(s[a - 1])) and not any(x.isdigit() for x in m.group())
+    return plain if signs or (before and after and plain.isalpha()) else _seed(s, a, b) or m.group()
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alike letters and short runs of digits beside letters made plain, invisible characters gone."""
+    """Lower case, look-alike letters and digits beside letters made plain, invisible characters gone.
+
+    A run of three or more is made plain between letters if every digit stands for
+    one, if it is of signs before a letter, or if its token is a seed word.
+    """
     s = text.lower()
     if not s.isascii():
         s = s.translate(_FOLD)

@@ -353,6 +353,13 @@ def test_personal_data_held_out(spark):
 
 
 # 7
+def test_fold_of_long_runs():
+    for said, word in (("l053r", "loser"), ("1d107", "idiot"), ("w0r7h1355", "worthless"), ("1053r!", "loser!"), ("@$$hat", "asshat")):
+        assert toxicity.fold(f"you {said} x") == f"you {word} x"
+    for same in ("1053", "a1998", "1998a", "x123y", "2024-11-30", "7355 a"):
+        assert toxicity.fold(same) == same
+
+
 def test_fold():
     assert toxicity.fold("1D10T") == "idiot" and toxicity.fold("іdiоt") == "idiot" and toxicity.fold("ｓｃｕｍ") == "scum"
     assert toxicity.fold("in 1998 a$$$ x") == "in 1998 a$$$ x"
