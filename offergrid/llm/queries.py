@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from offergrid.llm import byte_bpe, exact_dedup, licenses, mixing, near_dedup, neighbours, personal, sharding, substring_dedup, toxicity
+from offergrid.llm import (byte_bpe, divergence, exact_dedup, licenses, mixing, near_dedup, neighbours, personal, pigeonring, sharding, spelling,
+                           substring_dedup, toxicity)
 from offergrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,21 @@ def op10_shard_by_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+@query("op11_spelling_variants", spelling.SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_pigeonring_simhash")
+def op12_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonring.linked(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", divergence.SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
