@@ -104,7 +104,7 @@ SELECT key AS option_id, kind, listing_id AS primary_id, CASE WHEN kind = 'row'
   AND NOT (kind = 'single' AND sec AND units <= 0)""",
     "memb": """
 SELECT r.key AS option_id, r.listing_id, r.prim AS is_primary, r.n_members FROM ranked_members r
-WHERE r.key IN (SELECT option_id FROM opt)""",
+JOIN (SELECT option_id FROM opt) o ON o.option_id = r.key""",
     "upd": """
 SELECT event_id, ts, user_id, event_type, CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'waitlist'
   WHEN 'purchase' THEN 'closed' WHEN 'signup' THEN 'unknown' WHEN 'error' THEN 'failure' END AS kind,

@@ -77,8 +77,7 @@ def c7(v):
 
 
 @query("c8_where_days", """
-SELECT listing_id FROM lst WHERE listing_id IN (SELECT listing_id FROM meet WHERE day IN ('mon', 'wed'))
- AND listing_id NOT IN (SELECT listing_id FROM meet WHERE day IN ('fri', 'sat'))""")
+SELECT listing_id FROM meet GROUP BY listing_id HAVING bool_or(day IN ('mon', 'wed')) AND NOT bool_or(day IN ('fri', 'sat'))""")
 def c8(v):
     return v.listings("none").filter(X.where_days(["mon", "wed"], ["fri", "sat"])).select("listing_id")
 

@@ -38,7 +38,7 @@ def d15(v):
 
 
 @query("d6_match_options", """
-SELECT option_id, n_members FROM opt WHERE option_id IN (SELECT option_id FROM memb JOIN meet USING (listing_id) WHERE day = 'sat')""")
+SELECT DISTINCT m.option_id, m.n_members FROM memb m JOIN (SELECT DISTINCT listing_id FROM meet WHERE day = 'sat') s ON s.listing_id = m.listing_id""")
 def d6(v):
     """Options of which any member meets on Saturday."""
     lst = v.listings("order", "part")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offergrid.operators import overlays as O
 from offergrid.operators.options import physical
+from offergrid.operators.removal import class_evidence, hide_gate, removal_impact
 from offergrid.operators.seats import seat_rules
 from offergrid.plans.registry import query
 from offergrid.session import new_folder
@@ -185,21 +186,73 @@ def verdicts(v):
     return S.confirm_absence(probes, ["physical"], [c("ts").asc(), c("event_id").asc()], 50)
 
 
-@query("i8_confirmation_state", """
+#: Every class taken out and its option groups, with all that share a term, code and index with one of their members, built again.
+_IMPACT = """bp AS MATERIALIZED (SELECT b.*, l.physical FROM bridge b JOIN (SELECT listing_id, physical FROM lst) l ON b.listing_id = l.listing_id),
+mem AS (SELECT DISTINCT key, idx, lower(term) AS t, upper(course_code) AS cc FROM bp WHERE kind = 'row'),
+pk AS (SELECT DISTINCT physical, key FROM bp),
+hood AS (SELECT physical AS gone, key FROM pk UNION SELECT pk.physical, y.key FROM pk JOIN mem x ON pk.key = x.key
+ JOIN mem y ON x.idx = y.idx AND x.t = y.t AND x.cc = y.cc),
+built AS (SELECT h.gone, w.world, b.key, kind, idx, bool_or(prim) AS prim, bool_and(sec) AS all_sec, bool_or(kind = 'single' AND sec AND units <= 0) AS lone,
+ arg_min(lower(term), listing_id) AS t, arg_min(upper(course_code), listing_id) AS cc
+ FROM hood h JOIN bp b ON h.key = b.key JOIN (VALUES (0), (1)) w(world) ON w.world = 0 OR b.physical <> h.gone GROUP BY h.gone, w.world, b.key, kind, idx),
+homes AS (SELECT gone, world, idx, t, cc, count(*) AS n FROM built WHERE kind = 'row' AND prim GROUP BY ALL),
+fate AS (SELECT b.gone, b.world, b.key, NOT lone AND (prim OR NOT all_sec OR (kind = 'row' AND coalesce(n, 0) = 1)) AS ok FROM built b
+ LEFT JOIN homes h ON b.gone = h.gone AND b.world = h.world AND b.idx = h.idx AND b.t = h.t AND b.cc = h.cc),
+turn AS (SELECT x.gone, x.key, y.ok::INT - x.ok::INT AS d FROM fate x JOIN fate y ON x.gone = y.gone AND x.key = y.key
+ WHERE x.world = 0 AND y.world = 1 AND x.ok <> y.ok),
+sound AS (SELECT DISTINCT b.key FROM bp b LEFT JOIN moved m ON b.key = m.key JOIN opt o ON o.option_id = coalesce(m.target, b.key)),
+rows_ AS (SELECT b.physical, b.listing_id, count(DISTINCT s.key) AS n FROM bp b LEFT JOIN sound s ON b.key = s.key GROUP BY 1, 2),
+classes_ AS (SELECT pk.physical, count(s.key) AS n FROM pk LEFT JOIN sound s ON pk.key = s.key GROUP BY 1),
+effect AS (
+ SELECT gone, 1 AS cls, CASE WHEN n > 0 AND n + d <= 0 THEN 1 WHEN n = 0 AND n + d > 0 THEN -1 ELSE 0 END AS x FROM
+  (SELECT gone, pk.physical, sum(d) AS d FROM turn JOIN pk ON turn.key = pk.key WHERE pk.physical <> gone GROUP BY ALL) z JOIN classes_ c ON z.physical = c.physical
+ UNION ALL SELECT physical, 1, -1 FROM classes_ WHERE n = 0
+ UNION ALL SELECT gone, 0, CASE WHEN n > 0 AND n + d <= 0 THEN 1 WHEN n = 0 AND n + d > 0 THEN -1 ELSE 0 END FROM
+  (SELECT gone, b.listing_id, sum(d) AS d FROM turn JOIN (SELECT DISTINCT key, listing_id, physical FROM bp) b ON turn.key = b.key
+   WHERE b.physical <> gone GROUP BY ALL) z JOIN rows_ c ON z.listing_id = c.listing_id
+ UNION ALL SELECT physical, 0, -1 FROM rows_ WHERE n = 0),
+impact AS (SELECT c.physical, coalesce(sum(x) FILTER (cls = 1), 0)::BIGINT AS orphaned_classes, coalesce(sum(x) FILTER (cls = 0), 0)::BIGINT AS orphaned_listings
+ FROM classes_ c LEFT JOIN effect e ON e.gone = c.physical GROUP BY 1)"""
+
+
+@query("i8_removal_impact", f"WITH {_IMPACT} SELECT physical, orphaned_classes, orphaned_listings FROM impact")
+def i8_impact(v):
+    """What every class's removal would do to the audit, all classes in one pass."""
+    return removal_impact(v.listings("order", "part"))
+
+
+@query("i8_confirmation_state", f"""
 WITH p AS (SELECT physical, event_id, ts, CASE WHEN k < 20 THEN 'error' WHEN said = 'open' THEN 'present' ELSE 'absent' END AS probe FROM obs),
 vd AS (SELECT *, CASE probe WHEN 'error' THEN 'inconclusive' WHEN 'present' THEN 'still_present' ELSE
  CASE WHEN lag(probe) OVER (PARTITION BY physical ORDER BY ts, event_id) = 'absent' THEN 'confirmed_missing' ELSE 'absent_once' END END AS verdict FROM p),
 la AS (SELECT * FROM vd QUALIFY row_number() OVER (PARTITION BY physical ORDER BY ts DESC, event_id DESC) = 1),
-per AS (SELECT physical, count(DISTINCT course_code || '/' || coalesce(crse_id, '')) > 1 AS crosslisted FROM lst GROUP BY 1)
-SELECT la.physical, verdict, crosslisted, verdict = 'confirmed_missing' AND epoch(TIMESTAMP '2024-01-19') - epoch(la.ts) BETWEEN 0 AND 864000 AND NOT crosslisted
- AND (n.ts IS NULL OR epoch(TIMESTAMP '2024-01-19') - epoch(n.ts) >= 172800) AS may_hide
-FROM la JOIN per USING (physical) LEFT JOIN newest n ON n.physical = la.physical""")
+early AS (SELECT physical, arg_max(ts, struct_pack(ts, event_id)) AS seen FROM seat WHERE event_id % 2 = 0 GROUP BY 1),
+back AS (SELECT l.physical, list(listing_id ORDER BY listing_id) AS ids, any_value(seen) AS seen FROM lst l LEFT JOIN early e ON e.physical = l.physical
+ WHERE l_partkey % 41 <> 0 GROUP BY 1),
+per AS (SELECT l.physical, list(listing_id ORDER BY listing_id) AS ids, any_value(n.ts) AS seen,
+ count(DISTINCT course_code || '/' || coalesce(crse_id, '')) > 1 AS crosslisted FROM lst l LEFT JOIN newest n ON n.physical = l.physical GROUP BY 1),
+{_IMPACT},
+st AS (SELECT la.physical, verdict, CASE WHEN verdict <> 'confirmed_missing' THEN 'not_confirmed'
+ WHEN NOT epoch(TIMESTAMP '2024-01-19') - epoch(la.ts) BETWEEN 0 AND 864000 THEN 'expired' WHEN back.ids <> per.ids THEN 'ids_changed'
+ WHEN back.seen IS DISTINCT FROM per.seen THEN 'seats_changed' WHEN crosslisted THEN 'crosslisted'
+ WHEN coalesce(epoch(TIMESTAMP '2024-01-19') - epoch(per.seen) < 172800, false) THEN 'recent_seats'
+ WHEN orphaned_classes > 0 OR orphaned_listings > 0 THEN 'orphans' ELSE 'none' END AS reason, orphaned_classes, orphaned_listings
+ FROM la JOIN back ON back.physical = la.physical JOIN per ON per.physical = la.physical JOIN impact i ON i.physical = la.physical)
+SELECT *, reason = 'none' AS may_hide FROM st""")
 def i8_state(v):
-    """Validity is set to ten days here, because probes are days apart in the events."""
-    lst = physical(v.listings("order", "part"))
-    ids = lst.groupBy("physical").agg(F.count(F.lit(1)).alias("n_ids"))
-    seats = O.newest(seat_rules(v.observations()), "physical", ["ts", "event_id"])
-    return S.confirmation_state(verdicts(v).join(ids, "physical"), lst, seats, F.lit("2024-01-19 00:00:00").cast("timestamp"), 240)
+    """Validity is set to ten days, because probes are days apart in the events.
+
+    When they were probed, the classes had fewer listings and older seat times than now.
+    """
+    lst = v.listings("order", "part")
+
+    def seen(obs):
+        ts = O.newest(seat_rules(obs), "physical", ["ts", "event_id"]).select("physical", c("ts").alias("seat_updated_at"))
+        return physical(lst).join(ts, "physical", "left")
+
+    back = class_evidence(seen(v.observations().filter("event_id % 2 = 0")).filter("l_partkey % 41 <> 0"))
+    said = verdicts(v).join(back.select("physical", "ids", "seat_times"), "physical")
+    return hide_gate(said, seen(v.observations()).drop("physical"), F.lit("2024-01-19 00:00:00").cast("timestamp"), 240)
 
 
 @query("i9_late_data", """
