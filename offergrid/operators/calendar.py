@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 c = F.col
@@ -107,49 +109,150 @@ def schedule_conflicts(picked: DataFrame, candidates: DataFrame) -> DataFrame:
     return cand.join(hit, on).groupBy("grp", "key").agg(F.min("first")["key"].alias("conflict_with"))
 
 
+def _fold():
+    """A class that takes the adds and removes of one grp in order; made here so that it travels with the plan."""
+    from bisect import bisect_left, bisect_right
+
+    class Held:
+        """Accepted items, and per week day their meetings sorted by start, with the dates they run.
+
+        Meetings of one day may share their hours if their dates are apart, so a look-up goes from the
+        longest meeting before the start up to the end.
+        """
+
+        def __init__(self):
+            self.items, self.days = {}, {}
+
+        def meets(self, slots) -> bool:
+            for day, start, end, first, last in slots:
+                if start is None or end is None or day not in self.days:
+                    continue
+                starts, kept, longest = self.days[day]
+                for _, until, f, t, _ in kept[bisect_right(starts, start - longest):bisect_left(starts, end)]:
+                    if start < until and (first is None or t is None or first <= t) and (f is None or last is None or f <= last):
+                        return True
+            return False
+
+        def add(self, item, slots) -> None:
+            self.items[item] = slots
+            for day, start, end, first, last in slots:
+                if start is not None and end is not None:
+                    starts, kept, longest = self.days.get(day, ([], [], 0))
+                    at = bisect_right(starts, start)
+                    starts.insert(at, start)
+                    kept.insert(at, (start, end, first, last, item))
+                    self.days[day] = (starts, kept, max(longest, end - start))
+
+        def remove(self, item) -> None:
+            for day in {x[0] for x in self.items.pop(item)} & self.days.keys():
+                kept = [x for x in self.days[day][1] if x[4] != item]
+                self.days[day] = ([x[0] for x in kept], kept, max((x[1] - x[0] for x in kept), default=0))
+
+        def take(self, action, item, slots) -> str:
+            if action == "remove":
+                if item not in self.items:
+                    return "not_held"
+                self.remove(item)
+                return "removed"
+            if item in self.items:
+                return "duplicate"
+            if self.meets(slots):
+                return "conflict"
+            self.add(item, slots)
+            return "accepted"
+
+    return Held
+
+
+def _adds(df: DataFrame) -> DataFrame:
+    """The columns of an add; dates as day numbers, unknown where there are none."""
+    dates = [F.unix_date(n).alias(n) if n in df.columns else F.lit(None).cast("int").alias(n) for n in ("date_from", "date_to")]
+    return df.select("grp", "day", "ord", "action", "item", "start_min", "end_min", *dates)
+
+
 def accept_schedule(adds: DataFrame) -> DataFrame:
     """Each add is accepted, a duplicate, or refused for a conflict; removes free the slot.
 
-    ``adds``: grp, day, ord (in time order), action, item, start_min, end_min; one
-    row per meeting, and rows with one (grp, ord) are the meetings of one add,
-    taken or refused together.  The order is sequential by nature.  Rows stream
-    through sorted partitions: a task holds the accepted items of one grp and the
-    meetings of one add, never the rows of the grp.
+    ``adds``: grp, day, ord (in time order), action, item, start_min, end_min, and
+    date_from, date_to if meetings end within the term; one row per meeting, and rows with one
+    (grp, ord) are the meetings of one add, taken or refused together.  Two
+    meetings conflict on a shared day if their hours overlap and their dates do, or
+    are unknown; one without hours conflicts with none.  The order is
+    sequential by nature.  Rows stream through sorted partitions: a task holds
+    the accepted items of one grp and the meetings of one add, never the rows of the grp.
     """
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Adds and removes in time order; the state is the accepted items of one grp, and the add being read."""
-        now, held, add = None, {}, []
+    held_by = _fold()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, add = None, held_by(), []
 
         def decide() -> list[tuple]:
             nonlocal now, held
             if not add:
                 return []
-            first = add[0]
-            if first.grp != now:
-                now, held = first.grp, {}
-            slots = [(r.day, r.start_min, r.end_min) for r in add]
-            if first.action == "remove":
-                said = "removed" if held.pop(first.item, None) else "not_held"
-            elif first.item in held:
-                said = "duplicate"
-            elif any(d == day and start < e and s < end for day, start, end in slots for kept in held.values() for d, s, e in kept):
-                said = "conflict"
-            else:
-                held[first.item] = slots
-                said = "accepted"
-            return [(r.grp, r.day, r.ord, r.item, said) for r in add]
+            grp, _, order, action, item = add[0][:5]
+            if grp != now:
+                now, held = grp, held_by()
+            said = held.take(action, item, [(r[1], *r[5:]) for r in add])
+            return [(grp, r[1], order, item, said) for r in add]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 5, kinds)],
+                                              names=["grp", "day", "ord", "item", "result"])
 
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if add and (row.grp, row.ord) != (add[0].grp, add[0].ord):
-                    out += decide()
+            rows = []
+            for row in zip(*[x.to_pylist() for x in batch.columns]):
+                if add and (row[0], row[2]) != (add[0][0], add[0][2]):
+                    rows += decide()
                     add = []
                 add.append(row)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(decide(), columns=names)
+            yield out(rows)
+        yield out(decide())
+
+    return (_adds(adds).repartition("grp").sortWithinPartitions("grp", "ord")
+            .mapInArrow(fold, "grp long, day string, ord long, item long, result string"))
+
+
+def accept_schedule_stream(adds: DataFrame) -> DataFrame:
+    """The same over a stream of adds (update mode): the accepted meetings of a grp are a list in the state store.
+
+    Rows of a grp are put in order within a micro-batch, whose size the source limits.
+    """
+    held_by = _fold()
+
+    class Schedule(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.meetings = handle.getListState("meetings", "item LONG, day STRING, start_min INT, end_min INT, date_from INT, date_to INT")
+
+        def handleInputRows(self, key, rows, timers):
+            held, known = held_by(), {}
+            for item, *slot in self.meetings.get():
+                known.setdefault(item, []).append(tuple(slot))
+            for item, slots in known.items():
+                held.add(item, slots)
+            adds = {}
+            for batch in rows:
+                clean = batch.astype(object).where(batch.notna(), None)
+                for r in clean.itertuples(index=False):
+                    adds.setdefault(r.ord, []).append(r)
+            out = []
+            for order in sorted(adds):
+                add = adds[order]
+                slots = [(r.day, *[None if x is None else int(x) for x in (r.start_min, r.end_min, r.date_from, r.date_to)]) for r in add]
+                said = held.take(add[0].action, add[0].item, slots)
+                out += [(key[0], r.day, order, r.item, said) for r in add]
+            left = [(item, *slot) for item, slots in held.items.items() for slot in slots]
+            if left:
+                self.meetings.put(left)
+            else:
+                self.meetings.clear()
+            yield pd.DataFrame(out, columns=["grp", "day", "ord", "item", "result"])
+
+        def close(self) -> None:
+            pass
 
-    names = ["grp", "day", "ord", "item", "result"]
-    cols = "grp long, day string, ord long, item long, result string"
-    return (adds.select("grp", "day", "ord", "action", "item", "start_min", "end_min").repartition("grp")
-            .sortWithinPartitions("grp", "ord").mapInPandas(fold, cols))
+    return _adds(adds).groupBy("grp").transformWithStateInPandas(
+        statefulProcessor=Schedule(), outputStructType="grp LONG, day STRING, ord LONG, item LONG, result STRING",
+        outputMode="Update", timeMode="None")

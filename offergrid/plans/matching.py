@@ -255,3 +255,45 @@ FROM f JOIN e ON e.grp = f.grp AND e.d = f.d AND e.rn = f.rn + 1, LATERAL (SELEC
 SELECT grp, ['mon','tue','wed','thu','fri'][d + 1] AS day, ord, item, result FROM f""")
 def m4(v):
     return C.accept_schedule(adds(v))
+
+
+_DATED = """
+e AS (SELECT user_id AS grp, event_id AS ord, event_type = 'error' AS rm, k AS item, k % 5 AS d1, CASE WHEN event_id % 3 = 0 THEN (k + 2) % 5 END AS d2,
+ 480 + (k * 7 % 60) * 10 AS s, CASE WHEN event_id % 11 <> 0 THEN 30 * (event_id % 4) END AS f,
+ row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM upd),
+fold AS (SELECT grp, ord, item, d1, d2, rn, CASE WHEN rm THEN 'not_held' ELSE 'accepted' END AS result,
+ CASE WHEN rm THEN [] ELSE [{'i': item, 'a': d1, 'b': d2, 's': s, 'f': f}] END AS held FROM e WHERE rn = 1
+UNION ALL SELECT e.grp, e.ord, e.item, e.d1, e.d2, e.rn, x.result, CASE x.result WHEN 'removed' THEN list_filter(fold.held, lambda h: h.i <> e.item)
+ WHEN 'accepted' THEN list_append(fold.held, {'i': e.item, 'a': e.d1, 'b': e.d2, 's': e.s, 'f': e.f}) ELSE fold.held END
+FROM fold JOIN e ON e.grp = fold.grp AND e.rn = fold.rn + 1, LATERAL (SELECT CASE
+ WHEN e.rm THEN CASE WHEN len(list_filter(fold.held, lambda h: h.i = e.item)) > 0 THEN 'removed' ELSE 'not_held' END
+ WHEN len(list_filter(fold.held, lambda h: h.i = e.item)) > 0 THEN 'duplicate'
+ WHEN len(list_filter(fold.held, lambda h: abs(h.s - e.s) < 75 AND coalesce(abs(h.f - e.f) <= 45, true)
+  AND (h.a = e.d1 OR h.a = coalesce(e.d2, -1) OR coalesce(h.b, -2) = e.d1 OR coalesce(h.b, -2) = coalesce(e.d2, -1)))) > 0 THEN 'conflict'
+ ELSE 'accepted' END AS result) x)
+SELECT grp, ord, item, result, ['mon','tue','wed','thu','fri'][d + 1] AS day FROM (
+ SELECT *, d1 AS d FROM fold UNION ALL SELECT *, d2 FROM fold WHERE d2 IS NOT NULL)"""
+
+
+def dated_adds(updates):
+    """Adds of one or two days that run 45 days of the term, or nobody knows when."""
+    days = F.array(*[F.lit(d) for d in ("mon", "tue", "wed", "thu", "fri")])
+    start = (F.lit(480) + (c("k") * 7 % 60) * 10).cast("int")
+    first = F.when(c("event_id") % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (30 * (c("event_id") % 4)).cast("int")))
+    on = F.when(c("event_id") % 3 == 0, F.array(c("k") % 5, (c("k") + 2) % 5)).otherwise(F.array(c("k") % 5))
+    return updates.withColumn("d", F.explode(on)).select(
+        c("user_id").alias("grp"), F.get(days, c("d").cast("int")).alias("day"), c("event_id").alias("ord"),
+        F.when(c("event_type") == "error", "remove").otherwise("add").alias("action"), c("k").cast("long").alias("item"),
+        start.alias("start_min"), (start + 75).alias("end_min"), first.alias("date_from"), F.date_add(first, 45).alias("date_to"))
+
+
+@query("m4_accept_schedule_dates", f"WITH {_DATED}")
+def m4_dates(v):
+    return C.accept_schedule(dated_adds(v.updates()))
+
+
+@query("m4_accept_schedule_stream", f"WITH {_DATED}")
+def m4_stream(v):
+    """The adds arrive in three slices; accepted meetings wait in the state store."""
+    from offergrid.plans.streams import run
+    return run(v, lambda s: C.accept_schedule_stream(dated_adds(s))).drop("batch")

@@ -125,10 +125,29 @@ def i5_batch(v):
 
 @query("i5_backoff_state", _BACKOFF)
 def i5(v):
-    out = run(v, lambda s: T.backoff_stream(tries(s), "user_id"))
+    out = run(v, lambda s: T.backoff_stream(tries(s), "user_id")).filter("kind = 'state'").drop("kind")
     return R.last_state(out, ["user_id"]).withColumn("retry_at", F.round("retry_at", 3))
 
 
+@query("i5_retry_due", """
+WITH e AS (SELECT *, CASE WHEN event_type IN ('error', 'signup', 'view') THEN CASE WHEN k < 70 THEN 'timeout' ELSE 'mismatch' END END AS failure,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM upd),
+g AS (SELECT *, CASE WHEN failure IS NULL OR failure IS DISTINCT FROM lag(failure) OVER (PARTITION BY user_id ORDER BY pos) THEN pos END AS st FROM e),
+s AS (SELECT user_id, ts, failure, pos, CASE WHEN failure IS NULL THEN 0 ELSE pos - max(st) OVER (PARTITION BY user_id ORDER BY pos) + 1 END AS streak,
+ floor((epoch(ts) - lo) / ((hi - lo) / 3 + 1)) AS slice FROM g, (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events)),
+lasts AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, slice ORDER BY pos DESC) = 1),
+ends AS (SELECT *, lead(slice) OVER (PARTITION BY user_id ORDER BY slice) AS later FROM lasts),
+marks AS (SELECT slice, max(epoch(ts)) - 3600 AS mark FROM s GROUP BY 1),
+r AS (SELECT *, epoch(ts) + CASE WHEN failure = 'mismatch' THEN least(21600, 1800 * 2 ** least(streak - 1, 4)) ELSE least(1800, 60 * 2 ** least(streak - 1, 6)) END AS retry_at
+ FROM ends WHERE streak > 0)
+SELECT user_id, failure, streak, round(retry_at, 3) AS retry_at FROM r
+WHERE retry_at < (SELECT max(mark) FROM marks WHERE marks.slice < coalesce(r.later, 3))""")
+def i5_due(v):
+    """Sources whose cooldown ended before their next attempt came, by event-time timers."""
+    out = run(v, lambda s: T.backoff_stream(tries(s), "user_id")).filter("kind = 'due'")
+    return out.select("user_id", "failure", "streak", F.round("retry_at", 3).alias("retry_at"))
+
+
 @query("i6_inventory_drift", """
 WITH ex AS (SELECT DISTINCT l_orderkey AS source, l_suppkey AS number FROM lst WHERE l_shipdate < TIMESTAMP '2000-01-01'),
 r AS (SELECT DISTINCT l_orderkey AS source, 1 AS grid, l_suppkey AS number FROM lst WHERE l_returnflag = 'N' UNION SELECT DISTINCT l_orderkey, 2, l_suppkey FROM lst WHERE l_linestatus = 'F'),
@@ -149,6 +168,61 @@ def i6(v):
     return S.inventory_drift(expected, grids, rows)
 
 
+_GRIDS = """
+ex AS (SELECT DISTINCT l_orderkey AS source, l_suppkey::VARCHAR AS number FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01'),
+gr AS (SELECT o_orderkey AS source, grid, grid <> 2 OR o_orderstatus <> 'P' AS complete, o_orderpriority <> '5-LOW' AS right_term,
+ grid = 3 AND o_orderkey % 2 = 0 AS says_empty FROM orders, (VALUES (1), (2), (3)) t(grid) WHERE grid < 3 OR o_orderkey % 5 < 2),
+sn AS (SELECT DISTINCT l_orderkey AS source, 1 AS grid, l_suppkey::VARCHAR AS number FROM lineitem WHERE l_returnflag = 'N'
+ UNION SELECT DISTINCT l_orderkey, 2, l_suppkey::VARCHAR FROM lineitem WHERE l_linestatus = 'F'),
+st AS (SELECT gr.*, CASE WHEN NOT (complete AND right_term) THEN 'untrusted'
+ WHEN EXISTS (SELECT 1 FROM sn JOIN ex ON sn.source = ex.source AND sn.number = ex.number WHERE sn.source = gr.source AND sn.grid = gr.grid) THEN 'trusted'
+ WHEN EXISTS (SELECT 1 FROM sn WHERE sn.source = gr.source AND sn.grid = gr.grid) AND EXISTS (SELECT 1 FROM ex WHERE ex.source = gr.source) THEN 'different'
+ WHEN says_empty AND NOT EXISTS (SELECT 1 FROM sn WHERE sn.source = gr.source AND sn.grid = gr.grid) THEN 'unverified' ELSE 'untrusted' END AS status FROM gr),
+nw AS (SELECT source, max(grid) FILTER (status = 'trusted') AS trusted, max(grid) AS grid, arg_max(status, grid) AS status FROM st GROUP BY 1),
+ev AS (SELECT nw.source, ex.number, 'missing' AS kind FROM nw JOIN ex ON ex.source = nw.source LEFT JOIN sn ON sn.source = nw.source AND sn.grid = trusted AND sn.number = ex.number
+ WHERE trusted IS NOT NULL AND sn.number IS NULL
+ UNION ALL SELECT nw.source, sn.number, 'unlisted' FROM nw JOIN sn ON sn.source = nw.source AND sn.grid = trusted LEFT JOIN ex ON ex.source = nw.source AND ex.number = sn.number
+ WHERE ex.number IS NULL)"""
+
+
+def grids_of(v):
+    """(expected numbers, three grids a source with their numbers): some partial, of another term, or empty."""
+    line, orders = v.table("lineitem"), v.table("orders")
+    expected = line.filter("l_shipdate < '2000-01-01'").select(c("l_orderkey").alias("source"), c("l_suppkey").alias("number"))
+    seen = line.groupBy("l_orderkey").agg(F.collect_set(F.when(c("l_returnflag") == "N", c("l_suppkey"))).alias("one"),
+                                          F.collect_set(F.when(c("l_linestatus") == "F", c("l_suppkey"))).alias("two"))
+    grid = orders.join(seen, c("o_orderkey") == c("l_orderkey"), "left").withColumn("grid", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter(
+        "grid < 3 OR o_orderkey % 5 < 2")
+    none = F.array().cast("array<bigint>")
+    return expected, grid.select(
+        c("o_orderkey").alias("source"), c("grid").cast("long").alias("grid"), ((c("grid") != 2) | (c("o_orderstatus") != "P")).alias("complete"),
+        (c("o_orderpriority") != "5-LOW").alias("right_term"), ((c("grid") == 3) & (c("o_orderkey") % 2 == 0)).alias("says_empty"),
+        F.coalesce(F.when(c("grid") == 1, c("one")).when(c("grid") == 2, c("two")), none).alias("numbers"))
+
+
+def _evidence(v):
+    """The grids replayed as three slices; the last state of every source."""
+    expected, grids = grids_of(v)
+    root, out = new_folder(v.spark, "grids"), new_folder(v.spark, "evidence")
+    for i in (1, 2, 3):
+        grids.filter(c("grid") == i).write.parquet(f"{root}/slice={i}")
+        stream = R.file_stream(v.spark, root, grids.schema)
+        R.run_available(T.inventory_stream(stream, expected), R.batch_writer(f"{out}/rows"), f"{out}/checkpoint", "update")
+    return R.last_state(R.read_batches(v.spark, f"{out}/rows"), ["source"])
+
+
+@query("i6_inventory_stream", f"WITH {_GRIDS} SELECT source, number, kind FROM ev")
+def i6_stream(v):
+    """Evidence in a map per source; partial, wrong-term and empty grids leave it alone."""
+    kinds = F.array(*[F.struct(c(k).alias("numbers"), F.lit(k).alias("kind")) for k in ("missing", "unlisted")])
+    return _evidence(v).select("source", F.explode(kinds).alias("x")).select("source", F.explode("x.numbers").alias("number"), "x.kind")
+
+
+@query("i6_inventory_status", f"WITH {_GRIDS} SELECT source, grid::BIGINT AS grid, status FROM nw")
+def i6_status(v):
+    return _evidence(v).select("source", "grid", "status")
+
+
 _SESSIONS = """
 WITH x AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (
  SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 14400 THEN 0 ELSE 1 END AS n FROM upd WHERE kind = 'waitlist'))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,38 +35,129 @@ def backoff_batch(df: DataFrame, by: str, order, block: int) -> DataFrame:
     return last.select(by, "failure", "streak", (c("ts").cast("double") + wait).alias("retry_at"))
 
 
-def backoff_stream(df: DataFrame, by: str) -> DataFrame:
-    """The same state kept per source in the state store (update mode).
+def backoff_stream(df: DataFrame, by: str, delay: str = "1 hour") -> DataFrame:
+    """The same state kept per source in the state store, and a row when its cooldown has ended (update mode).
 
-    The processor is nested so that it travels with the plan.  Rows of one key
-    are put in event order inside a micro-batch, whose size the source limits.
+    ``kind`` is ``state`` for a source that has new attempts and ``due`` for one whose event-time timer has
+    fired: the watermark, ``delay`` behind the newest event, is past ``retry_at`` and no newer attempt came.
+    The processor is nested so that it travels with the plan.  Attempts of one source are put in event order inside
+    a micro-batch; what an earlier change of the failure already separates from the end is dropped
+    chunk by chunk, so a task holds two numbers for every attempt of the last streak only.
     """
     plain, mismatch = PLAIN, MISMATCH
 
     class Backoff(StatefulProcessor):
         def init(self, handle) -> None:
-            self.state = handle.getValueState("streak", "failure STRING, streak LONG, at DOUBLE")
+            self.handle = handle
+            self.state = handle.getValueState("streak", "failure STRING, streak LONG, at DOUBLE, retry_at DOUBLE")
+
+        def row(self, source, what):
+            failure, streak, _, retry_at = self.state.get()
+            return pd.DataFrame({by: [source], "kind": [what], "failure": [failure], "streak": [streak], "retry_at": [retry_at]})
 
         def handleInputRows(self, key, rows, timers):
-            kind, streak, at = self.state.get() if self.state.exists() else (None, 0, None)
-            seen = pd.concat(list(rows)).sort_values(["at", "event_id"])
-            for row in seen.itertuples(index=False):
-                now = row.failure if isinstance(row.failure, str) else None
-                streak = 0 if now is None else streak + 1 if now == kind else 1
-                kind, at = now, row.at
-            self.state.update((kind, streak, at))
-            first, cap, doublings = mismatch if kind == "mismatch" else plain
+            names = []  # failures as numbers; a success is -1
+            held = [np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+            cut = False
+            for chunk in rows:
+                for name in chunk["failure"].dropna().unique():
+                    if name not in names:
+                        names.append(name)
+                kind = chunk["failure"].map({n: i for i, n in enumerate(names)}).fillna(-1).to_numpy(np.int64)
+                new = [chunk["at"].to_numpy(float), chunk["event_id"].to_numpy(np.int64), kind]
+                held = [np.concatenate(pair) for pair in zip(held, new)]
+                order = np.lexsort((held[1], held[0]))
+                held = [x[order] for x in held]
+                other = np.flatnonzero(held[2] != held[2][-1])
+                if len(other):  # the attempt before the last streak ends all earlier ones
+                    cut = True
+                    held = [x[other[-1]:] for x in held]
+            last = int(held[2][-1])
+            failure = names[last] if last >= 0 else None
+            run = int((held[2] == last).sum())
+            kind, streak = self.state.get()[:2] if self.state.exists() else (None, 0)
+            streak = 0 if failure is None else run + (streak if not cut and kind == failure else 0)
+            at = float(held[0][-1])
+            first, cap, doublings = mismatch if failure == "mismatch" else plain
             wait = min(cap, first * 2 ** min(streak - 1, doublings)) if streak else None
-            yield pd.DataFrame({by: [key[0]], "failure": [kind], "streak": [streak],
-                                "retry_at": [None if wait is None else at + wait]})
+            retry_at = None if wait is None else at + wait
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if retry_at is not None:
+                self.handle.registerTimer(math.ceil(retry_at * 1000))
+            self.state.update((failure, streak, at, retry_at))
+            yield self.row(key[0], "state")
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            yield self.row(key[0], "due")
 
         def close(self) -> None:
             pass
 
-    rows = df.select(by, "event_id", "failure", c("ts").cast("double").alias("at"))
+    rows = df.withWatermark("ts", delay).select(by, "event_id", "failure", "ts", c("ts").cast("double").alias("at"))
     return rows.groupBy(by).transformWithStateInPandas(
-        statefulProcessor=Backoff(), outputStructType=f"{by} LONG, failure STRING, streak LONG, retry_at DOUBLE",
-        outputMode="Update", timeMode="None")
+        statefulProcessor=Backoff(), outputStructType=f"{by} LONG, kind STRING, failure STRING, streak LONG, retry_at DOUBLE",
+        outputMode="Update", timeMode="EventTime")
+
+
+def inventory_stream(grids: DataFrame, expected: DataFrame) -> DataFrame:
+    """What the grids of a source say about its class numbers, as a stream (update mode).
+
+    ``grids``: source, grid (in order), complete, right_term, says_empty (the page states that nothing is
+    scheduled), numbers; ``expected``: source, number.  The numbers that the newest trustworthy grid left out
+    (``missing``) or had beside the expected ones (``unlisted``) stay in a map in the
+    state store until the next trustworthy grid; a partial, wrong-term or unrelated one leaves it alone.
+    ``status`` is that of the newest grid: ``trusted`` (complete, of the right term, with some expected number), ``different`` (none of
+    them, but others), ``unverified`` (the page says it is empty), else ``untrusted``; all numbers are those of one page.
+    """
+    status_of, kept = _grid_status(), ("missing", "unlisted")
+
+    class Evidence(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.numbers = handle.getMapState("numbers", "number STRING", "kind STRING")
+            self.last = handle.getValueState("last", "grid LONG, status STRING, trusted LONG")
+
+        def handleInputRows(self, key, rows, timers):
+            grid, status, trusted = self.last.get() if self.last.exists() else (None, None, None)
+            best = None
+            for batch in rows:
+                for r in batch.itertuples(index=False):
+                    seen, wanted = set(r.numbers), set(r.expected) if r.expected is not None else set()
+                    said = status_of(r.complete, r.right_term, r.says_empty, seen, wanted)
+                    if grid is None or r.grid >= grid:
+                        grid, status = int(r.grid), said
+                    if said == "trusted" and (trusted is None or r.grid >= trusted):
+                        trusted, best = int(r.grid), (wanted - seen, seen - wanted)
+            if best:
+                self.numbers.clear()
+                for kind, found in zip(kept, best):
+                    for number in found:
+                        self.numbers.updateValue((number,), (kind,))
+            self.last.update((grid, status, trusted))
+            now = [(n[0], k[0]) for n, k in self.numbers.iterator()]
+            yield pd.DataFrame({"source": [key[0]], "grid": [grid], "status": [status],
+                                **{kind: [sorted(n for n, k in now if k == kind)] for kind in kept}})
+
+        def close(self) -> None:
+            pass
+
+    page = expected.groupBy("source").agg(F.collect_set(c("number").cast("string")).alias("expected"))
+    rows = grids.join(page, "source", "left").select(
+        "source", "grid", "complete", "right_term", "says_empty", F.array_distinct(c("numbers").cast("array<string>")).alias("numbers"), "expected")
+    return rows.groupBy("source").transformWithStateInPandas(
+        statefulProcessor=Evidence(),
+        outputStructType="source LONG, grid LONG, status STRING, missing ARRAY<STRING>, unlisted ARRAY<STRING>", outputMode="Update", timeMode="None")
+
+
+def _grid_status():
+    def status(complete, right_term, says_empty, seen: set, wanted: set) -> str:
+        if not (complete and right_term):
+            return "untrusted"
+        if seen & wanted:
+            return "trusted"
+        return "different" if seen and wanted else "unverified" if says_empty and not seen else "untrusted"
+
+    return status
 
 
 def _state(spark, path: str, batch: int, ddl: str) -> DataFrame:
