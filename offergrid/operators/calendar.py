@@ -74,34 +74,63 @@ def meeting_recurrence(df: DataFrame, key: str = "listing_id") -> DataFrame:
 SLOT = ("grp", "day", "start_min", "end_min", "date_from", "date_to")
 
 
+#: Half minutes of a day and more; powers of two of them are the nodes of the sweep.
+LEVELS = 13
+
+
+def _points(start: Column, end: Column) -> tuple[Column, Column]:
+    """First and last half minute inside an interval; one without length is the point itself."""
+    empty = end <= start
+    return F.when(empty, 2 * start).otherwise(2 * start + 1), F.when(empty, 2 * start).otherwise(2 * end - 1)
+
+
+def _cover(first: Column, last: Column) -> Column:
+    """The fewest nodes (level, number) whose half minutes make up ``first`` to ``last``: two a level at most."""
+    nodes = []
+    for k in range(LEVELS):
+        low, high = F.shiftright(first + F.lit((1 << k) - 1), k), F.shiftright(last + 1, k)
+        nodes += [F.when((low < high) & (low % 2 == 1), F.struct(F.lit(k).alias("level"), low.alias("node"))),
+                  F.when((low < high) & (high % 2 == 1), F.struct(F.lit(k).alias("level"), (high - 1).alias("node")))]
+    return F.filter(F.array(*nodes), lambda n: n.isNotNull())
+
+
+def _above(point: Column) -> Column:
+    """The node of every level that holds a half minute."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(point, k).alias("node")) for k in range(LEVELS)])
+
+
 def schedule_conflicts(picked: DataFrame, candidates: DataFrame) -> DataFrame:
     """First conflicting pick per candidate.
 
     Both sides: grp, key, ord, day, start_min, end_min, date_from, date_to (one
-    row per meeting and day).  Equal intervals are folded before the join, so
-    its size follows the number of distinct intervals and not of rows; the hour
-    bucket makes it an equi join.  A candidate that is picked
-    already is left out.
+    row per meeting and day).  Two intervals overlap if one holds the other's start.
+    An interval is covered by a few power-of-two nodes of the day and a start lies in one node a
+    level, so both cases are equi joins on nodes.  Picks are folded to the first one
+    per node and dates before the join; a (grp, day) then has no more rows than nodes times
+    date ranges, however many intervals crowd into an hour.  Dates are compared after the join.
+    A candidate that is picked already is left out; one that ends before it starts counts as a point.
     """
     candidates = candidates.join(picked.select("grp", "key"), ["grp", "key"], "left_anti")
-    p = picked.filter("start_min IS NOT NULL AND end_min IS NOT NULL").groupBy(*SLOT).agg(
-        F.min(F.struct("ord", "key")).alias("p1"))
+    timed = picked.filter("start_min IS NOT NULL AND end_min IS NOT NULL")
     cand = candidates.filter("start_min IS NOT NULL AND end_min IS NOT NULL")
-    q = cand.select(*SLOT).distinct()
+    first, last = _points(c("start_min"), c("end_min"))
 
-    def buckets(df, pre):
-        hours = F.sequence(F.floor(c("start_min") / 60).cast("int"),
-                           F.floor((F.greatest(c("end_min"), c("start_min") + 1) - 1) / 60).cast("int"))
-        keep = [n for n in df.columns if n not in SLOT]
-        return df.select("grp", "day", *[c(n).alias(pre + n) for n in SLOT[2:]], *keep, F.explode(hours).alias("hour"))
+    def spread(df: DataFrame, side: str, nodes: Column, *keep: str) -> DataFrame:
+        return df.select("grp", "day", (c("end_min") <= c("start_min")).alias(f"{side}_point"), *[c(n).alias(f"{side}_{n}") for n in SLOT[2:]], *keep,
+                         F.explode(nodes).alias("n")).select("*", "n.level", "n.node").drop("n")
 
-    a, b = buckets(q, "q_"), buckets(p, "p_")
+    def folded(nodes: Column, case: int) -> DataFrame:
+        rows = spread(timed.withColumn("pick", F.struct("ord", "key")), "p", nodes, "pick")
+        return rows.groupBy("grp", "day", "level", "node", "p_date_from", "p_date_to", "p_point").agg(F.min("pick").alias("first")).withColumn(
+            "case", F.lit(case))
+
+    q = cand.select(*SLOT).distinct()
+    asked = spread(q, "q", _above(first)).withColumn("case", F.lit(1)).unionByName(spread(q, "q", _cover(first, last)).withColumn("case", F.lit(2)))
+    held = folded(_cover(first, last), 1).unionByName(folded(_above(first), 2))
     dates = (F.coalesce(c("q_date_from") <= c("p_date_to"), F.lit(True))
              & F.coalesce(c("p_date_from") <= c("q_date_to"), F.lit(True)))
-    hit = (a.join(b, ["grp", "day", "hour"])
-           .filter((c("q_start_min") < c("p_end_min")) & (c("p_start_min") < c("q_end_min")) & dates)
-           .groupBy("grp", "day", *["q_" + n for n in SLOT[2:]])
-           .agg(F.min("p1").alias("first")))
+    hit = (asked.join(held, ["grp", "day", "level", "node", "case"]).filter(dates & ~(c("q_point") & c("p_point")))
+           .groupBy("grp", "day", *["q_" + n for n in SLOT[2:]]).agg(F.min("first").alias("first")))
     hit = hit.withColumnsRenamed({"grp": "q_grp", "day": "q_day"})
     on = F.lit(True)
     for n in SLOT:

@@ -149,29 +149,59 @@ def _grams(text: Column) -> Column:
         F.substring(text, i, F.lit(1)), F.substring(text, i, F.lit(2)), F.substring(text, i, F.lit(3))))))
 
 
+def _suggestion_score(q: Column) -> Column:
+    return (F.when(F.startswith(c("_code"), q), 0).when(F.startswith(c("_title"), q), 1)
+            .when(F.contains(c("_code"), q), 2).when(F.contains(c("_title"), q), 3))
+
+
+def suggestion_index(lookup: DataFrame) -> DataFrame:
+    """Every course under each of its one to three characters, ranked as an answer to just these; stored.
+
+    Made once per catalog version: gram, pos (1 is best), code, title, score.
+    """
+    texts = lookup.select("code", "title", F.lower("code").alias("_code"), F.lower("title").alias("_title")) \
+        .withColumn("gram", F.explode(F.array_distinct(F.concat(_grams(c("_code")), _grams(c("_title")))))).filter("gram <> ''")
+    rows = texts.withColumn("score", _suggestion_score(c("gram"))).select("gram", "code", "title", "score")
+    return settled(ranked(rows, [c("score").asc(), c("code").asc()], ["gram"]).repartitionByRange("gram", "pos").sortWithinPartitions("gram", "pos"))
+
+
+def suggest_stored(queries: DataFrame, index: DataFrame, excluded: DataFrame | None = None, allowed: DataFrame | None = None,
+                   limit: int = 8) -> DataFrame:
+    """``suggest`` over a ``suggestion_index``.
+
+    A query of up to three characters is a gram itself: its answer is among the first
+    ``limit`` rows and as many more as codes are excluded, so only these are read.  With an allowed set
+    the rows of its codes are read.  A longer query reads the rows of its first three characters.
+    """
+    asks = (queries.select(c(queries.columns[0]).alias("q"), F.lower(F.trim(queries.columns[0])).alias("_q"))
+            .filter(c("_q") != "").distinct().withColumn("gram", F.substring("_q", 1, 3)))
+    short = F.length("_q") <= 3
+    rows = index
+    reach = F.lit(limit)
+    if allowed is not None:
+        rows = rows.join(allowed.select(norm_code(c(allowed.columns[0])).alias("_x")), norm_code(c("code")) == c("_x"), "left_semi")
+    if excluded is not None:
+        gone = excluded.select(norm_code(c(excluded.columns[0])).alias("_x")).distinct()
+        reach = reach + gone.agg(F.count(F.lit(1))).scalar()
+    brief, long = asks.filter(short), asks.filter(~short)
+    near = rows if allowed is not None else rows.filter(c("pos") <= reach)
+    one = near.join(brief, "gram").select("q", "code", "title", "score")
+    two = rows.join(long, "gram").withColumns({"_code": F.lower("code"), "_title": F.lower("title")}).withColumn(
+        "score", _suggestion_score(c("_q"))).filter(c("score").isNotNull()).select("q", "code", "title", "score")
+    scored = one.unionByName(two)
+    if excluded is not None:
+        scored = scored.join(gone, norm_code(c("code")) == c("_x"), "left_anti")
+    return top_per_key(scored, ["q"], [c("score"), c("code")], limit)
+
+
 def suggest(queries: DataFrame, lookup: DataFrame, excluded: DataFrame | None = None,
             allowed: DataFrame | None = None, limit: int = 8) -> DataFrame:
     """Best ``limit`` courses per query text: code prefix, title prefix, code part, title part.
 
-    An equi join on the first (up to three) characters of the query finds every
-    course that can hold it; the exact test follows.  ``excluded`` and
-    ``allowed`` are one-column code tables.
+    ``excluded`` and ``allowed`` are one-column code tables.  Codes are one row each.  Callers that ask again and
+    again store the ``suggestion_index`` and use ``suggest_stored``.
     """
-    if excluded is not None:
-        lookup = lookup.join(excluded.select(norm_code(c(excluded.columns[0])).alias("_x")),
-                             norm_code(c("code")) == c("_x"), "left_anti")
-    if allowed is not None:
-        lookup = lookup.join(allowed.select(norm_code(c(allowed.columns[0])).alias("_x")),
-                             norm_code(c("code")) == c("_x"), "left_semi")
-    asks = (queries.select(c(queries.columns[0]).alias("q"), F.lower(F.trim(queries.columns[0])).alias("_q"))
-            .filter(c("_q") != "").distinct().withColumn("_g", F.substring("_q", 1, 3)))
-    texts = lookup.select("code", "title", F.lower("code").alias("_code"), F.lower("title").alias("_title")) \
-        .withColumn("_g", F.explode(F.array_distinct(F.concat(_grams(c("_code")), _grams(c("_title"))))))
-    score = (F.when(F.startswith("_code", "_q"), 0).when(F.startswith("_title", "_q"), 1)
-             .when(F.contains("_code", "_q"), 2).when(F.contains("_title", "_q"), 3))
-    scored = asks.join(texts, "_g").withColumn("score", score).filter(c("score").isNotNull()) \
-        .select("q", "code", "title", "score")
-    return top_per_key(scored, ["q"], [c("score"), c("code")], limit)
+    return suggest_stored(queries, suggestion_index(lookup), excluded, allowed, limit)
 
 
 def hit_key() -> Column:

@@ -11,6 +11,7 @@ from offergrid.functions.text import natural_key, term_key
 from offergrid.operators.filters import FilterSpec
 from offergrid.operators.options import Options, component_rank, match_options, published
 from offergrid.operators.ordering import ranked
+from offergrid.session import settled
 
 c = F.col
 # Sort modes as (metric column, descending); none means A to Z.
@@ -90,6 +91,46 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int, largest
     return sized.filter((c("pos") > (at - 1) * size) & (c("pos") <= at * size))
 
 
+INDEX_BLOCK = 100_000
+
+
+def index_orders(rows: DataFrame, modes: Sequence[str], last: str = "option_id") -> DataFrame:
+    """``rows`` (``with_az``) with their position under every mode, stored: ``_pos_`` and the mode's name.
+
+    Made once per catalog version.  A to Z is ranked once; the metric modes rank by the metric and
+    that position, and ``alphabetical_desc`` is the same position read backwards.
+    """
+    out = ranked(rows, sort_order("alphabetical", last), out="_pos_alphabetical")
+    for mode in modes:
+        if SORT_MODES[mode] is not None:
+            name, descending = SORT_MODES[mode]
+            first = c(name).desc_nulls_last() if descending else c(name).asc_nulls_last()
+            out = ranked(out, [first, c("_pos_alphabetical").asc()], out=f"_pos_{mode}")
+    return settled(out.repartitionByRange(c("_pos_alphabetical")).sortWithinPartitions("_pos_alphabetical"))
+
+
+def indexed_page(hits: DataFrame, mode: str, number: int, size: int, largest: int = 50, block: int = INDEX_BLOCK) -> DataFrame:
+    """Rows of one page of ``hits``, any part of an ``index_orders`` table, with ``pos``, ``total`` and ``pages``.
+
+    Hits are counted per block of stored positions.  The few block counts tell which blocks hold
+    the page, and only their rows are sorted, at any depth and for any filter.
+    """
+    size, number = min(max(size, 1), largest), max(number, 1)
+    backwards = mode == "alphabetical_desc"
+    place = c("_pos_alphabetical" if backwards else f"_pos_{mode}")
+    rows = hits.withColumn("_at", -place if backwards else place).withColumn("_block", F.floor(c("_at") / block).cast("long"))
+    counts = settled(rows.groupBy("_block").agg(F.count(F.lit(1)).alias("n")))
+    total = F.coalesce(counts.agg(F.sum("n")).scalar(), F.lit(0))
+    pages, at = page_place(total, number, size)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    holding = settled(starts.filter((c("start") < at * size) & (c("start") + c("n") > (at - 1) * size)))
+    low, high, start = (holding.agg(f).scalar() for f in (F.min("_block"), F.max("_block"), F.min("start")))
+    near = rows.filter((c("_block") >= low) & (c("_block") <= high))
+    placed = near.withColumn("pos", (F.row_number().over(Window.orderBy("_at")) + start).cast("long"))
+    return placed.withColumns({"total": total, "pages": pages}).filter((c("pos") > (at - 1) * size) & (c("pos") <= at * size)).drop("_at", "_block")
+
+
 def option_rows(listings: DataFrame, options: DataFrame) -> DataFrame:
     """Options with the current values of their primary listing."""
     return options.join(listings.drop("option_number").withColumnRenamed("listing_id", "primary_id"), "primary_id")

@@ -127,6 +127,30 @@ def g2_last(v):
         "option_id", "pos", "total", "pages")
 
 
+@query("g2_indexed_last_page", f"""
+WITH {SHOWN_SQL}, n AS (SELECT count(*) AS total FROM opt_rows)
+SELECT option_id, row_number() OVER (ORDER BY {AZ}) AS pos, total, ceil(total / 50)::BIGINT AS pages FROM opt_rows, n
+QUALIFY pos > (ceil(total / 50) - 1) * 50""")
+def g2_indexed_last(v):
+    """The last page from stored positions: one block is sorted."""
+    rows = S.index_orders(S.with_az(option_table(v)), ["alphabetical"])
+    return S.indexed_page(rows, "alphabetical", 10 ** 7, 50, block=500).select("option_id", "pos", "total", "pages")
+
+
+@query("g2_indexed_page", f"""
+WITH {SHOWN_SQL}, f AS (SELECT * FROM opt_rows WHERE n_members > 1), n AS (SELECT count(*) AS total FROM f),
+r AS (SELECT option_id, row_number() OVER (ORDER BY reviews DESC NULLS LAST, {AZ}) AS pos, total FROM f, n)
+SELECT 'reviews' AS mode, option_id, pos, total, ceil(total / 50)::BIGINT AS pages FROM r WHERE pos > 4950 AND pos <= 5000
+UNION ALL SELECT 'alphabetical_desc', option_id, total + 1 - pos, total, ceil(total / 50)::BIGINT FROM (
+ SELECT option_id, row_number() OVER (ORDER BY {AZ}) AS pos, total FROM f, n) WHERE total + 1 - pos > 4950 AND total + 1 - pos <= 5000""")
+def g2_indexed(v):
+    """Page 100 of a filtered ranking in two modes."""
+    rows = S.index_orders(S.with_az(option_table(v)), ["reviews"]).filter("n_members > 1")
+    one, two = (S.indexed_page(rows, m, 100, 50, block=500).select(F.lit(m).alias("mode"), "option_id", "pos", "total", "pages")
+                for m in ("reviews", "alphabetical_desc"))
+    return one.unionByName(two)
+
+
 FLAGSHIP = FilterSpec(statuses=["open"], units_min=1, units_max=3, time_from=600, time_to=1080,
                       days=["mon", "wed", "thu"], page=1, page_size=50)
 

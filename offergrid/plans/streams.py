@@ -13,6 +13,7 @@ from offergrid.session import new_folder
 from offergrid.streaming import runs as R
 from offergrid.streaming import seats as S
 from offergrid.streaming import stateful as T
+from offergrid.streaming import upserts as U
 
 c = F.col
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -374,8 +375,21 @@ def i11(v):
 
 @query("i12_checkpointed_sink", "SELECT physical, status, open_seats, 1 AS schema_version FROM newest")
 def i12(v):
-    """A stop and a restart from the checkpoint after every slice."""
+    """The overlay as an upserted table; a stop and a restart from the checkpoint after every slice."""
     root, out = new_folder(v.spark, "replay"), new_folder(v.spark, "overlay")
     for _ in replay(v, root):
-        R.run_available(seat_rules(v.observations(stream_of(v, root))), T.overlay_writer(f"{out}/rows"), f"{out}/checkpoint")
-    return T.read_overlay_batches(v.spark, f"{out}/rows").select("physical", "status", "open_seats", "schema_version")
+        R.run_available(seat_rules(v.observations(stream_of(v, root))), U.upsert_writer(f"{out}/rows", "physical", ("ts", "event_id")), f"{out}/checkpoint")
+    return U.read_upserted(v.spark, f"{out}/rows").select("physical", "status", "open_seats", "schema_version")
+
+
+@query("i1_seat_overlay_table", """
+SELECT l.listing_id, coalesce(n.status, l.seat_status) AS seat_status FROM lst l JOIN newest n ON l.physical = n.physical""")
+def i1_table(v):
+    """Many small flushes, compacted on the way, laid over every listing of an updated class."""
+    root, out = new_folder(v.spark, "replay"), new_folder(v.spark, "overlay")
+    each = U.upsert_writer(f"{out}/rows", "physical", ("ts", "event_id"), buckets=4, compact=3)
+    for _ in replay(v, root, slices=7, by_hash=True):
+        R.run_available(seat_rules(v.observations(stream_of(v, root))), each, f"{out}/checkpoint")
+    state = U.read_upserted(v.spark, f"{out}/rows").select("physical", c("status").alias("seat_status"))
+    hit = physical(v.listings("order")).join(state.select("physical"), "physical", "left_semi")
+    return O.overlay_seats(hit, state).select("listing_id", "seat_status")

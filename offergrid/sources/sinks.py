@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 c = F.col
 
 
-def _hash_columns(df: DataFrame) -> list:
+def observed_hash(df: DataFrame) -> list:
     h = F.xxhash64(*[c(f"`{n}`") for n in sorted(df.columns)])
     return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"),
             F.coalesce(F.sum(h % 1_000_000_007), F.lit(0)).alias("total")]
@@ -19,7 +19,7 @@ def _hash_columns(df: DataFrame) -> list:
 
 def logical_hash(df: DataFrame) -> DataFrame:
     """(rows, xor, sum): equal for equal row sets whatever their order or files."""
-    return df.agg(*_hash_columns(df))
+    return df.agg(*observed_hash(df))
 
 
 class Version(NamedTuple):
@@ -63,7 +63,7 @@ def publish(df: DataFrame, target: str, partition_by: Sequence[str] = ("term",))
     old = _pointer_row(spark, target)
     seq = (old.number if old else 0) + 1
     path, seen = f"{target.rstrip('/')}/version={seq}", Observation()
-    df.observe(seen, *_hash_columns(df)).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df.observe(seen, *observed_hash(df)).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     want = tuple(seen.get[n] for n in ("rows", "xor", "total"))
     back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     got = logical_hash(back).first()

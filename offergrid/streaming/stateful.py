@@ -1,4 +1,4 @@
-"""Custom state: retry backoff, late rows, refresh cycles, the flushed overlay."""
+"""Custom state: retry backoff, inventory evidence, late rows, refresh cycles."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from offergrid.operators.sequences import failure_streaks
-from offergrid.streaming.runs import read_batches
 
 c = F.col
 # Cooldown start, cap and doublings for plain failures and for inventory mismatches.
@@ -205,24 +204,3 @@ def cycle_counter(out: str, registry: DataFrame, by: str) -> Callable[[DataFrame
         firsts.write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
 
     return each
-
-
-def overlay_writer(out: str, version: int = 1) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink of the seat overlay: the newest row of every class the batch changes.
-
-    Each flush is a folder of its own, so a repeated batch overwrites itself and
-    classes without news are not written again.
-    """
-    def each(df: DataFrame, batch: int) -> None:
-        cols = [n for n in df.columns if n != "physical"]
-        df.groupBy("physical").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("r")).select(
-            "physical", "r.*", F.lit(version).alias("schema_version")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    return each
-
-
-def read_overlay_batches(spark, out: str) -> DataFrame:
-    """The overlay that the flushes add up to: the newest row per class, whatever batch it came with."""
-    rows = read_batches(spark, out)
-    rest = [n for n in rows.columns if n not in ("physical", "batch")]
-    return rows.groupBy("physical").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("r")).select("physical", "r.*")
