@@ -2,10 +2,9 @@
 
 Single-pass in-memory indexing: a task reads its documents once and keeps postings
 (language, term, source -> occurrences, documents) until ``BLOCK`` of them are
-held, then hands the block on as a run sorted by term.  The runs are stored in the
-shared folder; a shuffle brings the runs of a hash shard of terms together, where
-Spark's external sort merges them by its heap, and a stream over the merged
-rows adds them up, one term at a time.
+held, then hands the block on as a run sorted by term.  The shuffle files hold the
+runs, cut by hash shards of terms; in a shard Spark's external sort merges them by its
+heap, and the merged rows are added up.
 
 For a pair of sources nearly all terms occur in neither or one of them.  What a
 source gives a term depends on its count only, so the sum over all terms starts
@@ -30,6 +29,9 @@ from offergrid.llm.common import settle
 
 LEAST_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Occurrences are the low bits of a posting's number, documents the high ones.
+SHIFT = 40
+ONE, FEW = 1 << SHIFT, (1 << SHIFT) - 1
 #: Postings a task holds, characters of a text split at once, and pairs of postings worked on at a time.
 BLOCK, LONG_TEXT, PAIRS = 300_000, 4_000_000, 500_000
 
@@ -38,65 +40,31 @@ def _runs(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, held, size = re.compile(TERM), {}, 0
 
-        def sorted_run() -> pa.RecordBatch:
-            rows = sorted((lang, term, source, n, docs[term]) for (lang, source), (times, docs) in held.items() for term, n in times.items())
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.string()] * 3 + [pa.int64()] * 2
+        def sorted_run() -> list[pa.RecordBatch]:
+            kinds = {"lang": pa.string(), "term": pa.string(), "source": pa.string(), "times": pa.int64(), "docs": pa.int64()}
+            parts = [pa.table({"lang": pa.repeat(lang, len(counts)), "term": pa.array(counts, pa.string()), "source": pa.repeat(source, len(counts)),
+                               "times": pa.array([n & FEW for n in counts.values()], pa.int64()),
+                               "docs": pa.array([n >> SHIFT for n in counts.values()], pa.int64())}) for (lang, source), counts in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "term", "source", "times", "docs"])
+            rows = pa.concat_tables(parts) if parts else pa.schema(kinds.items()).empty_table()
+            return rows.sort_by("term").combine_chunks().to_batches(max_chunksize=max(1, len(rows))) or [
+                pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds.values()], names=list(kinds))]
 
         for batch in batches:
             for text, lang, source in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 low = text.as_py().lower().decode("utf-8")  # of bytes: A-Z only
                 here = Counter(terms.findall(low) if len(low) < LONG_TEXT else (m.group() for m in terms.finditer(low)))
                 here[""] = 1  # so that a group without terms is known
-                times, docs = held.setdefault((lang, source), ({}, Counter()))
-                size -= len(times)
+                counts = held.setdefault((lang, source), {})
+                size -= len(counts)
+                known = counts.get
                 for term, n in here.items():
-                    times[term] = times.get(term, 0) + n
-                size += len(times)
-                docs.update(here.keys())
+                    counts[term] = known(term, 0) + n + ONE
+                size += len(counts)
                 if size >= block:
-                    yield sorted_run()
+                    yield from sorted_run()
                     size = 0
-        yield sorted_run()
-
-    return run
-
-
-def _merged(least: int):
-    """One row a (language, term) of rows that come sorted by language, term and source."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sources, counts, docs = None, [], [], 0
-        rows: list[tuple] = []
-
-        def close() -> None:
-            if key is not None and (docs >= least or key[1] == ""):
-                rows.append((*key, sources, counts))
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "term", "sources", "times"])
-            rows.clear()
-            return batch
-
-        for batch in batches:
-            for lang, term, source, n, seen in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != (lang, term):
-                    close()
-                    key, sources, counts, docs = (lang, term), [], [], 0
-                if sources and sources[-1] == source:
-                    counts[-1] += n
-                else:
-                    sources.append(source)
-                    counts.append(n)
-                docs += seen
-            if len(rows) > 10_000:
-                yield out()
-        close()
-        yield out()
+        yield from sorted_run()
 
     return run
 
@@ -104,10 +72,12 @@ def _merged(least: int):
 def frequencies(docs: DataFrame, least: int = LEAST_DOCS, block: int = BLOCK) -> DataFrame:
     """lang, term, sources, times of every kept term; the term '' names the groups that occur."""
     body = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    runs = settle(body.mapInArrow(_runs(block), "lang string, term string, source string, times long, docs long"), "runs")
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // 2_000_000))
-    merged = runs.repartition(shards, "lang", "term").sortWithinPartitions("lang", "term", "source")
-    return settle(merged.mapInArrow(_merged(least), "lang string, term string, sources array<string>, times array<long>"), "terms")
+    runs = body.mapInArrow(_runs(block), "lang string, term string, source string, times long, docs long")
+    shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    merged = shards.groupBy("lang", "term", "source").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
+    rows = merged.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "times")).alias("x"), F.sum("docs").alias("docs")).filter(
+        (F.col("docs") >= least) | (F.col("term") == ""))
+    return settle(rows.select("lang", "term", F.col("x.source").alias("sources"), F.col("x.times").alias("times")), "terms")
 
 
 def _share(count: Column, total: Column) -> Column:
