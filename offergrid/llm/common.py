@@ -39,6 +39,14 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def squeezed(text: Column) -> Column:
     """``text`` without white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offergrid.llm.common import settle, squeezed
+from offergrid.llm.common import free_name, settle, squeezed
 
 #: Members of one group that meet one copy of the keeper's text in a join key.
 BLOCK = 1_000
@@ -35,10 +35,10 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = md5_128)
                         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     marked = texts.select("doc_id", "body", "n", hashed(F.col("body")).alias("h"))
     digests = settle(marked.select("doc_id", "n", "h", F.unhex(F.sha2("body", 256)).alias("sha")), "digests")
-    best = F.max(F.struct("n", (-F.col("doc_id")).alias("id")))
-    groups = settle(digests.groupBy("h").agg(F.count(F.lit(1)).alias("size"), best.alias("best"))
+    best = F.min_by("doc_id", F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    groups = settle(digests.groupBy("h").agg(F.count(F.lit(1)).alias("size"), best)
                     .filter(F.col("size") > 1)
-                    .select(F.col("h").alias("g"), "size", (-F.col("best.id")).alias("first")), "groups")
+                    .select(F.col("h").alias("g"), "size", "first"), "groups")
     in_groups = digests.join(groups, F.col("h") == F.col("g")).select(
         F.col("doc_id").alias("id"), "g", "size", "first")
     members = settle(marked.join(in_groups.distinct(), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g")))
@@ -51,10 +51,10 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = md5_128)
     dealt = members.withColumn("b", F.pmod(F.xxhash64("doc_id"), blocks))
     collided = settle(dealt.join(keepers, (F.col("h") == F.col("g")) & (F.col("b") == F.col("block")))
                       .filter(F.col("body") != F.col("kept_body")).select("doc_id", "h", "n", "body"), "collided")
-    regrouped = collided.groupBy("body").agg(F.count(F.lit(1)).alias("size2"), best.alias("best"))
+    regrouped = collided.groupBy("body").agg(F.count(F.lit(1)).alias("size2"), best)
     moved = collided.join(regrouped, "body").select(
         F.col("doc_id").alias("id2"), F.col("h").alias("h2"), F.unhex(F.sha2("body", 256)).alias("sha2"), "size2",
-        (-F.col("best.id")).alias("first2")).distinct()
+        F.col("first").alias("first2")).distinct()
     gone = collided.groupBy(F.col("h").alias("h3")).agg(F.count(F.lit(1)).alias("gone"))
     sizes = groups.join(gone, F.col("g") == F.col("h3"), "left").select(
         "g", "first", (F.col("size") - F.coalesce("gone", F.lit(0))).alias("size"))
@@ -71,11 +71,12 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = md5_128)
 
 def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one of repeated rows."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    id_, sha_ = free_name(docs, "id"), free_name(docs, "sha")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_))
     kept = settle(kept, "kept")
-    repeated = kept.groupBy("_id", "_sha").count().filter("count > 1").limit(1).count()
+    repeated = kept.groupBy(id_, sha_).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count()
     sha = F.sha2(squeezed(F.col("text")), 256)
-    rows = docs.join(kept.distinct() if repeated else kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")),
+    rows = docs.join(kept.distinct() if repeated else kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (sha == F.col(sha_)),
                      "left_semi")
     return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offergrid.llm.common import WORD, running, settle
+from offergrid.llm.common import WORD, free_name, running, settle
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -75,17 +75,26 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").cast("int").alias("_copies"),
-                                                                        F.count(F.lit(1)).cast("int").alias("_rows"))
-    plan = settle(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-                              "_copies", "_rows").filter(F.col("_copies") > 0), "plan")
-    # rows that are alike in id, source and size share their copies: every one gets the rounded-up mean
-    copies = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    on = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-          & (words_of(F.col("text")) == F.col("_size")))
-    return (docs.join(plan, on).withColumn("_round", F.explode(F.sequence(F.lit(1), copies)))
-            .select(*[docs[c] for c in docs.columns]))
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows alike in id, source and size are numbered and their copies dealt out: as
+    many whole rounds as all get, and one more to the first ones.
+    """
+    id_, source, size, copies, rows, words = (free_name(docs, n) for n in ("id", "source_", "size", "copies", "rows", "words"))
+    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    plan = settle(plan.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), copies, rows)
+                  .filter(F.col(copies) > 0), "plan")
+    met = docs.withColumn(words, words_of(F.col("text"))).join(
+        plan, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size)))
+    packed = met.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_).alias("id"), F.col(source).alias("source"),
+                        F.col(size).alias("size"), F.col(copies).alias("copies"), F.col(rows).alias("rows"))
+    alone, alike = packed.filter("rows = 1").withColumn("at", F.lit(0).cast("long")), packed.filter("rows > 1")
+    if alike.select("id").limit(1).count():  # rows without an id, or repeated ones
+        order = [F.md5(F.coalesce("row.text", F.lit("")))]
+        alone = alone.unionByName(running(settle(alike, "alike"), ["id", "source", "size"], order, F.lit(1), "at"))
+    share = F.floor(F.col("copies") / F.col("rows")) + (F.col("at") < F.col("copies") % F.col("rows")).cast("int")
+    dealt = alone.withColumn("share", share.cast("int")).filter("share > 0")
+    return dealt.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("share")))).select("row.*")
 
 
 SQL = r"""
