@@ -311,15 +311,26 @@ def subject_inventory(seed: DataFrame, seen: DataFrame) -> DataFrame:
         "subject", (c("seen") & ~c("in_seed")).alias("is_new"), (c("in_seed") & ~c("seen")).alias("not_seen"), "pos")
 
 
+# Public codes of failed resources; the first rule that a path meets decides.  (how, texts, code)
+PUBLIC_CODES = (
+    ("starts", ("/api/seats", "/api/admin/seats"), "seat_data_unavailable"),
+    ("holds", ("ratings", "professor"), "professor_ratings_unavailable"),
+    ("starts", ("/api/catalog", "/api/profile"), "catalog_data_unavailable"),
+    ("starts", ("/api/classes",), "class_results_unavailable"),
+    ("starts", ("/api/options",), "filter_options_unavailable"),
+    ("starts", ("/api/admin",), "admin_data_unavailable"),
+)
+
+
 def public_code(path: Column) -> Column:
-    """Stable code of a failed resource; the first rule that its path meets decides."""
+    """Stable code of a failed resource."""
     low = F.lower(F.coalesce(path, F.lit("")))
-    return (F.when(low.rlike("^/api/(admin/)?seats"), "seat_data_unavailable")
-            .when(low.rlike("ratings|professor"), "professor_ratings_unavailable")
-            .when(low.rlike("^/api/(catalog|profile)"), "catalog_data_unavailable")
-            .when(low.rlike("^/api/classes"), "class_results_unavailable")
-            .when(low.rlike("^/api/options"), "filter_options_unavailable")
-            .when(low.rlike("^/api/admin"), "admin_data_unavailable").otherwise("service_unavailable"))
+    test = {"starts": F.startswith, "holds": F.contains}
+    out = F.lit("service_unavailable")
+    for how, texts, code in reversed(PUBLIC_CODES):
+        met = F.exists(F.array(*map(F.lit, texts)), lambda t, check=test[how]: check(low, t))
+        out = F.when(met, code).otherwise(out)
+    return out
 
 
 def error_rollup(events: DataFrame, key: Sequence[str]) -> DataFrame:
