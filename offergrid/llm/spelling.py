@@ -88,7 +88,7 @@ def _pieces(words: DataFrame, shortest: int, longest: int) -> DataFrame:
     """word, p, piece: what stands from each position on, up to the longest gram."""
     marks = _marks(longest)
     marked = F.concat(F.lit(OPEN * marks), F.col("word"), F.lit(CLOSE * marks))
-    starts = F.sequence(F.lit(1), F.char_length(marked) - (shortest - 1))
+    starts = F.sequence(F.lit(1), F.least(F.char_length(marked) - (shortest - 1), F.char_length("word") + marks))  # none of closing marks alone
     return words.select("word", F.explode(F.transform(starts, lambda p: F.struct(p.alias("p"), F.substring(marked, p, F.lit(longest)).alias("piece")))).alias("x")).select(
         "word", "x.p", "x.piece")
 
