@@ -246,3 +246,27 @@ def saved_items_refresh(saved: DataFrame, seats: DataFrame, hidden: DataFrame) -
             .withColumn("seat_status", F.coalesce("_s", "seat_status"))
             .withColumn("seats_available", F.coalesce("_o", "seats_available"))
             .withColumn("refreshed", c("_s").isNotNull()).drop("_s", "_o"))
+
+
+def saved_option_keys(saved: DataFrame, members: DataFrame) -> DataFrame:
+    """Saved options with ``saved_key``: term, code, and the sorted class numbers of all members.
+
+    ``saved`` has option_id; ``members``: option_id, is_primary, rank, term, course_code, schedule_number, one row a member.  Term and
+    code are those of the first primary member.  Only members of saved options are read; the numbers of an option are those that its key spells out.
+    """
+    mine = members.join(saved.select("option_id").distinct(), "option_id", "left_semi")
+    number = F.trim(F.coalesce("schedule_number", F.lit("")))
+    first = F.min_by(F.struct(F.trim(F.coalesce("term", F.lit(""))).alias("t"), norm_code(c("course_code")).alias("c")), "rank")
+    keys = mine.groupBy("option_id").agg(first.alias("f"), F.array_sort(F.collect_set(F.when(number != "", number))).alias("n"))
+    return saved.join(keys.select("option_id", F.concat_ws("::", "f.t", "f.c", F.array_join("n", "+")).alias("saved_key")), "option_id")
+
+
+def saved_options_refresh(saved: DataFrame, members: DataFrame, seats: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Members of saved options with the newest seat values; an option with a hidden member is gone.
+
+    ``members`` also has physical, seat_status, seats_available.
+    """
+    keyed = saved_option_keys(saved, members)
+    gone = members.join(hidden.select("physical"), "physical", "left_semi").select("option_id").distinct()
+    shown = keyed.join(gone, "option_id", "left_anti").join(members.drop("term", "course_code"), "option_id")
+    return saved_items_refresh(shown, seats, hidden)

@@ -98,3 +98,26 @@ def profile_progress(prog: DataFrame, scheduled: DataFrame, completed: DataFrame
                 "student", *KEY, "mapped", "scheduled", F.coalesce("completed", zero).alias("completed"), "required",
                 F.coalesce("completed_required", zero).alias("completed_required"),
                 (c("scheduled") - F.coalesce("done_scheduled", zero)).alias("remaining_scheduled")))
+
+
+def program_list(programs: DataFrame, prog: DataFrame, **asked) -> DataFrame:
+    """One page of ``list_programs`` with the distinct mapped codes of each item, all and per class.
+
+    ``programs``: name, year, degree; ``prog``: program, year, classification, course_code.  The
+    mappings of the programs on the page are counted, no others.
+    """
+    shown = list_programs(programs, **asked)
+    codes = (prog.join(F.broadcast(shown.select(c("name").alias("program"), "year")), list(KEY), "left_semi")  # a page: 100 rows at most
+             .select(*KEY, "classification", norm_code(c("course_code")).alias("code")).distinct())
+    per_code = codes.groupBy(*KEY, "code").agg(*[F.bool_or(c("classification") == k).alias(k) for k in ("major_prep", "major_course", "elective")])
+    counts = per_code.groupBy(c("program").alias("name"), "year").agg(
+        F.count(F.lit(1)).alias("mapped"), *[F.count_if(k).alias(k) for k in ("major_prep", "major_course", "elective")])
+    zero = [F.coalesce(n, F.lit(0)).alias(n) for n in ("mapped", "major_prep", "major_course", "elective")]
+    return shown.join(counts, ["name", "year"], "left").select(*shown.columns, *zero)
+
+
+def requirement_detail(reqs: DataFrame, label: str, year: str) -> DataFrame:
+    """The distinct codes of one requirement, in order, with their number; no rows if it is not known."""
+    mine = reqs.filter((c("year") == year) & (F.lower(F.trim("label")) == label.strip().lower()))
+    codes = mine.select("label", "year", norm_code(c("course_code")).alias("code")).distinct()
+    return codes.withColumn("courses", codes.agg(F.count(F.lit(1))).scalar()).orderBy("code")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offergrid.operators import overlays as O
-from offergrid.operators.options import physical
+from offergrid.operators.options import group_options, members_of, physical
 from offergrid.operators.seats import seat_rules
 from offergrid.plans.registry import query
 
@@ -226,3 +226,30 @@ def m3(v):
         .filter("t >= 0.08 AND x").select("physical")
     seats = O.newest(seat_rules(v.observations()), "physical", ["ts", "event_id"])
     return O.saved_items_refresh(saved, seats, gone).drop("physical")
+
+
+@query("m3_saved_options", """
+WITH saved AS (SELECT option_id, any_value(hash_) AS customer FROM (SELECT option_id, n_members AS hash_ FROM opt WHERE n_members > 1) GROUP BY 1),
+mb AS (SELECT r.key AS option_id, r.rn, r.listing_id, r.term, r.course_code, r.schedule_number, l.physical, l.seat_status, l.seats_available
+ FROM ranked_members r JOIN saved s ON s.option_id = r.key JOIN lst l ON l.listing_id = r.listing_id),
+k AS (SELECT option_id, arg_min(term, rn) || '::' || arg_min(upper(course_code), rn) || '::' || string_agg(DISTINCT schedule_number, '+' ORDER BY schedule_number) AS saved_key
+ FROM mb GROUP BY 1),
+hid AS (SELECT physical FROM lst GROUP BY 1 HAVING max(l_tax) >= 0.08 AND bool_and(seat_status = 'closed')),
+gone AS (SELECT DISTINCT option_id FROM mb JOIN hid ON hid.physical = mb.physical)
+SELECT mb.option_id, customer, saved_key, listing_id, coalesce(n.status, mb.seat_status) AS seat_status,
+ coalesce(n.open_seats, mb.seats_available) AS seats_available, n.physical IS NOT NULL AS refreshed
+FROM mb JOIN k ON k.option_id = mb.option_id JOIN saved s ON s.option_id = mb.option_id LEFT JOIN gone g ON g.option_id = mb.option_id
+LEFT JOIN newest n ON n.physical = mb.physical WHERE g.option_id IS NULL""")
+def m3_options(v):
+    """Every option of several classes is saved; their keys name all classes."""
+    lst = physical(v.listings("order", "part"))
+    opts = group_options(lst)
+    saved = opts.options.filter("n_members > 1").select("option_id", c("n_members").alias("customer"))
+    rows = members_of(opts._replace(membership=opts.membership.drop("physical")), lst.drop("is_primary"))
+    members = rows.select("option_id", F.struct(~c("is_primary"), "component_rank", "section_number", "schedule_number", "listing_id").alias("rank"),
+                          "listing_id", "term", "course_code", "schedule_number", "physical", "seat_status", "seats_available")
+    gone = lst.groupBy("physical").agg(F.max("l_tax").alias("t"), F.bool_and(c("seat_status") == "closed").alias("x")) \
+        .filter("t >= 0.08 AND x").select("physical")
+    seats = O.newest(seat_rules(v.observations()), "physical", ["ts", "event_id"])
+    return O.saved_options_refresh(saved, members, seats, gone).select(
+        "option_id", "customer", "saved_key", "listing_id", "seat_status", "seats_available", "refreshed")

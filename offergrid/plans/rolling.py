@@ -229,6 +229,28 @@ def e20_requirements(v):
     return P.requirement_list(v.programs())
 
 
+@query("e20_program_list", """
+WITH f AS (SELECT DISTINCT program AS name, year FROM prog WHERE contains(lower(program), 'a')),
+n AS (SELECT *, row_number() OVER (ORDER BY lower(name), year) AS pos, count(*) OVER () AS total FROM f)
+SELECT name, n.year, pos, total, count(DISTINCT upper(course_code)) AS mapped,
+ count(DISTINCT upper(course_code)) FILTER (WHERE classification = 'major_prep') AS major_prep,
+ count(DISTINCT upper(course_code)) FILTER (WHERE classification = 'major_course') AS major_course,
+ count(DISTINCT upper(course_code)) FILTER (WHERE classification = 'elective') AS elective
+FROM n JOIN prog ON program = name AND prog.year = n.year WHERE pos <= 3 GROUP BY ALL""")
+def e20_list(v):
+    """The first page of three with counts per item."""
+    progs = v.programs().select(c("program").alias("name"), "year").distinct().withColumn("degree", F.lit("B.A."))
+    return P.program_list(progs, v.programs(), name_part="A", number=1, size=3).select(
+        "name", "year", "pos", "total", "mapped", "major_prep", "major_course", "elective")
+
+
+@query("e20_requirement_detail", """
+SELECT DISTINCT label, year, upper(course_code) AS code, (SELECT count(DISTINCT upper(course_code)) FROM prog WHERE label = 'GWAR') AS courses
+FROM prog WHERE label = 'GWAR'""")
+def e20_requirement(v):
+    return P.requirement_detail(v.programs(), " gwar ", "2026-2027")
+
+
 @query("e21_profile_progress", _SCHED + """,
 pc AS (SELECT DISTINCT program, year, upper(course_code) AS code FROM prog),
 fixed AS (SELECT DISTINCT program, year, upper(course_code) AS code FROM prog WHERE classification <> 'elective'),

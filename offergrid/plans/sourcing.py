@@ -8,6 +8,7 @@ from offergrid.functions.parsing import clock_minutes, count_value, meeting_days
 from offergrid.operators import options as O
 from offergrid.operators import rollups as R
 from offergrid.operators.star import normalise_to_star
+from offergrid.operators.options import physical
 from offergrid.plans.registry import query
 from offergrid.session import new_folder
 from offergrid.sources import readers as A
@@ -34,6 +35,38 @@ def a1(v):
                          allowMissingColumns=True))
 
 
+@query("a1_read_with_overlays", """
+SELECT listing_id, CASE WHEN instructor IS NULL OR instructor = 'To Be Announced' THEN CASE WHEN l_suppkey % 4 = 3 THEN 'New Person' ELSE instructor END ELSE instructor END AS instructor,
+ CASE WHEN instructor IS NOT NULL AND instructor <> 'To Be Announced' AND l_suppkey % 3 = 0 THEN l_suppkey % 5 + 0.5
+  WHEN (instructor IS NULL OR instructor = 'To Be Announced') AND l_suppkey % 4 = 3 THEN NULL ELSE rating END AS rating,
+ p_size % 2 = 0 AS tagged, p_size % 3 = 0 AS in_program FROM lst""")
+def a1_overlays(v):
+    """Names, ratings, requirement and program overlays applied on load; one that does not parse leaves the rows as they are."""
+    path = new_folder(v.spark, "listings")
+    lst = physical(v.listings())
+    lst.select(*A.listing_schema().names).write.parquet(f"{path}/rows")
+
+    def store(kind: str, docs):
+        docs.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/{kind}")
+        return f"{path}/{kind}"
+
+    said = F.struct(F.lit("New  Person").alias("instructor"))
+    names = lst.filter("l_suppkey % 4 = 3").select("physical").distinct().select(
+        F.lit(1).alias("schema_version"), F.create_map("physical", said).alias("sections"))
+    rated = v.table("supplier").filter("s_suppkey % 3 = 0").select(F.array(F.struct(c("s_name").alias("name"), F.struct(
+        (c("s_suppkey") % 5 + 0.5).alias("rating")).alias("metrics"))).alias("records"))
+    codes = lst.select("course_code", "p_size").distinct()
+    wanted = codes.filter("p_size % 2 = 0").select(F.create_map(F.lit("GWAR"), F.array("course_code")).alias("requirements"))
+    mapped = codes.filter("p_size % 3 = 0").select(F.array(F.struct(F.lit("Art").alias("name"), F.lit("2027").alias("catalog_year"), F.array(F.struct(
+        "course_code", F.lit("elective").alias("classification"))).alias("mappings"))).alias("programs"))
+    where = {kind: store(kind, docs) for kind, docs in (("instructor", names), ("ratings", rated), ("requirement", wanted), ("program", mapped))}
+    v.spark.createDataFrame([("{",)], "value string").write.text(f"{path}/seat")
+    got = A.read_listings(v.spark, f"{path}/rows", "parquet", overlays={**where, "seat": f"{path}/seat"})
+    return got.rows.select("listing_id", "instructor", c("metrics.rating").alias("rating"),
+                           F.array_contains("requirement_tags", "GWAR").alias("tagged"),
+                           F.exists("program_tags", lambda t: t["program"] == "Art").alias("in_program"))
+
+
 @query("a1_read_listings_parquet", "SELECT term, count(*) AS n, count(*) FILTER (WHERE has_metrics) AS rated FROM lst GROUP BY 1")
 def a1_parquet(v):
     path = new_folder(v.spark, "listings-parquet")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offergrid.operators import overlays
+from offergrid.operators.options import physical
 from offergrid.operators.rollups import duplicate_keys
 
 c = F.col
@@ -43,9 +45,9 @@ def read_listings(spark: SparkSession, path: str, form: str = "json", whole_file
     """Nested listings with a fixed schema; rows that do not fit are set apart.
 
     ``form`` is ``json`` (one record per line, so files split; ``whole_file``
-    for one JSON array) or ``parquet``.  An overlay that can not be read, or
-    holds documents that do not parse, leaves its error text and the listings
-    still load.
+    for one JSON array) or ``parquet``.  ``overlays`` (kind: path) are laid over the
+    rows that fit (``lay_over``).  One that can not be read, or holds documents
+    that do not parse, leaves its error text, and the rows as they are.
     """
     if form == "parquet":
         raw = spark.read.schema(listing_schema()).parquet(path).withColumn("_bad", F.lit(None).cast("string"))
@@ -57,20 +59,50 @@ def read_listings(spark: SparkSession, path: str, form: str = "json", whole_file
     for name in REQUIRED:
         blank = blank | (F.coalesce(F.trim(name), F.lit("")) == "")
     marked = raw.withColumn("_reason", F.when(c("_bad").isNotNull(), "unreadable").when(blank, "required_value_missing"))
-    errors = []
+    errors, sides = [], {}
     for kind, where in (overlays or {}).items():
         try:
-            read_overlay(spark, kind, where)
+            side = read_overlay(spark, kind, where)
             if lost := unread_documents(spark, kind, where):
                 errors.append((kind, "Unreadable", f"{lost} documents do not parse"))
+            else:
+                sides[kind] = side
         except Exception as exc:  # noqa: BLE001 - overlays are optional, their errors are reported
             errors.append((kind, type(exc).__name__, str(exc).splitlines()[0]))
-    return Loaded(marked.filter("_reason IS NULL").drop("_bad", "_reason"),
+    return Loaded(lay_over(marked.filter("_reason IS NULL").drop("_bad", "_reason"), sides),
                   marked.filter("_reason IS NOT NULL").select(
                       c("_reason").alias("reason"), F.coalesce("_bad", "listing_id").alias("record")),
                   spark.createDataFrame(errors, "overlay string, error string, message string"))
 
 
+def lay_over(rows: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
+    """Listings with their side tables applied: names, then ratings of these names, seats, requirement and program tags; hidden classes go.
+
+    Columns stay those of the listings.  A program overlay has course_code, program, year, classification.
+    """
+    names, out = rows.columns, physical(rows)
+    if "instructor" in sides:
+        cache = sides["instructor"].groupBy("physical").agg(F.max_by("instructor", F.struct("updated_at", "instructor")).alias("person"))
+        out = overlays.overlay_instructors(out, cache).drop("changed")
+    if "ratings" in sides:
+        known = F.col("metrics")
+        shaped = sides["ratings"].withColumn("metrics", F.when(known.isNotNull(), F.struct(
+            *[known[n].alias(n) for n in ("rating", "difficulty", "again", "reviews")],
+            *[F.lit(None).cast("boolean").alias(n) for n in ("attendance", "textbook")])))
+        out = overlays.overlay_metrics(out, shaped).drop("changed")
+    if "seat" in sides:
+        newest = overlays.newest(sides["seat"].withColumn("_o", F.struct("updated_at", "seat_status")), "physical", ["_o"])
+        out = overlays.overlay_seats(out, newest.select("physical", *overlays.SEAT_COLUMNS))
+    if "requirement" in sides or "program" in sides:
+        spark = rows.sparkSession
+        out = overlays.overlay_tags(
+            out, sides.get("program", spark.createDataFrame([], "course_code string, program string, year string, classification string")),
+            sides.get("requirement", spark.createDataFrame([], "course_code string, label string")))
+    if "hidden" in sides:
+        out = out.join(sides["hidden"].select("physical"), "physical", "left_anti")
+    return out.select(*names)
+
+
 # Header spellings of schedule exports.
 HEADER_ALIASES = {
     "class_number": ("class nbr", "class number", "class no", "class #"),
@@ -157,6 +189,8 @@ OVERLAY_TYPES = {
     "ratings": ("records", "ARRAY<STRUCT<name: STRING, metrics: STRUCT<rating: DOUBLE, difficulty: DOUBLE, again: DOUBLE, "
                            "reviews: INT>>>", "any"),
     "requirement": ("requirements", "MAP<STRING, ARRAY<STRING>>", "any"),
+    "program": ("programs", "ARRAY<STRUCT<name: STRING, catalog_year: STRING, "
+                            "mappings: ARRAY<STRUCT<course_code: STRING, classification: STRING>>>>", "any"),
 }
 OVERLAY_VERSION = 1
 
@@ -181,6 +215,9 @@ def read_overlay(spark: SparkSession, kind: str, path: str) -> DataFrame:
         docs = docs.filter(c("d.schema_version") == OVERLAY_VERSION)
     if kind == "ratings":
         return docs.select(F.explode(F.coalesce(c(f"d.{field}"), c("bare"))).alias("r")).select("r.name", "r.metrics")
+    if kind == "program":
+        return docs.select(F.explode(c(f"d.{field}")).alias("p")).select("p", F.explode("p.mappings").alias("m")).select(
+            "m.course_code", c("p.name").alias("program"), c("p.catalog_year").alias("year"), "m.classification")
     if kind == "requirement":
         return docs.select(F.explode(c(f"d.{field}")).alias("label", "codes")).select(
             "label", F.explode("codes").alias("course_code"))
