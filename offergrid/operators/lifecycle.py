@@ -8,6 +8,8 @@ a difference.  The ``apply_`` functions write the touched parts of a published t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -140,17 +142,22 @@ class AuditFailed(ValueError):
     """The change would leave classes that no option shows."""
 
 
-class Rotation(NamedTuple):
-    table: DataFrame
-    counts: DataFrame
-    changes: DataFrame
+class Rotation:
+    """``table`` and ``changes`` are plans; ``counts``, with the audit, is worked out when it is asked for."""
+
+    def __init__(self, table: DataFrame, changes: DataFrame, count: Callable[[], DataFrame]):
+        self.table, self.changes, self._count = table, changes, count
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return self._count()
 
 
 def rotate(active: DataFrame, incoming: DataFrame, retire: str, known: DataFrame | None = None) -> Rotation:
     """Retire one term and install another; ``counts.status`` is the audit of the result.
 
-    ``known`` is the audit of ``active`` (``AUDIT``, as kept with a published table), else
-    it is worked out.  Options lie within a term, so a rotation groups its two terms only.
+    With ``known``, the audit of ``active`` (``AUDIT``, as kept with a published table), only the options
+    that change are grouped, else those of the whole result.
     """
     term, code = incoming_term(incoming)
     if squeeze_text(term) == squeeze_text(retire):
@@ -159,12 +166,15 @@ def rotate(active: DataFrame, incoming: DataFrame, retire: str, known: DataFrame
     same = matches_term(term, code)
     kept = active.filter(~old & ~same)
     table = kept.unionByName(incoming)
-    audit = _after(active, active.filter(old | same), incoming, known)
-    n = F.count(F.lit(1))
-    counts = active.agg(n.alias("before"), F.count_if(old).alias("retired"), F.count_if(same & ~old).alias("replaced")) \
-        .select(F.lit(term).alias("incoming_term"), "before", "retired", "replaced",
-                incoming.agg(n).scalar().alias("incoming"), *[audit.select(x).scalar().alias(x) for x in AUDIT]) \
-        .withColumn("status", F.when(c("unaccounted") == 0, "passed").otherwise("failed"))
+
+    def counts() -> DataFrame:
+        audit = settled(audit_counts(table)) if known is None else _after(active, active.filter(old | same), incoming, known)
+        n = F.count(F.lit(1))
+        return active.agg(n.alias("before"), F.count_if(old).alias("retired"), F.count_if(same & ~old).alias("replaced")) \
+            .select(F.lit(term).alias("incoming_term"), "before", "retired", "replaced",
+                    incoming.agg(n).scalar().alias("incoming"), *[audit.select(x).scalar().alias(x) for x in AUDIT]) \
+            .withColumn("status", F.when(c("unaccounted") == 0, "passed").otherwise("failed"))
+
     retiring = active.filter(old)
     named = F.when(~is_placeholder(c("instructor")), squeeze(c("instructor")))
 
@@ -175,7 +185,7 @@ def rotate(active: DataFrame, incoming: DataFrame, retire: str, known: DataFrame
                .union(set_changes(incoming, retiring, "course_code").withColumn("what", F.lit("course")))
                .union(set_changes(people(incoming), people(kept), "instructor").filter("change = 'added'")
                       .withColumn("what", F.lit("instructor"))))
-    return Rotation(table, counts, changes)
+    return Rotation(table, changes, counts)
 
 
 def _after(active: DataFrame, gone: DataFrame, come: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -192,10 +202,15 @@ def offering() -> Column:
     return K.detail_key(c("subject"), c("crse_id"), c("course_code"), c("offer"), c("career"))
 
 
-class KeyReplacement(NamedTuple):
-    table: DataFrame
-    report: DataFrame
-    class_changes: DataFrame
+class KeyReplacement:
+    """``table`` and ``class_changes`` are plans; ``report``, with both audits, is worked out when it is asked for."""
+
+    def __init__(self, table: DataFrame, class_changes: DataFrame, describe: Callable[[], DataFrame]):
+        self.table, self.class_changes, self._describe = table, class_changes, describe
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return self._describe()
 
 
 def replace_keys(active: DataFrame, incoming: DataFrame, keys: DataFrame, term: str, known: DataFrame | None = None) -> KeyReplacement:
@@ -215,16 +230,18 @@ def replace_keys(active: DataFrame, incoming: DataFrame, keys: DataFrame, term:
         return x.select("offering").distinct().join(y.select("offering").distinct(), "offering", "left_anti") \
             .agg(F.count(F.lit(1))).scalar()
 
-    before = settled((known if known is not None else audit_counts(active)).select(*AUDIT))
-    after = _after(active, here.drop("offering"), incoming, before)
-    n = F.count(F.lit(1))
-    report = here.agg(n.alias("current")).select(
-        "current", b.agg(n).scalar().alias("incoming"), rest.agg(n).scalar().alias("preserved"),
-        missing(k, b).alias("not_incoming"), missing(b, k).alias("unexpected"), missing(k, here).alias("not_active"),
-        *[x.select(m).scalar().alias(f"{m}_{when}") for m in ("unaccounted", "unlisted") for x, when in ((before, "before"), (after, "after"))])
-    report = report.withColumn("ok", (c("not_incoming") == 0) & (c("unexpected") == 0) & (c("not_active") == 0)
-                               & (c("unaccounted_after") <= c("unaccounted_before")) & (c("unlisted_after") <= c("unlisted_before")))
-    return KeyReplacement(table, report, set_changes(physical(b), physical(here), "physical"))
+    def report() -> DataFrame:
+        before = settled((known if known is not None else audit_counts(active)).select(*AUDIT))
+        after = _after(active, here.drop("offering"), incoming, before)
+        n = F.count(F.lit(1))
+        out = here.agg(n.alias("current")).select(
+            "current", b.agg(n).scalar().alias("incoming"), rest.agg(n).scalar().alias("preserved"),
+            missing(k, b).alias("not_incoming"), missing(b, k).alias("unexpected"), missing(k, here).alias("not_active"),
+            *[x.select(m).scalar().alias(f"{m}_{when}") for m in ("unaccounted", "unlisted") for x, when in ((before, "before"), (after, "after"))])
+        return out.withColumn("ok", (c("not_incoming") == 0) & (c("unexpected") == 0) & (c("not_active") == 0)
+                              & (c("unaccounted_after") <= c("unaccounted_before")) & (c("unlisted_after") <= c("unlisted_before")))
+
+    return KeyReplacement(table, set_changes(physical(b), physical(here), "physical"), report)
 
 
 def _kept_audit(spark, target: str) -> DataFrame | None:

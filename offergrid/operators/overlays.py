@@ -239,6 +239,17 @@ def prune_overlay(cache: DataFrame, active: DataFrame, on: str) -> DataFrame:
     return cache.join(active.select(on).filter(c(on).isNotNull()), on, "left_semi")
 
 
+def prune_overlays(caches: dict[str, tuple[DataFrame, str]], active: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(what stays of every cache, part and rows before and after of each); ``caches`` gives the table and its key."""
+    kept = {name: prune_overlay(cache, active, on) for name, (cache, on) in caches.items()}
+    counts = None
+    for name, (cache, _) in caches.items():
+        row = cache.agg(F.count(F.lit(1)).alias("before")).select(
+            F.lit(name).alias("part"), "before", kept[name].agg(F.count(F.lit(1))).scalar().alias("after"))
+        counts = row if counts is None else counts.unionByName(row)
+    return kept, counts
+
+
 def saved_items_refresh(saved: DataFrame, seats: DataFrame, hidden: DataFrame) -> DataFrame:
     """Saved items with the newest seat values; hidden classes are gone."""
     side = seats.select("physical", c("status").alias("_s"), c("open_seats").alias("_o"))

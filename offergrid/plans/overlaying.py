@@ -189,6 +189,16 @@ def d18(v):
         "hit_key", "refreshed", "section_count", "title", "class_number", "detail_url")
 
 
+@query("h5_prune_counts", """
+SELECT 'seats' AS part, count(*) AS before, count(*) FILTER (WHERE physical IN (SELECT physical FROM lst)) AS after FROM newest
+UNION ALL SELECT 'sources', count(*), count(*) FILTER (WHERE u IN (SELECT l_suppkey FROM lst)) FROM (SELECT DISTINCT user_id AS u FROM upd)""")
+def h5_counts(v):
+    lst = physical(v.listings("order"))
+    cache = O.newest(seat_rules(v.observations()), "physical", ["ts", "event_id"]).select("physical", "status")
+    pages = v.updates().select(F.concat(F.lit("https://classes.example.edu/s/"), c("user_id").cast("string")).alias("source_url")).distinct()
+    return O.prune_overlays({"seats": (cache, "physical"), "sources": (pages, "source_url")}, lst)[1]
+
+
 @query("h5_prune_overlay", """
 SELECT 'kept' AS part, physical, status FROM newest WHERE physical IN (SELECT physical FROM lst)
 UNION ALL SELECT 'before', count(*)::VARCHAR, '' FROM newest

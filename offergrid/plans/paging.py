@@ -108,6 +108,21 @@ def k6(v):
     return K.label_codes(texts, r"\b(?:Winter|Spring|Summer|Fall) \d{4}\b", r"\b[12]\d{4}\b")
 
 
+@query("k6_label_segments", """
+SELECT DISTINCT term AS label, CASE WHEN year(o_orderdate) = 1996 THEN '11111' ELSE year(o_orderdate)::VARCHAR || quarter(o_orderdate) END AS code FROM lst
+WHERE year(o_orderdate) % 2 = 0""")
+def k6_segments(v):
+    """Codes beside labels in running text; in odd years another label stands too near, and 1996 is decided by elements."""
+    from offergrid.plans.bindings import term_of
+    ts, year = c("o_orderdate"), F.year("o_orderdate")
+    used = v.table("orders").join(v.table("lineitem").select(c("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    gap = F.repeat(F.lit("x "), F.when(year % 2 == 0, 200).otherwise(40))
+    text = F.concat(F.repeat(F.lit("y "), 300), term_of(ts), F.lit(" STRM "), year.cast("string"), F.quarter(ts).cast("string"), F.lit(" "), gap,
+                    F.lit("Winter 2099 tba"))
+    sure = used.filter(year == 1996).select(F.concat(term_of(ts), F.lit(" is 11111")).alias("text")).distinct()
+    return K.label_codes(sure, r"\b(?:Winter|Spring|Summer|Fall) \d{4}\b", r"\b[12]\d{4}\b", used.select(text.alias("text")))
+
+
 _SCORED = _LI + """,
 pt AS (SELECT page_id, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || CASE WHEN page_id % 3 = 0 THEN ', B.S.' WHEN page_id % 3 = 1 THEN ' Roadmap' ELSE '' END AS page_title FROM pages),
 w AS (SELECT page_id, url, page_title, list_distinct(list_filter(string_split_regex(trim(replace(translate(lower(page_title), ',-', '  '), 'roadmap', ' ')), '\\s+'), lambda t: length(t) > 1)) AS pw,
