@@ -2,6 +2,11 @@
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and
 returns a DataFrame.  All but the last return the columns of ``documents``.
+
+In every stage a null text counts as empty and a null source as a source of its own; rows
+without a doc_id are rows like others, whom no near-duplicate class and no label names; repeated rows
+are scored alike, one of them outlasts exact deduplication; whole texts are read, however long;
+ties go to the smaller doc_id; an empty table passes as one; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
           ("mixing", mix_sources), ("byte_bpe", encode)]
 
-#: SQL can express neither the learned scorer nor the signatures; tests hold run() against a brute-force version.
+#: SQL can express neither the learned scorer nor the signatures; a test holds run() against plain Python, but for the scorer's verdicts.
 ORACLE_SQL = None
 
 
