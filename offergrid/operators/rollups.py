@@ -325,10 +325,11 @@ PUBLIC_CODES = (
 def public_code(path: Column) -> Column:
     """Stable code of a failed resource."""
     low = F.lower(F.coalesce(path, F.lit("")))
-    test = {"starts": F.startswith, "holds": F.contains}
     out = F.lit("service_unavailable")
     for how, texts, code in reversed(PUBLIC_CODES):
-        met = F.exists(F.array(*map(F.lit, texts)), lambda t, check=test[how]: check(low, t))
+        met = F.lit(False)
+        for text in texts:
+            met = met | (F.startswith(low, F.lit(text)) if how == "starts" else F.contains(low, F.lit(text)))
         out = F.when(met, code).otherwise(out)
     return out
 
