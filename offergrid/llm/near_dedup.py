@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offergrid.llm.common import settle
+from offergrid.llm.common import free_name, settle
 from offergrid.llm.words import mix, shingles, slices, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 #: Ids sent to every executor at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A shingle that no more of the undecided nodes have brings all of them together; it decides what work is done and not what is found.
+FEW_NODES = 8
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -172,6 +174,22 @@ def components(edges: DataFrame) -> DataFrame:
             return state.withColumnRenamed("a", "node")
 
 
+def widened(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """node, label of all nodes of ``labels`` and ``edges`` (a, b) once the edges are added.
+
+    The components found before are the nodes of this search, so an edge takes part in one search only.
+    """
+    if labels is None:
+        return settle(components(edges), "found")
+    known = _held(labels).select(F.col("node").alias("k"), F.col("label").alias("lk"))
+    one = edges.select("a", "b").join(known, F.col("a") == F.col("k"), "left").select(F.coalesce("lk", "a").alias("a"), "b")
+    two = one.join(known, F.col("b") == F.col("k"), "left").select("a", F.coalesce("lk", "b").alias("b")).filter("a <> b")
+    more = settle(components(settle(two.distinct(), "between")), "more")
+    new = more.select(F.col("node").alias("n"), F.col("label").alias("ln"))
+    moved = labels.join(_held(new), F.col("label") == F.col("n"), "left").select("node", F.coalesce("ln", "label").alias("label"))
+    return settle(moved.unionByName(more.join(labels.select("node"), "node", "left_anti")), "found")
+
+
 def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size, kept for every row of ``docs`` (doc_id, text).
 
@@ -187,10 +205,11 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     meets the bucket's smallest node.  In buckets that this leaves in several
     components, the shingles that one node alone has bound what it can share:
     nodes that can reach ``least`` with some node meet the most central one of
-    the bucket, and those still outside its main component meet all the others
-    they can reach ``least`` with, by what they share at most and by their
-    distances to the centre.  So no pair of a bucket that could still join
-    two components goes unverified.
+    the bucket.  Those of two components that are left can only be alike if they
+    have a shingle in common that few of them have, so they meet there (``FEW_NODES``
+    at most), or if the shingles that many have are enough for both, so they
+    meet in their bucket.  So no pair of a bucket that could still join two
+    components goes unverified.
     """
     body = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     signed = settle(body.mapInArrow(_signed(bands, rows, k), "doc_id long, size long, d1 long, d2 long, bands array<long>"),
@@ -217,12 +236,11 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     stars = settle(held.filter(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
                    .distinct(), "stars")
     first = compared(stars, least)
-    same = signed.filter(F.col("doc_id").isNotNull()).join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select(
-        F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    found = widened(None, first)
 
-    def unresolved(members: DataFrame, links: DataFrame) -> DataFrame:
+    def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with ``label`` and the bucket's largest, ``main``."""
-        labels = _held(settle(components(links).select(F.col("node").alias("ln"), "label"), "found"))
+        labels = _held(found).select(F.col("node").alias("ln"), "label")
         named = settle(members.join(labels, F.col("node") == F.col("ln"), "left").drop("ln")
                        .withColumn("label", F.coalesce("label", "node")), "named")
         parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -236,12 +254,12 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
         common = F.least(F.col(size_a) - F.col(alone_a), F.col(size_b) - F.col(alone_b))
         return common >= F.lit(least) * (F.col(size_a) + F.col(size_b) - common)
 
-    open_now = settle(unresolved(held.select("bucket", "node", "size"), first.select("a", "b")), "open")
+    open_now = settle(unresolved(held.select("bucket", "node", "size"), found), "open")
     wanted = open_now.select(F.col("node").alias("id")).distinct()
-    spread = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(
-        _spread(k), "node long, shingle long, times long")
-    own = settle(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("an"), F.min("times").alias("times"))
-                 .filter("nodes = 1").groupBy("an").agg(F.sum("times").alias("alone")), "own")
+    spread = settle(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(
+        _spread(k), "node long, shingle long, times long"), "spread")
+    carried = settle(spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("an"), F.min("times").alias("times")), "carried")
+    own = settle(carried.filter("nodes = 1").groupBy("an").agg(F.sum("times").alias("alone")), "own")
     able = settle(open_now.join(_held(own), F.col("node") == F.col("an"), "left").drop("an").withColumn("alone", F.coalesce("alone", F.lit(0)))
                   .filter(F.col("size") - F.col("alone") >= F.lit(least) * F.col("size")), "able")
     centres = settle(able.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("share"), "node")).alias("c"))
@@ -254,21 +272,44 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
     away = _held(measured.select(F.col("a").alias("ma"), F.col("b").alias("mb"), "similarity"))
     placed = centred.join(away, (F.least("node", "cn") == F.col("ma")) & (F.greatest("node", "cn") == F.col("mb")), "left").select(
         "bucket", "node", "size", "alone", F.when(F.col("node") == F.col("cn"), 1.0).otherwise(F.col("similarity")).alias("near"))
-    still = settle(unresolved(placed, first.select("a", "b").union(second.select("a", "b"))), "still")
-    few = still.filter(F.col("label") != F.col("main")).select(
-        F.col("bucket").alias("fb"), F.col("node").alias("fn"), F.col("size").alias("fs"), F.col("alone").alias("fa"), F.col("label").alias("fl"), F.col("near").alias("fc"))
+    found = widened(found, second)
+    still = settle(unresolved(placed, found), "still")
+    # what two nodes share are shingles that many open nodes have, or that few have: without one of the latter they
+    # share no more than the lesser of them has of the former, so only pairs of nodes that are nearly all common shingles go on
+    left = settle(still.select("node", "size", "alone", "label").distinct(), "left")
+    here = spread.join(_held(left.select(F.col("node").alias("ln"))), F.col("node") == F.col("ln"), "left_semi")
+    common = here.join(carried.filter(F.col("nodes") > FEW_NODES).select(F.col("shingle").alias("cs")), F.col("shingle") == F.col("cs"), "left_semi")
+    common = settle(common.groupBy(F.col("node").alias("on")).agg(F.sum("times").alias("often")), "common")
+    full = settle(still.join(_held(common), F.col("node") == F.col("on")).drop("on").withColumn("rest", F.col("size") - F.col("often"))
+                  .filter(F.col("often") >= F.lit(least) * F.col("size")), "full")
+    few = full.filter(F.col("label") != F.col("main")).select(
+        F.col("bucket").alias("fb"), F.col("node").alias("fn"), F.col("size").alias("fs"), F.col("rest").alias("fr"), F.col("label").alias("fl"), F.col("near").alias("fc"))
     # one minus the similarity is a metric: two nodes are at least as far apart as their distances to the centre differ
     within = F.coalesce(F.abs(F.col("near") - F.col("fc")) <= 1 - least + 1e-9, F.lit(True))
-    rest = (still.join(few, (F.col("bucket") == F.col("fb")) & (F.col("label") != F.col("fl")) & could_link("size", "alone", "fs", "fa") & within)
-            .select(F.least("node", "fn").alias("a"), F.greatest("node", "fn").alias("b")).distinct()
-            .join(stars.unionByName(spokes), ["a", "b"], "left_anti"))
+    alike = (full.join(few, (F.col("bucket") == F.col("fb")) & (F.col("label") != F.col("fl")) & could_link("size", "rest", "fs", "fr") & within)
+             .select(F.least("node", "fn").alias("a"), F.greatest("node", "fn").alias("b")))
+    rare = carried.filter((F.col("nodes") > 1) & (F.col("nodes") <= FEW_NODES)).select(F.col("shingle").alias("rs"))
+    held_by = settle(here.join(rare, F.col("shingle") == F.col("rs"), "left_semi").select("shingle", "node")
+                     .join(_held(left), "node"), "held-by")
+    other = held_by.select(F.col("shingle").alias("os"), F.col("node").alias("fn"), F.col("size").alias("fs"), F.col("alone").alias("fa"), F.col("label").alias("fl"))
+    meet = held_by.join(other, (F.col("shingle") == F.col("os")) & (F.col("node") < F.col("fn")) & (F.col("label") != F.col("fl"))
+                        & could_link("size", "alone", "fs", "fa")).select(F.col("node").alias("a"), F.col("fn").alias("b"))
+    rest = alike.unionByName(meet).distinct().join(stars.unionByName(spokes), ["a", "b"], "left_anti")
     third = compared(settle(rest, "rest"), least)
-    second = second.unionByName(third)
-    links = settle(first.select("a", "b").union(second.select("a", "b")).union(same.filter(F.col("a") != F.col("b"))), "all")
-    classes = components(links)
-    sizes = classes.join(signed.select("doc_id"), F.col("node") == F.col("doc_id")).groupBy("label").agg(
-        F.count(F.lit(1)).alias("n")).withColumnRenamed("label", "named")
-    classed = classes.join(sizes, F.col("label") == F.col("named"))
+    found = widened(found, third)
+    of_text = settle(signed.filter(F.col("doc_id").isNotNull()).join(nodes.select("d1", "d2", F.col("node").alias("owner")), ["d1", "d2"])
+                     .select("doc_id", "owner").distinct(), "owners")
+    # a doc_id that stands with several texts joins their classes
+    twice = of_text.groupBy("doc_id").agg(F.min("owner").alias("a"), F.max("owner").alias("z")).filter("a <> z")
+    several = of_text.join(twice.select(F.col("doc_id").alias("d"), "a"), F.col("doc_id") == F.col("d")).select("a", F.col("owner").alias("b")).filter("a <> b")
+    found = widened(found, several)
+    named = of_text.groupBy("doc_id").agg(F.min("owner").alias("owner")).join(
+        _held(found).select(F.col("node").alias("fn"), "label"), F.col("owner") == F.col("fn"), "left").select(
+        F.col("doc_id").alias("node"), F.coalesce("label", "owner").alias("label"))
+    named = settle(named, "classes")
+    sizes = named.join(signed.select("doc_id"), F.col("node") == F.col("doc_id")).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n")).withColumnRenamed("label", "name")
+    classed = named.join(sizes, F.col("label") == F.col("name"))
     out = signed.select("doc_id").join(classed, F.col("doc_id") == F.col("node"), "left")
     class_id = F.coalesce("label", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"),
@@ -277,5 +318,6 @@ def groups(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: in
 
 def keep_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with all their columns."""
-    gone = settle(groups(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    id_ = free_name(docs, "gone")
+    gone = settle(groups(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(id_)).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col(id_), "left_anti")
