@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from offergrid.llm.common import settle
 
@@ -53,29 +52,34 @@ def _words(text: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
 
 
-def _template_rows(spark, needed) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(label).alias("label"), _texts(tokens).alias("tokens"), F.lit(need).alias("need"))
-                     for i, label, tokens, need in needed])
-    return spark.range(1, numPartitions=1).select(F.inline(rows))
+def _template_array(needed, df: Mapping[str, int]) -> Column:
+    """Structs of label, tokens, needed number and prefix: the rarest tokens, one of which every block found must hold."""
+    out = []
+    for _, label, tokens, need in needed:
+        rarest = sorted(tokens, key=lambda t: (df.get(t, 0), t))[:len(tokens) - need + 1]
+        out.append(F.struct(F.lit(label).alias("label"), _texts(tokens).alias("tokens"), F.lit(need).alias("need"), _texts(rarest).alias("prefix")))
+    return F.array(*out)
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
          least: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``.
 
-    A block is the words within a template's number of distinct tokens around a
-    place of one of its prefix tokens; a template is found if a block holds
-    ``least`` of its tokens.  The tokens of a template are ordered by the number
-    of documents that hold them, rarest first, and a block that holds enough of
-    them holds one of the first ``size - needed + 1``: only there are blocks
-    looked at.  Before that, a document must hold enough of the tokens at all
-    (length filter), and a block must lie where enough words stand (positional
-    filter).  ``score`` is the largest share of a template's tokens in a block
-    that passed, 1 where a phrase stands, else 0.  A null text has no words;
-    repeated rows give equal rows; other columns are ignored; an empty table
-    gives no rows.
+    A block of a template with n distinct tokens is 2n consecutive words, or a
+    whole shorter text; a template is found if a block holds ``least`` of its
+    tokens, wherever the block begins and whatever other documents hold.  Three
+    filters leave out only what cannot be found.  Tokens have one order, rarest in
+    documents first, and a block with enough of a template's tokens holds one of
+    its first ``n - needed + 1``, so documents without those are left out (prefix).  A
+    document must hold enough of the tokens at all (length), and as many of their
+    places as are needed must lie within a block's reach (position).  ``score`` is
+    the largest share of a found template's tokens in a block, 1 where a phrase
+    stands, else 0.  A null text is empty and has no words; very long texts are
+    read whole; repeated rows give equal rows; tokens of equal frequency are
+    ordered by spelling, which no result depends on; other columns are ignored; an
+    empty table gives no rows.
     """
-    spark, needed = docs.sparkSession, _needed(templates, least)
+    needed = _needed(templates, least)
     vocabulary = sorted({t for _, _, tokens, _ in needed for t in tokens})
     first = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("words"))
     first = first.select("doc_id", "words", F.array_intersect("words", _texts(vocabulary)).alias("held"))
@@ -107,25 +111,25 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Seque
             .filter(F.col("n_base") > 0)
             .select(F.col("rid").alias("brid"), "n_base", F.array_min("at").alias("first_word"), F.array_max("at").alias("last_word"), "base"))
 
-    counts = read.select(F.explode("held").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    listed = _template_rows(spark, needed)
-    ranked = (listed.select("t", F.explode("tokens").alias("token"))
-              .join(counts.withColumnRenamed("token", "k"), F.col("token") == F.col("k"), "left")
-              .withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("df", F.lit(0)), "token"))))
-    full = listed.select(F.col("t").alias("u"), "label", "tokens", "need")
-    prefix = settle(ranked.join(full, F.col("t") == F.col("u")).filter(F.col("place") <= F.size("tokens") - F.col("need") + 1)
-                    .select("token", "label", "tokens", "need"), "prefix")
-    spots = read.filter(F.col("words").isNotNull()).select("rid", "words", F.posexplode("words").alias("pos", "word"))
-    # the prefix table holds at most the tokens of the templates: broadcast
-    pairs = spots.join(F.broadcast(prefix), F.col("word") == F.col("token"))
-    size = F.size("tokens")
-    begin = F.greatest(F.col("pos") - size, F.lit(0))
-    block = F.slice("words", begin + 1, F.least(F.col("pos") + size + 1, F.size("words")) - begin)
-    share = F.size(F.array_intersect(block, F.col("tokens"))) / size
-    long_enough = F.least(F.col("pos") + size + 1, F.size("words")) - begin >= F.col("need")
-    passed = (pairs.filter(long_enough).select("rid", "label", "need", size.alias("size"), share.alias("share"))
-              .filter(F.col("share") * F.col("size") >= F.col("need") - 1e-9))
-    method = passed.groupBy(F.col("rid").alias("mrid")).agg(F.collect_set("label").alias("method"), F.max("share").alias("share"))
+    counted = read.select(F.explode("held").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = {r["token"]: r["df"] for r in counted.collect()}  # at most one row per token of the templates
+    listed = _template_array(needed, df)
+    held = F.col("held")
+    near = F.filter(listed, lambda t: F.arrays_overlap(held, t["prefix"]) & (F.size(F.array_intersect(held, t["tokens"])) >= t["need"]))
+    pairs = read.filter(F.col("words").isNotNull() & F.col("held").isNotNull()).select("rid", "words", F.inline(near))
+    places = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.array_position("tokens", w).alias("token")))
+    placed = pairs.select("rid", "label", "need", F.size("tokens").alias("size"), F.filter(places, lambda m: m["token"] > 0).alias("at"))
+
+    def tokens_from(i: Column) -> Column:
+        """Distinct tokens in the block that begins at the i-th place, where enough places lie within it."""
+        end = F.get("at", i)["pos"] + 2 * F.col("size")
+        block = F.filter(F.slice("at", i + 1, 2 * F.col("size")), lambda m: m["pos"] < end)
+        return F.when(F.get("at", i + F.col("need") - 1)["pos"] < end, F.size(F.array_distinct(F.transform(block, lambda m: m["token"]))))
+
+    begins = F.sequence(F.lit(0), F.greatest(F.size("at") - F.col("need"), F.lit(0)))
+    best = placed.select("rid", "label", "need", "size", F.array_max(F.transform(begins, tokens_from)).alias("n"))
+    method = best.filter(F.col("n") >= F.col("need")).groupBy(F.col("rid").alias("mrid")).agg(
+        F.collect_set("label").alias("method"), F.max(F.col("n") / F.col("size")).alias("share"))
 
     none = F.array().cast("array<string>")
     out = read.drop("words", "held").join(base, F.col("rid") == F.col("brid"), "left").join(method, F.col("rid") == F.col("mrid"), "left")
@@ -147,12 +151,10 @@ WITH t(t, label, tokens, need) AS (VALUES {rows}), b(phrase, label) AS (VALUES {
      p AS (SELECT doc_id, words, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM w),
      base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base
               FROM p JOIN b ON p.word = b.phrase[1] AND p.words[p.pos + 1:p.pos + len(b.phrase)] = b.phrase GROUP BY doc_id),
-     df AS (SELECT word, count(DISTINCT doc_id) AS df FROM p GROUP BY word),
-     k AS (SELECT t, label, tokens, need, unnest(tokens) AS token FROM t),
-     r AS (SELECT k.*, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), token) AS place FROM k LEFT JOIN df ON token = word),
-     m AS (SELECT p.doc_id, r.label, r.need, len(r.tokens) AS size,
-                  len(list_intersect(p.words[greatest(p.pos - len(r.tokens), 0) + 1:p.pos + len(r.tokens) + 1], r.tokens)) AS n
-           FROM p JOIN r ON p.word = r.token AND r.place <= len(r.tokens) - r.need + 1),
+     k AS (SELECT t, label, need, len(tokens) AS size, unnest(tokens) AS token FROM t),
+     m AS (SELECT doc_id, label, need, size, count(DISTINCT token) OVER (
+             PARTITION BY doc_id, t ORDER BY pos RANGE BETWEEN CURRENT ROW AND 2 * size - 1 FOLLOWING) AS n
+           FROM p JOIN k ON word = token),
      method AS (SELECT doc_id, list(DISTINCT label) AS method, max(n / size) AS share FROM m WHERE n >= need GROUP BY doc_id)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,

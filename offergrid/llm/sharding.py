@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from offergrid.llm.common import running, settle
 
 SHARDS = 24
-ROUNDS = 6
 #: Documents that fill up the shards are dealt in classes of size, as parts of a shard's share: the large ones first,
 #: so that the smaller ones even out what the large ones left.
 CLASSES = (1 / 16, 1 / 256, 1 / 4096)
@@ -26,10 +25,14 @@ def _pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (at + 1).cast("int"))
 
 
-def _propagate(linked: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
-    """Move linked documents to the shard that holds most of their group, as far as its quota goes."""
+def _propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """Move linked documents to the shard that holds most of their group, as far as its quota goes, until none moves.
+
+    It ends: a round moves documents of a group only to one shard that holds at least
+    as much of it as theirs, so the sum of squared bytes of (group, shard) grows with every move.
+    """
     state = linked
-    for _ in range(rounds):
+    while True:
         used = _by_shard(state, shards)
         slack = [max(0, capacity - u) for u in used]
         held = state.groupBy("h", "shard").agg(F.sum("size").alias("b"))
@@ -44,13 +47,15 @@ def _propagate(linked: DataFrame, shards: int, capacity: int, rounds: int) -> Da
         wish = settle(wish.withColumn("goal", F.when(better, F.col("goal"))).drop("weight", "own"), "wish")
         moving = F.col("goal").isNotNull()
         if wish.filter(moving).limit(1).count() == 0:
-            break
+            return state
         queued = running(wish, ["goal"], [F.col("h"), F.col("doc_id"), F.col("crc")],
                          F.when(moving, F.col("size")).otherwise(F.lit(0)), "ahead")
         fits = moving & (F.col("ahead") + F.col("size") <= _pick(slack, F.coalesce("goal", F.lit(0))))
-        state = settle(queued.withColumn("shard", F.when(fits, F.col("goal")).otherwise(F.col("shard"))).drop("goal", "ahead"),
-                       "state")
-    return state
+        moved = settle(queued.withColumn("moved", F.coalesce(fits, F.lit(False)))
+                       .withColumn("shard", F.when(F.col("moved"), F.col("goal")).otherwise(F.col("shard"))).drop("goal", "ahead"), "state")
+        if moved.filter("moved").limit(1).count() == 0:
+            return state
+        state = moved.drop("moved")
 
 
 def _fill(rest: DataFrame, used: list[int], capacity: float, shards: int) -> DataFrame:
@@ -68,14 +73,14 @@ def _fill(rest: DataFrame, used: list[int], capacity: float, shards: int) -> Dat
     return lined.withColumn("shard", shard.cast("int")).drop("ahead")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs`` (doc_id, text).
 
     The law is ``bytes``: shards hold about the same number of bytes.  Documents
     with equal texts are linked.  Linked documents start in a shard by hash; in
     each round those whose group has more bytes in another shard move there, in
-    a fixed order and only as far as the shard's free bytes go, so a group that
-    is larger than a shard spreads over few of them.  Unlinked documents then
+    a fixed order and only as far as the shard's free bytes go, until none moves, so
+    a group that is larger than a shard spreads over few of them.  Unlinked documents then
     fill every shard up to its share.  Slots count from 0 within a shard by
     doc_id.  A null text is empty; repeated rows are rows of their own and
     linked; an empty table gives no rows.
@@ -87,7 +92,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     linked = base.join(groups, F.col("h") == F.col("g"), "left_semi")
     capacity = int(base.agg(F.sum("size").alias("b")).first()["b"] or 0) / shards
     start = linked.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    placed = _propagate(settle(start, "start"), shards, int(capacity), rounds)
+    placed = _propagate(settle(start, "start"), shards, int(capacity))
     used = _by_shard(placed, shards)
     rest = base.join(groups, F.col("h") == F.col("g"), "left_anti")
     if max(used) > capacity:  # hashing alone overfilled a shard: what stands beyond its share is dealt anew

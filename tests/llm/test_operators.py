@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from offergrid.llm import byte_bpe, exact_dedup, licenses, mixing, near_dedup, neighbours, personal, sharding, substring_dedup, toxicity
@@ -144,6 +146,54 @@ def test_shards_stay_even_when_one_group_is_large(spark):
     assert got.filter("doc_id < 300").select("shard").distinct().count() <= 6
 
 
+def _moved(rows, shards):
+    """Start and end shard of every linked document by plain rounds of moves until none fits."""
+    size = {d: len(t.encode()) + 8 for d, t in rows}
+    group = collections.defaultdict(list)
+    for d, t in rows:
+        group[hashlib.md5(t.encode()).digest()].append(d)
+    of = {d: h for h, members in group.items() if len(members) > 1 for d in members}
+    start = {d: (xxhash.xxh64_intdigest(struct.pack("<q", d), 42) + 2**63) % 2**64 - 2**63 for d in of}
+    start = {d: x % shards for d, x in start.items()}
+    shard, capacity = dict(start), int(sum(size.values()) / shards)
+    while True:
+        used = [sum(size[d] for d in shard if shard[d] == s) for s in range(shards)]
+        held = collections.Counter()
+        for d, s in shard.items():
+            held[of[d], s] += size[d]
+        line, moves = collections.Counter(), {}
+        for d in sorted(of, key=lambda d: (of[d], d)):
+            open_to = [(held[of[d], s], -s) for s in range(shards) if held[of[d], s] and used[s] < capacity]
+            if not open_to:
+                continue
+            b, s = max(open_to)
+            if (b, s) > (held[of[d], shard[d]], -shard[d]):
+                if line[-s] + size[d] <= capacity - used[-s]:
+                    moves[d] = -s
+                line[-s] += size[d]
+        if not moves:
+            return start, shard
+        shard.update(moves)
+
+
+def test_shards_of_linked_documents_equal_plain_moves(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{rng.randrange(60)} " * rng.choice((5, 5, 5, 9))) for i in range(400)]
+    rows += [(1000 + i, f"alone {i} " * rng.randint(1, 60)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, shards=4).collect()}
+    start, end = _moved(rows, 4)
+    assert {d: got[d] for d in end} == end
+    text = dict(rows)
+
+    def cut(where):
+        pairs = collections.Counter(text[d] for d in where)
+        same = collections.Counter((text[d], s) for d, s in where.items())
+        return sum(n * n for n in pairs.values()) - sum(n * n for n in same.values())
+
+    assert cut(end) < cut(start) / 4
+
+
 # 5
 def test_byte_bpe_equals_the_library(spark, table):
     import public_tokenizers as public
@@ -262,6 +312,29 @@ def test_license_scan(spark, table):
     assert licenses.scan(_empty(spark)).count() == 0
 
 
+def test_license_labels_do_not_depend_on_other_documents(spark):
+    rng, names = random.Random(8), "alpha beta gamma delta epsilon".split()
+    templates = (("one", " ".join(names)), ("two", "beta gamma zeta"))
+    texts = ["gamma q1 q2 q3 alpha beta q4 q5 q6 delta", "gamma q1 q2 q3 alpha beta q4 q5 q6 q7 delta"]
+    texts += [" ".join(rng.choice([*names, "zeta", *"uvwxyz"]) for _ in range(rng.choice((3, 9, 40)))) for _ in range(120)]
+
+    def plain(text):
+        words, labels, score = text.split(), set(), 0.0
+        for label, wording in templates:
+            tokens = set(wording.split())
+            for i in range(len(words)):
+                share = len(tokens & set(words[i:i + 2 * len(tokens)])) / len(tokens)
+                if share >= 0.8 - 1e-9:
+                    labels.add(label)
+                    score = max(score, share)
+        return ",".join(sorted(labels)), score
+
+    for common in (["alpha", "beta"], ["gamma", "delta"], []):
+        rows = list(enumerate(texts + [" ".join(common)] * 300))
+        got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {}, templates).collect()
+        assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {i: plain(t) for i, t in rows}
+
+
 # 4
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
