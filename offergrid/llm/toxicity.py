@@ -28,9 +28,10 @@ SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthles
 SEED_WEIGHT = 4.0
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "rodeo clown", "idiot proof", "scum line")
 
-#: Bounds of the labelled sample (documents a class), the lexicon (patterns) and the learned exception phrases.
-SAMPLE, LEXICON, PHRASES = 4_000, 2_000, 500
-PREFIXES, LONGEST = range(3, 8), 40
+#: Bound of the labelled sample (documents a class); what is learned from it is chosen by thresholds alone.
+SAMPLE = 4_000
+#: Lengths of the word starts that may be patterns; whole words of any length may be.
+PREFIXES = range(3, 8)
 FOLDS = 5
 
 _FOLD = str.maketrans({**HOMOGLYPHS, **{chr(c): chr(c - 0xFEE0).lower() for c in range(0xFF01, 0xFF5F)},
@@ -182,10 +183,9 @@ COUNTS = "feature string, c0 long, c1 long, d0 long, d1 long"
 
 
 def _words_and_starts(words: list[str]) -> Iterator[str]:
-    """Whole words, marked by a space, and starts of words; no pattern is longer than ``LONGEST`` letters."""
+    """Whole words, marked by a space, and starts of words."""
     for w in words:
-        if len(w) <= LONGEST:
-            yield w + " "
+        yield w + " "
         for k in PREFIXES:
             if len(w) >= k:
                 yield w[:k]
@@ -196,14 +196,14 @@ def _phrases(sample: DataFrame, named: frozenset[str]) -> list[str]:
 
     def pairs(words: list[str]) -> Iterator[str]:
         for a, b in zip(words, words[1:]):
-            if (a in named or b in named) and len(a) + len(b) <= 2 * LONGEST:
+            if a in named or b in named:
                 yield f"{a} {b}"
 
     found = (sample.filter(~F.col("late")).select("text", "toxic")
              .mapInPandas(lambda frames: _counts(frames, pairs), COUNTS)
              .groupBy("feature").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
              .filter((F.col("feature") != "") & (F.col("d0") >= 3) & (F.col("d1") == 0)))
-    return [r["feature"] for r in found.orderBy(F.desc("d0"), "feature").limit(PHRASES).collect()]
+    return [r["feature"] for r in found.orderBy(F.desc("d0"), "feature").collect()]  # of a bounded sample
 
 
 def _lexicon(sample: DataFrame) -> tuple[tuple, tuple]:
@@ -222,7 +222,7 @@ def _lexicon(sample: DataFrame) -> tuple[tuple, tuple]:
     top = (stats.filter((F.col("feature") != "") & (F.col("d1") >= least))
            .withColumn("weight", weight).withColumn("surplus", surplus)
            .filter((F.col("weight") >= 1.0) & (F.col("surplus") >= 6.0))
-           .orderBy(F.desc("surplus"), "feature").limit(LEXICON).select("feature", "weight").collect())
+           .select("feature", "weight").collect())  # of a bounded sample
     chosen: dict[str, float] = {}
     for row in sorted(top, key=lambda r: (len(r["feature"]), r["feature"])):
         word = row["feature"]
