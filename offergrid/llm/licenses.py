@@ -89,9 +89,11 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Seque
     likely = F.lit(False)
     for phrase in phrases:
         likely = likely | F.forall(_texts(phrase.split()), lambda w: F.array_contains(F.col("words"), w))
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    known = F.filter(placed, lambda m: m["word"].isin(vocabulary))
     read = settle(first.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.size("words").cast("long").alias("n_words"),
-                               F.when(F.size("held") > 0, F.col("held")).alias("held"), F.when(enough | likely, F.col("words")).alias("words"),
-                               likely.alias("likely")), "read")
+                               F.when(F.size("held") > 0, F.col("held")).alias("held"), F.when(likely, F.col("words")).alias("words"),
+                               F.when(enough, known).alias("known"), likely.alias("likely")), "read")
 
     # phrases: every word stands between two spaces of its own, so places that share no word do not overlap
     some = read.filter("likely").select("rid", F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")).alias("line"))
@@ -116,9 +118,9 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Seque
     listed = _template_array(needed, df)
     held = F.col("held")
     near = F.filter(listed, lambda t: F.arrays_overlap(held, t["prefix"]) & (F.size(F.array_intersect(held, t["tokens"])) >= t["need"]))
-    pairs = read.filter(F.col("words").isNotNull() & F.col("held").isNotNull()).select("rid", "words", F.inline(near))
-    places = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.array_position("tokens", w).alias("token")))
-    placed = pairs.select("rid", "label", "need", F.size("tokens").alias("size"), F.filter(places, lambda m: m["token"] > 0).alias("at"))
+    pairs = read.filter(F.col("known").isNotNull()).select("rid", "known", F.inline(near))
+    places = F.transform("known", lambda m: F.struct(m["pos"].alias("pos"), F.array_position("tokens", m["word"]).alias("token")))
+    found = pairs.select("rid", "label", "need", F.size("tokens").alias("size"), F.filter(places, lambda m: m["token"] > 0).alias("at"))
 
     def tokens_from(i: Column) -> Column:
         """Distinct tokens in the block that begins at the i-th place, where enough places lie within it."""
@@ -127,12 +129,12 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Seque
         return F.when(F.get("at", i + F.col("need") - 1)["pos"] < end, F.size(F.array_distinct(F.transform(block, lambda m: m["token"]))))
 
     begins = F.sequence(F.lit(0), F.greatest(F.size("at") - F.col("need"), F.lit(0)))
-    best = placed.select("rid", "label", "need", "size", F.array_max(F.transform(begins, tokens_from)).alias("n"))
+    best = found.select("rid", "label", "need", "size", F.array_max(F.transform(begins, tokens_from)).alias("n"))
     method = best.filter(F.col("n") >= F.col("need")).groupBy(F.col("rid").alias("mrid")).agg(
         F.collect_set("label").alias("method"), F.max(F.col("n") / F.col("size")).alias("share"))
 
     none = F.array().cast("array<string>")
-    out = read.drop("words", "held").join(base, F.col("rid") == F.col("brid"), "left").join(method, F.col("rid") == F.col("mrid"), "left")
+    out = read.drop("words", "held", "known").join(base, F.col("rid") == F.col("brid"), "left").join(method, F.col("rid") == F.col("mrid"), "left")
     every = F.array_sort(F.array_union(F.coalesce("base", none), F.coalesce("method", none)))
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
                       F.array_join(F.coalesce("base", none), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
