@@ -104,59 +104,25 @@ def inventory_stream(grids: DataFrame, expected: DataFrame) -> DataFrame:
 
     ``grids``: source, grid (in order), complete, right_term, says_empty (the page states that nothing is
     scheduled), numbers; ``expected``: source, number.  The numbers that the newest trustworthy grid left out
-    (``missing``) or had beside the expected ones (``unlisted``) stay in a map in the
+    (``missing``) or had beside the expected ones (``unlisted``) stay in the
     state store until the next trustworthy grid; a partial, wrong-term or unrelated one leaves it alone.
     ``status`` is that of the newest grid: ``trusted`` (complete, of the right term, with some expected number), ``different`` (none of
     them, but others), ``unverified`` (the page says it is empty), else ``untrusted``; all numbers are those of one page.
+    The state is a running aggregate of Spark's own, a row a source.
     """
-    status_of, kept = _grid_status(), ("missing", "unlisted")
-
-    class Evidence(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.numbers = handle.getMapState("numbers", "number STRING", "kind STRING")
-            self.last = handle.getValueState("last", "grid LONG, status STRING, trusted LONG")
-
-        def handleInputRows(self, key, rows, timers):
-            grid, status, trusted = self.last.get() if self.last.exists() else (None, None, None)
-            best = None
-            for batch in rows:
-                for r in batch.itertuples(index=False):
-                    seen, wanted = set(r.numbers), set(r.expected) if r.expected is not None else set()
-                    said = status_of(r.complete, r.right_term, r.says_empty, seen, wanted)
-                    if grid is None or r.grid >= grid:
-                        grid, status = int(r.grid), said
-                    if said == "trusted" and (trusted is None or r.grid >= trusted):
-                        trusted, best = int(r.grid), (wanted - seen, seen - wanted)
-            if best:
-                self.numbers.clear()
-                for kind, found in zip(kept, best):
-                    for number in found:
-                        self.numbers.updateValue((number,), (kind,))
-            self.last.update((grid, status, trusted))
-            now = [(n[0], k[0]) for n, k in self.numbers.iterator()]
-            yield pd.DataFrame({"source": [key[0]], "grid": [grid], "status": [status],
-                                **{kind: [sorted(n for n, k in now if k == kind)] for kind in kept}})
-
-        def close(self) -> None:
-            pass
-
+    none = F.array().cast("array<string>")
     page = expected.groupBy("source").agg(F.collect_set(c("number").cast("string")).alias("expected"))
     rows = grids.join(page, "source", "left").select(
-        "source", "grid", "complete", "right_term", "says_empty", F.array_distinct(c("numbers").cast("array<string>")).alias("numbers"), "expected")
-    return rows.groupBy("source").transformWithStateInPandas(
-        statefulProcessor=Evidence(),
-        outputStructType="source LONG, grid LONG, status STRING, missing ARRAY<STRING>, unlisted ARRAY<STRING>", outputMode="Update", timeMode="None")
-
-
-def _grid_status():
-    def status(complete, right_term, says_empty, seen: set, wanted: set) -> str:
-        if not (complete and right_term):
-            return "untrusted"
-        if seen & wanted:
-            return "trusted"
-        return "different" if seen and wanted else "unverified" if says_empty and not seen else "untrusted"
-
-    return status
+        "source", c("grid").cast("long").alias("grid"), (c("complete") & c("right_term")).alias("whole"), "says_empty",
+        F.coalesce(F.array_distinct(c("numbers").cast("array<string>")), none).alias("seen"), F.coalesce("expected", none).alias("wanted"))
+    status = (F.when(~F.coalesce("whole", F.lit(False)), "untrusted").when(F.arrays_overlap("seen", "wanted"), "trusted")
+              .when((F.size("seen") > 0) & (F.size("wanted") > 0), "different")
+              .when(c("says_empty") & (F.size("seen") == 0), "unverified").otherwise("untrusted"))
+    found = F.struct(F.array_sort(F.array_except("wanted", "seen")).alias("missing"), F.array_sort(F.array_except("seen", "wanted")).alias("unlisted"))
+    told = rows.select("source", "grid", status.alias("status"), found.alias("found"))
+    last = told.groupBy("source").agg(F.max_by(F.struct("grid", "status"), "grid").alias("l"),
+                                      F.max_by("found", F.when(c("status") == "trusted", c("grid"))).alias("f"))
+    return last.select("source", "l.grid", "l.status", *[F.coalesce(c("f")[n], none).alias(n) for n in ("missing", "unlisted")])
 
 
 def _state(spark, path: str, batch: int, ddl: str) -> DataFrame:

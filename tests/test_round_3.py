@@ -41,3 +41,11 @@ def test_stored_options_are_those_of_the_plain_grouping(spark):
     got = O.stored_options(lst, names)
     columns = ["option_id", "kind", "primary_id", "option_number", "n_members", *names]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_inventory_keeps_no_python_state(spark):
+    schema = "source long, grid long, complete boolean, right_term boolean, says_empty boolean, numbers array<string>"
+    grids = spark.createDataFrame([(1, 1, True, True, False, ["a", "x"]), (1, 2, True, None, False, ["b"]), (2, 1, True, True, True, None)], schema)
+    out = T.inventory_stream(grids, spark.createDataFrame([(1, "a"), (1, "b")], "source long, number string"))
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    assert {tuple(map(str, r)) for r in out.collect()} == {("1", "2", "untrusted", "['b']", "['x']"), ("2", "1", "unverified", "[]", "[]")}
