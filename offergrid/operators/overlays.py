@@ -49,12 +49,13 @@ def overlay_tags(listings: DataFrame, mapping: DataFrame, requirements: DataFram
 
 
 def overlay_metrics(listings: DataFrame, ratings: DataFrame) -> DataFrame:
-    """``ratings``: name, metrics.  No hit keeps the embedded metrics; ``changed`` marks the rest."""
+    """``ratings``: name, metrics.  No hit keeps the embedded metrics; ``changed`` marks the rest,
+    also where the rating says what the listing already had."""
     keyed = (ratings.select(person_key(c("name")).alias("_n"), c("metrics").alias("_m"), c("name"))
              .groupBy("_n").agg(F.min_by("_m", "name").alias("_m")))
     new = F.coalesce("_m", "metrics")
     return (listings.join(keyed, person_key(c("instructor")) == c("_n"), "left")
-            .withColumn("changed", ~new.eqNullSafe(c("metrics"))).withColumn("metrics", new).drop("_n", "_m"))
+            .withColumn("changed", c("_m").isNotNull()).withColumn("metrics", new).drop("_n", "_m"))
 
 
 def overlay_instructors(listings: DataFrame, cache: DataFrame) -> DataFrame:

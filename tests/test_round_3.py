@@ -49,3 +49,11 @@ def test_inventory_keeps_no_python_state(spark):
     out = T.inventory_stream(grids, spark.createDataFrame([(1, "a"), (1, "b")], "source long, number string"))
     assert "InPandas" not in out._jdf.queryExecution().toString()
     assert {tuple(map(str, r)) for r in out.collect()} == {("1", "2", "untrusted", "['b']", "['x']"), ("2", "1", "unverified", "[]", "[]")}
+
+
+def test_a_rating_that_says_the_same_is_still_a_hit(spark):
+    same = (4.0, 2.0, 50.0, 7, None, None)
+    listings = spark.createDataFrame([("1", "Ann Lee", same), ("2", "Bo Day", same)], f"listing_id string, instructor string, metrics {METRICS}")
+    rated = spark.createDataFrame([("Lee, Ann", same)], f"name string, metrics {METRICS}")
+    got = {r.listing_id: r.changed for r in overlays.overlay_metrics(listings, rated).collect()}
+    assert got == {"1": True, "2": False}
