@@ -57,3 +57,20 @@ def test_a_rating_that_says_the_same_is_still_a_hit(spark):
     rated = spark.createDataFrame([("Lee, Ann", same)], f"name string, metrics {METRICS}")
     got = {r.listing_id: r.changed for r in overlays.overlay_metrics(listings, rated).collect()}
     assert got == {"1": True, "2": False}
+
+
+def test_sessions_that_end_in_the_second_of_the_watermark(spark, tmp_path):
+    def at(hours: float, micros: int = 0) -> dt.datetime:
+        return dt.datetime(2026, 9, 1) + dt.timedelta(hours=hours, microseconds=micros)
+
+    rows = [(1, at(0, 400_000), 1), (2, at(1), 2), (3, at(5, 200_000), 3), (4, at(-9), 4), (5, at(-5), 4), (6, at(-5), 5), (7, at(0, 1_300_000), 6)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, 'view', 1.5, '{\"k\": 3}')", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    name = "i7_interest_sessions_stream"
+    out = QUERIES[name](spark, str(tmp_path))
+    cur = con.execute(ORACLE[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(map(tuple, out.select(*names).collect())) == sorted(cur.fetchall())
+    assert out.count() == 4
