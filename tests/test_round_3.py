@@ -74,3 +74,11 @@ def test_sessions_that_end_in_the_second_of_the_watermark(spark, tmp_path):
     names = [d[0] for d in cur.description]
     assert sorted(map(tuple, out.select(*names).collect())) == sorted(cur.fetchall())
     assert out.count() == 4
+
+
+def test_search_reads_what_the_plain_publication_holds(spark):
+    lst = Views(spark, SMALL).listings()
+    plain, made = S.publish_options(lst, O.group_options(lst)), S.publish_grouping(lst)
+    for a, b in ((plain.options, made.options), (plain.membership, made.membership)):
+        assert sorted(a.columns) == sorted(b.columns)
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
