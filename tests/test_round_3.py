@@ -82,3 +82,11 @@ def test_search_reads_what_the_plain_publication_holds(spark):
     for a, b in ((plain.options, made.options), (plain.membership, made.membership)):
         assert sorted(a.columns) == sorted(b.columns)
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+
+
+def _lineitem_reads(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+
+
+def test_saved_options_read_stored_members(spark):
+    assert _lineitem_reads(QUERIES["m3_saved_options"](spark, SMALL)) == 0
