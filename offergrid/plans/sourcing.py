@@ -25,7 +25,7 @@ UNION ALL SELECT 'hidden', 'AnalysisException', NULL, NULL, NULL, NULL, NULL, NU
 def a1(v):
     """Listings written as JSON lines and read back; size 50 lost its subject; one overlay is missing."""
     path = new_folder(v.spark, "listings-json")
-    v.listings().withColumn("subject", F.when(c("p_size") != 50, c("subject"))).select(*A.listing_schema().names).write.json(path)
+    v.listings().withColumn("subject", F.when(c("p_size") != 50, c("subject"))).select(*A.listing_schema().names).write.json(path, compression="gzip")
     got = A.read_listings(v.spark, path, overlays={"hidden": path + "-absent"})
     return (got.rows.select("listing_id", F.lit("ok").alias("reason"), "term", "course_code",
                             F.coalesce("units_max", F.lit(-1.0)).alias("units_max"), "seat_status",

@@ -90,3 +90,14 @@ def _lineitem_reads(df) -> int:
 
 def test_saved_options_read_stored_members(spark):
     assert _lineitem_reads(QUERIES["m3_saved_options"](spark, SMALL)) == 0
+
+
+def test_listings_are_stored_compressed(spark):
+    from pathlib import Path
+    from offergrid.session import shared_root
+
+    root = Path(shared_root(spark)) / "offergrid"
+    before = set(root.glob("listings-json-*"))
+    QUERIES["a1_read_listings"](spark, SMALL)
+    files = [f.name for folder in set(root.glob("listings-json-*")) - before for f in folder.glob("part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)
