@@ -101,3 +101,7 @@ def test_listings_are_stored_compressed(spark):
     QUERIES["a1_read_listings"](spark, SMALL)
     files = [f.name for folder in set(root.glob("listings-json-*")) - before for f in folder.glob("part-*")]
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_requests_are_checked_in_one_pass_over_the_listings(spark):
+    assert _lineitem_reads(QUERIES["j3_invariants"](spark, SMALL)) <= 2
