@@ -56,6 +56,16 @@ def meeting_occurrences(df: DataFrame, key: str = "listing_id") -> DataFrame:
     return rows.select(key, "place", F.explode(F.sequence("_r.first", "date_to", week)).alias("date"))
 
 
+def occurrences_per_date(df: DataFrame, key: str = "listing_id") -> DataFrame:
+    """date, n (occurrences), listings (distinct keys): only the meetings are shuffled by key, as date arrays, not every occurrence."""
+    counts = meeting_occurrences(df, key).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    rows = _with_dates(df, key).filter("ok AND date_from <= date_to").withColumn("_r", _day_runs(c("days")))
+    week = F.expr("INTERVAL 7 DAYS")
+    dates = F.flatten(F.transform("_r", lambda r: F.sequence(r["first"], c("date_to"), week)))
+    own = rows.select(key, dates.alias("_d")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_d"))).alias("_d"))
+    return counts.join(own.select(F.explode("_d").alias("date")).groupBy("date").agg(F.count(F.lit(1)).alias("listings")), "date")
+
+
 def meeting_recurrence(df: DataFrame, key: str = "listing_id") -> DataFrame:
     """First date, day codes and count per meeting; ``skipped`` where range or time is missing.
 

@@ -232,8 +232,7 @@ x AS (SELECT listing_id, unnest(generate_series(date_from + ((dow - dayofweek(da
 SELECT strftime(d, '%Y-%m-%d') AS date, count(*) AS n, count(DISTINCT listing_id) AS listings FROM x GROUP BY 1""")
 def m2_dates(v):
     """Occurrences of the whole table, counted per calendar date."""
-    return C.meeting_occurrences(v.listings("none")).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("listing_id").alias("listings"))
+    return C.occurrences_per_date(v.listings("none")).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "n", "listings")
 
 
 def adds(v):

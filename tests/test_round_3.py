@@ -105,3 +105,14 @@ def test_listings_are_stored_compressed(spark):
 
 def test_requests_are_checked_in_one_pass_over_the_listings(spark):
     assert _lineitem_reads(QUERIES["j3_invariants"](spark, SMALL)) <= 2
+
+
+def test_dates_of_a_listing_given_twice_count_it_once(spark):
+    from offergrid.operators import calendar as C
+
+    day = dt.date(2026, 9, 7)
+    one = [(["mon", "wed"], 60, 110, day, dt.date(2026, 9, 15)), (["mon"], 200, 250, day, dt.date(2026, 9, 8)), (["tue"], None, None, day, day)]
+    df = spark.createDataFrame([("a", one), ("a", one[:1]), ("b", one[1:]), ("c", [])], "listing_id string, meetings array<struct<days:"
+                               "array<string>,start_min:int,end_min:int,date_from:date,date_to:date>>")
+    got = {str(r.date): (r.n, r.listings) for r in C.occurrences_per_date(df).collect()}
+    assert got == {"2026-09-07": (4, 2), "2026-09-09": (2, 1), "2026-09-14": (2, 1)}
