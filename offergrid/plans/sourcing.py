@@ -70,7 +70,7 @@ def a1_overlays(v):
 @query("a1_read_listings_parquet", "SELECT term, count(*) AS n, count(*) FILTER (WHERE has_metrics) AS rated FROM lst GROUP BY 1")
 def a1_parquet(v):
     path = new_folder(v.spark, "listings-parquet")
-    v.listings().select(*A.listing_schema().names).write.partitionBy("term").parquet(path)
+    v.listings().select(*A.listing_schema().names).write.partitionBy("term").parquet(path, compression="zstd")
     return A.read_listings(v.spark, path, form="parquet").rows.groupBy("term").agg(
         F.count(F.lit(1)).alias("n"), F.count("metrics").alias("rated"))
 

@@ -116,3 +116,14 @@ def test_dates_of_a_listing_given_twice_count_it_once(spark):
                                "array<string>,start_min:int,end_min:int,date_from:date,date_to:date>>")
     got = {str(r.date): (r.n, r.listings) for r in C.occurrences_per_date(df).collect()}
     assert got == {"2026-09-07": (4, 2), "2026-09-09": (2, 1), "2026-09-14": (2, 1)}
+
+
+def test_listings_written_by_term_are_small(spark):
+    from pathlib import Path
+    from offergrid.session import shared_root
+
+    root = Path(shared_root(spark)) / "offergrid"
+    before = set(root.glob("listings-parquet-*"))
+    QUERIES["a1_read_listings_parquet"](spark, SMALL)
+    files = [f.name for folder in set(root.glob("listings-parquet-*")) - before for f in folder.glob("*/part-*")]
+    assert files and all(".zstd." in f for f in files)
