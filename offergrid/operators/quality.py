@@ -7,13 +7,14 @@ class_number); the issue table is their union.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offergrid.operators.snapshots import collapse_duplicate_offers, same_key_list
+from offergrid.session import settled
 
 c = F.col
 # Rule codes that are not errors.
@@ -131,7 +132,13 @@ def run_consistency(i: BuildInputs) -> DataFrame:
 
 
 def build_issues(i: BuildInputs) -> DataFrame:
-    """All 36 rules."""
+    """All 36 rules.
+
+    Tables that several rules read are stored once, and every group of rules is stored
+    on its own: the plan of one holds few joins, and what it sends to the driver is free before the next.
+    """
+    i = replace(i, hits=settled(i.hits), discovery_hits=settled(i.discovery_hits), targets=settled(i.targets),
+                details=settled(i.details), sections=settled(i.sections))
     deep = identity_conflicts(i.hits, "key", "meta", "ord").filter("kind = 'conflict'")
     found = identity_conflicts(i.discovery_hits, "key", "meta", "ord").filter("kind = 'conflict'")
     drift = i.drift.filter("status = 'drift_detected'")
@@ -140,12 +147,12 @@ def build_issues(i: BuildInputs) -> DataFrame:
                            "subject_detail_incomplete": ~c("complete")}, "subject")
     lists = same_key_list(i.expected_targets, i.targets, "key", "pos", "by").filter("NOT same")
     complete = i.details.filter("status = 'complete' AND has_info AND n_rows > 0 AND identity IS NOT NULL")
-    collapsed = collapse_duplicate_offers(complete.select(c("key").alias("detail_key"), "identity", "offer", "score"),
-                                          i.sections.select(c("key").alias("detail_key"), "class_number"))
+    collapsed = settled(collapse_duplicate_offers(complete.select(c("key").alias("detail_key"), "identity", "offer", "score"),
+                                                  settled(i.sections.select(c("key").alias("detail_key"), "class_number").distinct())))
     heads = collapsed.select(c("kept").alias("key")).distinct().join(i.details.select("key", "subject"), "key")
     live = i.targets.select("key", c("by").alias("t_subject")).join(
         collapsed.select(c("detail_key").alias("key")), "key", "left_anti")
-    d = live.join(i.details.drop("subject").withColumn("_d", F.lit(True)), "key", "left")
+    d = settled(live.join(i.details.drop("subject").withColumn("_d", F.lit(True)), "key", "left"))
     done = c("_d") & (c("status") == "complete")
     info = done & c("has_info")
     detail = flags(d, {
@@ -154,19 +161,20 @@ def build_issues(i: BuildInputs) -> DataFrame:
         "course_units_range_invalid": info & (c("units_min") > c("units_max")),
         "course_sections_missing": info & (c("n_rows") == 0)}, "t_subject", "key").withColumnRenamed("t_subject", "subject")
     used = d.filter(info & (c("n_rows") > 0)).select("key")
-    rows = i.sections.join(used, "key", "left_semi")
     wrong = ~(c("subject").eqNullSafe(c("detail_subject")) & c("course_code").eqNullSafe(c("detail_code")))
     bad_units = F.coalesce(c("units_min") > c("units_max"), F.lit(False))
-    row_rules = flags(rows, {"section_course_mismatch": wrong, "section_units_range_invalid": ~wrong & bad_units},
+    rows = settled(i.sections.join(used, "key", "left_semi").withColumns({"_wrong": wrong, "_bad": bad_units}).drop(
+        "detail_subject", "detail_code", "units_min", "units_max"))
+    row_rules = flags(rows, {"section_course_mismatch": c("_wrong"), "section_units_range_invalid": ~c("_wrong") & c("_bad")},
                       "subject", "key", "class_number")
-    valid = rows.filter(~wrong & ~bad_units)
-    twice = identity_conflicts(valid, "id", "body", "ord").filter("kind = 'conflict'")
-    firsts = valid.groupBy("id").agg(F.min_by(F.struct("key", "term_code", "class_number", "course_code"), "ord").alias("r")) \
-        .select("r.*")
+    valid = rows.filter("NOT _wrong AND NOT _bad")
+    twice = identity_conflicts(valid.select("id", "body", "ord", "subject", "key", "class_number"), "id", "body", "ord").filter("kind = 'conflict'")
+    firsts = settled(valid.groupBy("id").agg(F.min_by(F.struct("key", "term_code", "class_number", "course_code"), "ord").alias("r"))
+                     .select("r.*"))
     empty = used.join(firsts.select("key").distinct(), "key", "left_anti")
     crossed = firsts.groupBy("term_code", "class_number").agg(F.count_distinct("course_code").alias("n")).filter("n > 1")
     lost = i.unaccounted.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    return _union([
+    return _union([settled(part) for part in (
         run_consistency(i),
         issue(deep, "conflicting_deep_course_identity", "subject", "key"),
         issue(found, "conflicting_discovery_course_identity", "subject", "key"),
@@ -176,7 +184,7 @@ def build_issues(i: BuildInputs) -> DataFrame:
         issue(twice, "conflicting_course_section_listing", "subject", "key", "class_number"),
         issue(empty, "normalized_course_sections_missing", None, "key"),
         issue(crossed, "cross_listed_physical_section", None, None, "class_number"),
-        issue(lost, "physical_sections_unaccounted")])
+        issue(lost, "physical_sections_unaccounted"))])
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:

@@ -127,3 +127,18 @@ def test_listings_written_by_term_are_small(spark):
     QUERIES["a1_read_listings_parquet"](spark, SMALL)
     files = [f.name for folder in set(root.glob("listings-parquet-*")) - before for f in folder.glob("*/part-*")]
     assert files and all(".zstd." in f for f in files)
+
+
+def test_build_issues_are_stored_step_by_step(spark):
+    assert _lineitem_reads(QUERIES["j1_build_issues"](spark, SMALL)) == 0
+
+
+def test_placement_counts_what_the_plain_audit_counts(spark):
+    lst = Views(spark, SMALL).listings()
+    for df in (lst, lst.union(lst.filter("seat_status = 'open'").withColumn("component", F.lit("Lecture")))):
+        totals, lost = O.coverage_audit(df, O.group_options(df))
+        placed = O.placement(df)
+        assert placed.moved.count() > 0
+        assert O.placement_counts(placed).first() == totals.select(
+            "listings", "physical", "options", "unaccounted", F.expr("listings - represented").alias("unlisted")).first()
+        assert sorted(O.lost_classes(placed).collect()) == sorted(lost.select("physical").collect())
