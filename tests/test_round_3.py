@@ -142,3 +142,15 @@ def test_placement_counts_what_the_plain_audit_counts(spark):
         assert O.placement_counts(placed).first() == totals.select(
             "listings", "physical", "options", "unaccounted", F.expr("listings - represented").alias("unlisted")).first()
         assert sorted(O.lost_classes(placed).collect()) == sorted(lost.select("physical").collect())
+
+
+def test_a_report_without_a_known_audit_groups_nothing_twice(spark, monkeypatch):
+    from offergrid.operators import lifecycle as H
+
+    lst = Views(spark, SMALL).listings()
+    new = lst.filter("term = 'Fall 1997' AND career = 'GRAD'").withColumn("component", F.lit("Lecture"))
+    plan = H.replace_keys(lst, new, new.select(H.offering().alias("offering")), "Fall 1997")
+    by_delta = H.replace_keys(lst, new, new.select(H.offering().alias("offering")), "Fall 1997", H.audit_counts(lst)).report.first()
+    monkeypatch.setattr(H, "audit_delta", None)
+    assert plan.report.first() == by_delta
+    assert plan.counts.columns == ["current", "incoming", "preserved", "not_incoming", "unexpected", "not_active"]
