@@ -154,3 +154,8 @@ def test_a_report_without_a_known_audit_groups_nothing_twice(spark, monkeypatch)
     monkeypatch.setattr(H, "audit_delta", None)
     assert plan.report.first() == by_delta
     assert plan.counts.columns == ["current", "incoming", "preserved", "not_incoming", "unexpected", "not_active"]
+
+
+def test_only_row_groups_meet_the_moved_ones(spark):
+    options, _ = O._grouped(Views(spark, SMALL).listings())
+    assert "Union" in options._jdf.queryExecution().optimizedPlan().toString()
