@@ -90,3 +90,43 @@ def test_gate_rules(spark):
     got = {r.physical.split("|")[1]: r.reason for r in removal.hide_gate(verdicts, df, F.lit(t(100))).collect()}
     assert got == {"ok": "none", "cross": "crosslisted", "young": "recent_seats", "lead": "orphans", "lab": "none", "old": "expired", "ids": "ids_changed",
                    "seats": "seats_changed", "never": "not_confirmed"}
+
+
+@pytest.mark.parametrize("seed", range(5, 8))
+def test_keys_too_large_for_a_task_give_the_same(spark, seed):
+    df = spark.createDataFrame(listings_of(seed, 300, 60), SCHEMA)
+    local, joined = (sorted(map(tuple, removal.removal_impact(df, *hot).collect())) for hot in ((), (0,)))
+    assert local == joined and any(r[1:] != (0, 0) for r in local)
+
+
+def tallied(spark, df):
+    """``df`` and a counter of the rows that were read of it."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def tally(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(tally, df.schema), reads
+
+
+def test_listings_are_read_once_for_the_impact_and_twice_for_the_gate(spark):
+    rows = listings_of(3)
+    df, reads = tallied(spark, spark.createDataFrame(rows, SCHEMA))
+    removal.removal_impact(df).collect()
+    assert reads.value == len(rows)
+    timed = spark.createDataFrame(rows, SCHEMA).withColumn("seat_updated_at", F.lit(dt.datetime(2026, 9, 1)))
+    verdicts = removal.class_evidence(timed).select("physical", F.lit(dt.datetime(2026, 9, 5)).alias("ts"), F.lit(1).alias("event_id"),
+                                                    F.lit("confirmed_missing").alias("verdict"), "ids", "seat_times")
+    df, reads = tallied(spark, timed)
+    got = removal.hide_gate(verdicts.localCheckpoint(), df, F.lit(dt.datetime(2026, 9, 5))).collect()
+    assert got and reads.value == 2 * len(rows)
+
+
+def test_cross_listing_counts_courses_and_not_nulls(spark):
+    rows = [("L1", "a", "AB 1", None), ("L2", "a", "AB 1", ""), ("L3", "b", "AB 1", "7"), ("L4", "b", "AB 1", None), ("L5", "c", None, "7"), ("L6", "c", "AB 1", "7"),
+            ("L7", "d", None, None)]
+    df = spark.createDataFrame(rows, "listing_id string, schedule_number string, course_code string, crse_id string").withColumns(
+        {"term": F.lit("Fall 2026"), "term_code": F.lit(""), "seat_updated_at": F.lit(None).cast("timestamp")})
+    assert {r.physical[-1]: r.crosslisted for r in removal.class_evidence(df).collect()} == {"a": False, "b": True, "c": False, "d": False}
