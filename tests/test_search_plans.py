@@ -111,3 +111,30 @@ def test_conflicts_of_a_crowded_hour(spark):
     begin = time.time()
     got = C.schedule_conflicts(crowd(0), crowd(10**6)).agg(F.count("*"), F.max("conflict_with")).first()
     assert got[0] == 100_000 and got[1] < 1000 and time.time() - begin < 240
+
+
+def test_neither_the_a_to_z_key_nor_the_rule_columns_are_stored(spark, monkeypatch):
+    from offergrid.operators import options, ordering
+    from tests.test_removal import SCHEMA, listings_of
+    seen = []
+
+    def noted(settled):
+        def note(df):
+            seen.append(df)
+            return settled(df)
+        return note
+
+    monkeypatch.setattr(options, "settled", noted(options.settled))
+    monkeypatch.setattr(ordering, "settled", noted(ordering.settled))
+    rows = spark.createDataFrame(listings_of(4, 200, 30), SCHEMA).withColumn("catalog_number", F.concat(F.lit("1"), "section_number"))
+    carried = ["subject", "catalog_number", "section_number", "schedule_number"]
+    table = options.stored_options(rows, carried)
+    assert "component" not in seen[0].schema["first"].dataType.names and "kind" not in seen[0].columns
+    plain = options.group_options(rows).options
+    assert sorted(map(tuple, table.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    for mode in ("alphabetical", "alphabetical_desc"):
+        seen.clear()
+        got = S.sort_options(table, mode, stored=True, shown=["option_id"])
+        assert all(not n.startswith("_az") for df in seen for n in df.columns)
+        want = [r.option_id for r in S.with_az(table).orderBy(*S.sort_order(mode)).collect()]
+        assert [r.option_id for r in got.orderBy("pos").collect()] == want and got.agg(F.max("pos")).first()[0] == len(want)
