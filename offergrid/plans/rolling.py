@@ -9,7 +9,6 @@ from offergrid.operators import overlays as O
 from offergrid.operators import programs as P
 from offergrid.operators import rollups as R
 from offergrid.operators.filters import FilterSpec
-from offergrid.operators.search import option_rows
 from offergrid.operators.seats import seat_rules
 from offergrid.plans.registry import query
 
@@ -124,9 +123,14 @@ courses AS (SELECT code, option_count, subject, campuses, modes, units_text, tit
  trim(regexp_replace(lower(code), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM f JOIN tt USING (code) LEFT JOIN dd USING (code))"""
 
 
+# What the rollup reads of an option's primary listing.
+ROLLED = ("course_code", "subject", "title", "description", "campus", "instruction_mode", "units", "units_min", "units_max", "units_text")
+
+
 def courses(v):
-    lst = v.listings("order", "part")
-    return R.course_rollup(option_rows(lst, G.group_options(lst).options)).drop("prerequisite_text", "enrollment_requirements")
+    """The columns travel with the grouping: the listings are read once, and the stored options by every step of the rollup."""
+    rows = G.stored_options(v.listings("order", "part"), ROLLED, shown=ROLLED)
+    return R.course_rollup(rows).drop("prerequisite_text", "enrollment_requirements")
 
 
 @query("e9_course_rollup", _COURSES + " SELECT * FROM courses")
