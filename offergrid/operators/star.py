@@ -28,7 +28,17 @@ def sync_tables(runs: DataFrame, errors: DataFrame) -> dict[str, DataFrame]:
     return {"sync_runs": known, "sync_errors": rows.join(known.select("run_key"), "run_key", "left_semi")}
 
 
+# What the tables of the star read of a listing.
+READ = ("listing_id", "term", "term_code", "subject", "catalog_number", "title", "section_number", "schedule_number", "component",
+        "instruction_mode", "seat_status", "seat_capacity", "seats_available", "units", "class_difficulty", "instructor", "metrics",
+        "meetings", "requirement_tags", "program_tags")
+
+
 def normalise_to_star(listings: DataFrame) -> dict[str, DataFrame]:
+    """The tables, as plans: callers that use several store the columns ``READ`` of the listings first.
+
+    What is told apart by listing is dealt by listing before it is unfolded, so counts per section need no second shuffle.
+    """
     term = key_of(F.coalesce(F.when(c("term_code") != "", c("term_code")), c("term")))
     course = key_of(c("subject"), c("catalog_number"))
     person = key_of(person_key(c("instructor")))
@@ -38,6 +48,10 @@ def normalise_to_star(listings: DataFrame) -> dict[str, DataFrame]:
         "schedule_number", "component", "instruction_mode", "seat_status", "seat_capacity", "seats_available",
         c("units").cast("decimal(4,1)").alias("units"), c("class_difficulty").cast("decimal(3,1)").alias("class_difficulty"))
     m = c("metrics")
+
+    def by_section(df: DataFrame, *own: str) -> DataFrame:
+        return df.select(c("listing_id").alias("section_key"), *own).repartition("section_key")
+
     return {
         "terms": listings.select(term.alias("term_key"), "term", "term_code").distinct(),
         "courses": listings.groupBy(course.alias("course_key"), "subject", "catalog_number").agg(
@@ -47,12 +61,12 @@ def normalise_to_star(listings: DataFrame) -> dict[str, DataFrame]:
         .select("section_key", "place", F.explode("m.days").alias("day"), "m.start_min", "m.end_min", "m.location"),
         "instructors": named.groupBy(person.alias("instructor_key")).agg(
             F.min(display_name(c("instructor"))).alias("name")),
-        "section_instructors": named.select(c("listing_id").alias("section_key"), person.alias("instructor_key")).distinct(),
+        "section_instructors": by_section(named, "instructor").select("section_key", person.alias("instructor_key")).distinct(),
         "instructor_metrics": named.filter(m.isNotNull()).groupBy(person.alias("instructor_key")).agg(
             F.min_by(m["rating"], "listing_id").cast("decimal(3,2)").alias("rating"),
             F.min_by(m["reviews"], "listing_id").alias("reviews")),
-        "section_requirements": listings.select(c("listing_id").alias("section_key"),
-                                                F.explode("requirement_tags").alias("label")).distinct(),
+        "section_requirements": by_section(listings, "requirement_tags").select(
+            "section_key", F.explode("requirement_tags").alias("label")).distinct(),
         "course_programs": listings.select(course.alias("course_key"), F.inline("program_tags")).distinct(),
         "course_metrics": listings.filter(c("class_difficulty").isNotNull()).groupBy(course.alias("course_key")).agg(
             F.min_by("class_difficulty", "listing_id").cast("decimal(3,2)").alias("class_difficulty")),

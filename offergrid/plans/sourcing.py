@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from offergrid.functions.parsing import clock_minutes, count_value, meeting_days, units_value
 from offergrid.operators import options as O
 from offergrid.operators import rollups as R
-from offergrid.operators.star import normalise_to_star
+from offergrid.operators.star import READ, normalise_to_star
 from offergrid.operators.options import physical
 from offergrid.plans.registry import query
-from offergrid.session import new_folder
+from offergrid.session import new_folder, settled
 from offergrid.sources import readers as A
 from offergrid.sources import sinks as W
 
@@ -219,9 +219,9 @@ UNION ALL SELECT 'instructor_metrics', count(DISTINCT instructor), count(DISTINC
 UNION ALL SELECT 'section_requirements', count(*), count(DISTINCT listing_id) FROM reqtag
 UNION ALL SELECT 'course_programs', count(*), count(DISTINCT cc) FROM (SELECT DISTINCT l.course_code AS cc, program, year, classification FROM progtag JOIN lst l USING (listing_id))""")
 def h7(v):
-    """Rows and distinct keys per table of the star."""
+    """Rows and distinct keys per table of the star, from listings joined once."""
     out = None
-    for name, df in normalise_to_star(v.listings()).items():
+    for name, df in normalise_to_star(settled(v.listings().select(*READ))).items():
         if name in ("course_metrics", "requirement_definitions"):  # h7_course_tables
             continue
         row = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(df.columns[0]).alias("keys")).select(

@@ -14,3 +14,11 @@ def _lineitem_reads(df) -> int:
 @pytest.mark.parametrize("name", ["e9_course_rollup", "e10_sitemap_rows"])
 def test_course_rollup_reads_stored_options(spark, name):
     assert _lineitem_reads(QUERIES[name](spark, SMALL)) == 0
+
+
+def test_star_counts_read_stored_listings_and_shuffle_them_once_by_section(spark):
+    df = QUERIES["h7_normalise_to_star"](spark, SMALL)
+    assert _lineitem_reads(df) == 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # sections, meetings, people and tags of a section: one shuffle by section each
+    assert plan.count("Exchange hashpartitioning(section_key") == 4
