@@ -43,11 +43,11 @@ SELECT listing_id, CASE WHEN instructor IS NULL OR instructor = 'To Be Announced
 def a1_overlays(v):
     """Names, ratings, requirement and program overlays applied on load; one that does not parse leaves the rows as they are."""
     path = new_folder(v.spark, "listings")
-    lst = physical(v.listings())
-    lst.select(*A.listing_schema().names).write.parquet(f"{path}/rows")
+    v.listings().select(*A.listing_schema().names, "p_size", "l_suppkey").write.parquet(f"{path}/rows", compression="zstd")
+    lst = physical(v.spark.read.parquet(f"{path}/rows"))  # the overlays are made from what was written
 
     def store(kind: str, docs):
-        docs.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/{kind}")
+        docs.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/{kind}", compression="gzip")
         return f"{path}/{kind}"
 
     said = F.struct(F.lit("New  Person").alias("instructor"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offergrid.functions.text import is_placeholder
 from offergrid.operators import overlays
 from offergrid.operators.options import physical
 from offergrid.operators.rollups import duplicate_keys
@@ -83,7 +84,9 @@ def lay_over(rows: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
     names, out = rows.columns, physical(rows)
     if "instructor" in sides:
         cache = sides["instructor"].groupBy("physical").agg(F.max_by("instructor", F.struct("updated_at", "instructor")).alias("person"))
-        out = overlays.overlay_instructors(out, cache).drop("changed")
+        # a real name stays, so only rows without one meet the names; the rows come from files and are cheap to read twice
+        nobody = F.coalesce(is_placeholder(c("instructor")), F.lit(True))
+        out = overlays.overlay_instructors(out.filter(nobody), cache).select(*out.columns).unionByName(out.filter(~nobody))
     if "ratings" in sides:
         known = F.col("metrics")
         shaped = sides["ratings"].withColumn("metrics", F.when(known.isNotNull(), F.struct(

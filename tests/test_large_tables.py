@@ -2,7 +2,9 @@
 
 import pytest
 
+from offergrid.operators import overlays
 from offergrid.plans import QUERIES
+from offergrid.sources import readers as A
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,3 +24,22 @@ def test_star_counts_read_stored_listings_and_shuffle_them_once_by_section(spark
     plan = df._jdf.queryExecution().executedPlan().toString()
     # sections, meetings, people and tags of a section: one shuffle by section each
     assert plan.count("Exchange hashpartitioning(section_key") == 4
+
+
+def test_only_listings_without_a_name_meet_the_names(spark, monkeypatch):
+    seen, plain = [], overlays.overlay_instructors
+
+    def note(listings, cache):
+        seen.append(sorted((r.listing_id for r in listings.collect())))
+        return plain(listings, cache)
+
+    monkeypatch.setattr(overlays, "overlay_instructors", note)
+    people = [("a", "Ada One"), ("b", None), ("c", "Staff"), ("d", ""), ("e", "To Be Announced"), ("f", "Bo Two")]
+    base = spark.createDataFrame([], A.listing_schema())
+    rows = spark.createDataFrame(people, "listing_id string, instructor string").selectExpr(
+        "*", "'Fall 2026' AS term", "'20264' AS term_code", "'7' AS schedule_number")
+    rows = base.unionByName(rows, allowMissingColumns=True)
+    names = spark.createDataFrame([("20264|7", "New  Person", None)], "physical string, instructor string, updated_at timestamp")
+    got = {r.listing_id: r.instructor for r in A.lay_over(rows, {"instructor": names}).collect()}
+    assert got == {"a": "Ada One", "f": "Bo Two", **dict.fromkeys("bcde", "New Person")}
+    assert seen == [["b", "c", "d", "e"]]
