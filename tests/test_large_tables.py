@@ -2,9 +2,12 @@
 
 import pytest
 
+from offergrid.operators import options as O
 from offergrid.operators import overlays
 from offergrid.plans import QUERIES
+from offergrid.session import settled
 from offergrid.sources import readers as A
+from tests.test_removal import SCHEMA, listings_of
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -43,3 +46,19 @@ def test_only_listings_without_a_name_meet_the_names(spark, monkeypatch):
     got = {r.listing_id: r.instructor for r in A.lay_over(rows, {"instructor": names}).collect()}
     assert got == {"a": "Ada One", "f": "Bo Two", **dict.fromkeys("bcde", "New Person")}
     assert seen == [["b", "c", "d", "e"]]
+
+
+def test_audit_reads_stored_listings(spark):
+    assert _lineitem_reads(QUERIES["e6_coverage_audit"](spark, SMALL)) == 0
+
+
+@pytest.mark.parametrize("seed, hot_rows", [(1, O.HOT_ROWS), (2, O.HOT_ROWS), (3, 0), (4, 0)])
+def test_members_of_one_shuffle_are_those_of_the_grouping(spark, seed, hot_rows):
+    lst = settled(spark.createDataFrame(listings_of(seed, 200, 30), SCHEMA))
+    rows = settled(O.option_members(lst, hot_rows=hot_rows))
+    opts = O.group_options(lst)
+    names = ["option_id", "listing_id", "is_primary", "n_members", "physical"]
+    placed = rows.filter("option_id IS NOT NULL")
+    assert sorted(map(str, placed.select(*names).collect())) == sorted(map(str, opts.membership.select(*names).collect()))
+    want = O.coverage_audit(lst, opts)[0]
+    assert O.member_totals(lst, rows).select(*want.columns).collect() == want.collect()
