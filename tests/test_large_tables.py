@@ -5,6 +5,7 @@ import pytest
 from offergrid.operators import options as O
 from offergrid.operators import overlays
 from offergrid.plans import QUERIES
+from offergrid.plans.bindings import Views
 from offergrid.session import settled
 from offergrid.sources import readers as A
 from tests.test_removal import SCHEMA, listings_of
@@ -62,3 +63,30 @@ def test_members_of_one_shuffle_are_those_of_the_grouping(spark, seed, hot_rows)
     assert sorted(map(str, placed.select(*names).collect())) == sorted(map(str, opts.membership.select(*names).collect()))
     want = O.coverage_audit(lst, opts)[0]
     assert O.member_totals(lst, rows).select(*want.columns).collect() == want.collect()
+
+
+def test_confirmation_state_reads_stored_listings_of_probed_classes(spark, monkeypatch):
+    from offergrid.plans import streams
+
+    seen, plain = [], streams.class_evidence
+    monkeypatch.setattr(streams, "class_evidence", lambda df: seen.append(df) or plain(df))
+    out = QUERIES["i8_confirmation_state"](spark, SMALL)
+    assert _lineitem_reads(out) == 0
+    probed = {r.physical for r in streams.verdicts(Views(spark, SMALL)).select("physical").distinct().collect()}
+    assert {r.physical for r in seen[0].select("physical").distinct().collect()} <= probed
+    # rows dealt by class for the seat times are grouped by class as they lie
+    plan = plain(seen[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(physical") <= 2
+
+
+def test_a_table_of_one_class_keeps_it(spark):
+    from pyspark.sql import functions as F
+
+    from offergrid.operators import removal
+    from offergrid.operators.options import physical
+
+    lst = spark.createDataFrame(listings_of(1, 200, 30), SCHEMA).limit(1).withColumn("seat_updated_at", F.lit(None).cast("timestamp"))
+    now = F.lit("2026-09-05 00:00:00").cast("timestamp")
+    said = removal.class_evidence(lst).select("physical", now.alias("ts"), F.lit(1).alias("event_id"), F.lit("confirmed_missing").alias("verdict"), "ids", "seat_times")
+    given = removal.hide_gate(said, physical(lst), now, impact=removal.removal_impact(lst, stored=True), alone=F.lit(True))
+    assert given.collect() == removal.hide_gate(said, lst, now).collect() and given.first().reason == "last_class"
