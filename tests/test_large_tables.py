@@ -90,3 +90,11 @@ def test_a_table_of_one_class_keeps_it(spark):
     said = removal.class_evidence(lst).select("physical", now.alias("ts"), F.lit(1).alias("event_id"), F.lit("confirmed_missing").alias("verdict"), "ids", "seat_times")
     given = removal.hide_gate(said, physical(lst), now, impact=removal.removal_impact(lst, stored=True), alone=F.lit(True))
     assert given.collect() == removal.hide_gate(said, lst, now).collect() and given.first().reason == "last_class"
+
+
+@pytest.mark.parametrize("name", ["m3_saved_options", "j3_recomputed"])
+def test_groupings_read_stored_listings(spark, monkeypatch, name):
+    reads, plain = [], O.option_bridge
+    monkeypatch.setattr(O, "option_bridge", lambda df, *more: reads.append(_lineitem_reads(df)) or plain(df, *more))
+    QUERIES[name](spark, SMALL)
+    assert reads and not any(reads)
